@@ -1,3 +1,3 @@
 """Imports every plan module, so that the registry is complete."""
-from . import effects, recommend, units  # noqa: F401
+from . import effects, recommend, series, units  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -9,6 +9,7 @@ from .testbed_sql import BASE_CTES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NUDGE = 1e-9
 
 
 def query(name: str, sql: str | None = None):
@@ -36,12 +37,16 @@ def with_base(sql: str) -> str:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Presentation form: doubles to six places, whole numbers as long, dates as text."""
+    """Presentation form: doubles to six places, whole numbers as long, dates as text.
+
+    The nudge sends values lying exactly between two results the same way in every
+    engine, whatever its rounding of halves.
+    """
     cols = []
     for field in df.schema.fields:
         c, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(kind, T.DateType):
@@ -52,5 +57,5 @@ def tidy(df: DataFrame) -> DataFrame:
 
 def r6(expr: str, alias: str | None = None) -> str:
     """SQL text of a double rounded as ``tidy`` rounds it."""
-    out = f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    out = f"(round(CAST({expr} AS DOUBLE) + 1e-9::DOUBLE, 6) + 0.0)"
     return f"{out} AS {alias}" if alias else out
