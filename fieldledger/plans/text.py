@@ -19,7 +19,7 @@ reports AS (SELECT obs_id, o_custkey,
  CASE u WHEN 0 THEN 'Water temp was ' || (30 + 2 * a) || ' degrees and visibility about ' || b || ' feet. Fished in ' || c || ' to 1' || b || ' feet of water near docks at dawn.'
   WHEN 1 THEN 'The lake was slightly stained near the dam. Tons of hydrilla and lily pads. We got skunked in the afternoon with bream around.'
   WHEN 2 THEN 'visibility to ' || a || '" and water was ' || (60 + b) || ' f. thick milfoil matted along the shoreline; punched it in the morning'
-  WHEN 3 THEN b || ''' viz, crystal clear water. No fish after dark. Drove up from Tyler on Highway ' || a || ' to get there. texas rig on the weed line'
+  WHEN 3 THEN b || ''' viz, crystal clear water. No fish after dark. We drove up from Tyler on highway ' || a || ' to get there. texas rig on the weed line'
   WHEN 4 THEN 'Around ' || a || ' ft on the points, then out to ' || b || '-' || c || 'ft. water at 1' || a || ' degrees. Some moss, no hydrilla. drop shot and wacky. Crappie too'
   WHEN 5 THEN pr || ' nothing to report' END AS body
  FROM src)"""
@@ -42,7 +42,7 @@ def reports(spark, sf):
     body = (F.when(u == 0, fmt("Water temp was %d degrees and visibility about %d feet. Fished in %d to 1%d feet of water near docks at dawn.", 30 + 2 * a, b, c, b))
             .when(u == 1, "The lake was slightly stained near the dam. Tons of hydrilla and lily pads. We got skunked in the afternoon with bream around.")
             .when(u == 2, fmt('visibility to %d" and water was %d f. thick milfoil matted along the shoreline; punched it in the morning', a, 60 + b))
-            .when(u == 3, fmt("%d' viz, crystal clear water. No fish after dark. Drove up from Tyler on Highway %d to get there. texas rig on the weed line", b, a))
+            .when(u == 3, fmt("%d' viz, crystal clear water. No fish after dark. We drove up from Tyler on highway %d to get there. texas rig on the weed line", b, a))
             .when(u == 4, fmt("Around %d ft on the points, then out to %d-%dft. water at 1%d degrees. Some moss, no hydrilla. drop shot and wacky. Crappie too", a, b, c, a))
             .when(u == 5, fmt("%s nothing to report", F.col("pr"))))
     return src.select("obs_id", "o_custkey", raw.alias("raw"), body.alias("body"))
