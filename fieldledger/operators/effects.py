@@ -201,15 +201,17 @@ def half_split(df: DataFrame, keys: list[str], day: str = "obs_date", tie: str =
     over days, not rows; only the rows of a single day are ranked among
     themselves. A group of any size is therefore spread over its days.
     """
-    daily = df.groupBy(*keys, day).agg(F.count("*").alias("_n"))
+    # rows without a date come last
+    dated = df.withColumn("_day", F.coalesce(F.col(day), F.lit("9999-12-31").cast("date")))
+    daily = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
     placed = daily.withColumns({
-        "_before": F.sum("_n").over(w.orderBy(day)) - F.col("_n"),
+        "_before": F.sum("_n").over(w.orderBy("_day")) - F.col("_n"),
         "_mid": F.floor(F.sum("_n").over(w) / 2)}).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*keys, day).orderBy(tie))
-    return (df.join(placed, [*keys, day])
+    rank = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(tie))
+    return (dated.join(placed, [*keys, "_day"])
             .withColumn("half", F.when(F.col("_before") + rank <= F.col("_mid"), "early").otherwise("late"))
-            .drop("_before", "_mid"))
+            .drop("_before", "_mid", "_day"))
 
 
 def half_effects(m: DataFrame, keys: list[str], min_rows: int, min_using: int,

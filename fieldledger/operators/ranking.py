@@ -23,3 +23,17 @@ def category_rank(column: str, order: list[str]) -> Column:
     for i, name in reversed(list(enumerate(order))):
         out = F.when(F.col(column) == name, i).otherwise(out)
     return out
+
+
+def row_number_by(df: DataFrame, keys: list[str], coarse: list[str], order: list, out: str) -> DataFrame:
+    """row_number within ``keys`` for groups of any size.
+
+    ``coarse`` are the leading order columns. Rows are counted per (keys, coarse),
+    the counts are accumulated, and only rows sharing the coarse values are ranked
+    among themselves, so a large group is spread over its coarse values.
+    """
+    sizes = df.groupBy(*keys, *coarse).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(*coarse)
+    before = sizes.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*keys, *coarse).orderBy(*order))
+    return df.join(before, [*keys, *coarse]).withColumn(out, F.col("_before") + rank).drop("_before")

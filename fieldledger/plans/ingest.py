@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import effects as E, ingest as I, pages as P
+from ..operators import ingest as I, pages as P
 from . import testbed as T
 from .registry import query, r6
 from .units import cols
@@ -230,9 +230,9 @@ def order_by_category_then_value(spark, sf):
 
 @query("lexicographic_rank", """SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_size DESC, p_name, p_partkey) AS rank FROM part""")
 def lexicographic_rank(spark, sf):
-    from pyspark.sql import Window
-    key = F.struct("p_type", -F.col("p_size"), "p_name", "p_partkey")
-    return T.table(spark, sf, "part").select("p_partkey", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy(key)).alias("rank"))
+    from ..operators.ranking import row_number_by
+    order = [F.struct(-F.col("p_size"), "p_name", "p_partkey")]
+    return row_number_by(T.table(spark, sf, "part"), ["p_brand"], ["p_type"], order, "rank").select("p_partkey", "p_brand", "rank")
 
 
 @query("distinct", "SELECT DISTINCT category, subtype FROM labs")
