@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..operators import entities as N, pages as P
+from ..sources.tables import spread
 from . import testbed as T
 from .registry import query, r6
 from .units import cols
 
 
 def pages(spark, sf):
-    return T.table(spark, sf, "pages")
+    return spread(T.table(spark, sf, "pages"))
 
 
 @query("html_to_text", """
@@ -54,7 +55,7 @@ EXPECTED = """exp AS (SELECT o_orderkey AS page_id, 'Day ' || o_orderkey || ' &
 
 
 def report_pages(spark, sf):
-    o = T.table(spark, sf, "orders")
+    o = spread(T.table(spark, sf, "orders"))
     k, cust, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
     slot = F.when(k % 3 == 0, "AM").when(k % 3 == 1, "PM").otherwise("All Day")
     fields = F.when(F.col("o_orderstatus") != "P", F.format_string(
@@ -101,16 +102,21 @@ def numeric_meta(spark, sf):
     return report_pages(spark, sf).select("page_id", *[H.numeric_meta(ems, i).alias(n) for i, n in enumerate(("first", "second", "third"))])
 
 
-@query("parse_posted_date", """SELECT o_orderkey AS obs_id, CASE WHEN o_orderkey % 5 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS posted,
-  CASE WHEN o_orderkey % 5 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS carded FROM orders""")
+@query("parse_posted_date", "SELECT o_orderkey AS obs_id, CASE WHEN o_orderkey % 5 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS posted FROM orders")
 def parse_posted_date(spark, sf):
     """Three usable spellings, one impossible date, one text without a date."""
     k, day = F.col("o_orderkey"), F.col("o_orderdate")
     text = (F.when(k % 5 == 0, F.date_format(day, "MMM d yyyy")).when(k % 5 == 1, F.date_format(day, " MMM dd yyyy "))
             .when(k % 5 == 2, F.date_format(day, "MMM dd, yyyy")).when(k % 5 == 3, "Feb 31 2011").otherwise("no date at all"))
-    card = (F.when(k % 5 < 3, F.concat(F.lit("by A, "), F.date_format(day, "MMM d, yyyy"), F.lit(" etc")))
+    return T.table(spark, sf, "orders").select(k.alias("obs_id"), H.parse_posted_date(text).alias("posted"))
+
+
+@query("parse_card_date", "SELECT o_orderkey AS obs_id, CASE WHEN o_orderkey % 5 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS carded FROM orders")
+def parse_card_date(spark, sf):
+    k = F.col("o_orderkey")
+    card = (F.when(k % 5 < 3, F.concat(F.lit("by A, "), F.date_format("o_orderdate", "MMM d, yyyy"), F.lit(" etc")))
             .when(k % 5 == 3, "on Abc 12, 2014").otherwise("x"))
-    return T.table(spark, sf, "orders").select(k.alias("obs_id"), H.parse_posted_date(text).alias("posted"), H.parse_card_date(card).alias("carded"))
+    return T.table(spark, sf, "orders").select(k.alias("obs_id"), H.parse_card_date(card).alias("carded"))
 
 
 @query("parse_reservation", """SELECT o_orderkey AS obs_id, CASE WHEN o_orderkey % 5 < 4 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day,
@@ -133,9 +139,9 @@ def split_on_last_comma(spark, sf):
     return T.table(spark, sf, "customer").select(k, name.alias("name"), town.alias("town"))
 
 
-# --- listing pages: one per customer, a card per order -----------------------------------------
+# --- listing pages: twelve cards on a page, a card per order -------------------------------------
 def listing_pages(spark, sf):
-    o = T.table(spark, sf, "orders").where(F.col("o_custkey").isNotNull())
+    o = T.table(spark, sf, "orders")
     k = F.col("o_orderkey")
     prop = F.when(k % 4 != 3, F.format_string("Property : Lake %d &amp; Co: East , Town %d<br>", k % 25, k % 9)).otherwise("")
     card = F.format_string(
@@ -143,12 +149,12 @@ def listing_pages(spark, sf):
         '<div class="table-replies"><span>Replies :</span> %d</div><div class="table-views"><i>seen</i> %d </div></div>',
         k, k, prop, F.col("o_custkey"), F.date_format("o_orderdate", "MMM d, yyyy"), k % 13, k % 1000)
     cards = F.array_sort(F.collect_list(F.struct(k.alias("k"), card.alias("c"))))
-    return o.groupBy(F.col("o_custkey").alias("page_id")).agg(
+    return o.groupBy(F.floor(k / 12).alias("page_id")).agg(
         F.concat(F.lit('<div class="divTable"><div class="head">x</div>'), F.array_join(F.transform(cards, lambda s: s["c"]), ""), F.lit("</div>")).alias("html"))
 
 
 @query("parse_listing_cards", """
-SELECT o_custkey AS page_id, o_orderkey AS report_id, 'Report ' || o_orderkey AS title, CASE WHEN o_orderkey % 4 <> 3 THEN 'Lake ' || (o_orderkey % 25) || ' & Co: East' END AS lake_name,
+SELECT CAST(floor(o_orderkey / 12) AS BIGINT) AS page_id, o_orderkey AS report_id, 'Report ' || o_orderkey AS title, CASE WHEN o_orderkey % 4 <> 3 THEN 'Lake ' || (o_orderkey % 25) || ' & Co: East' END AS lake_name,
   CASE WHEN o_orderkey % 4 <> 3 THEN 'Town ' || (o_orderkey % 9) END AS lake_town, 'Author ' || o_custkey AS author, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS posted_date,
   o_orderkey % 13 AS replies, o_orderkey % 1000 AS views FROM orders""")
 def parse_listing_cards(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import astro, dates, geo
 from ..operators import series as S
+from ..sources.tables import spread
 from . import testbed as T
 from .registry import query, r6
 from .units import cols
@@ -250,7 +251,7 @@ BEARING = ("degrees(atan2(sin(radians(lon + 96.797::DOUBLE)) * cos(radians(lat))
 
 def points(spark, sf):
     k = F.col("c_custkey")
-    return T.table(spark, sf, "customer").select(
+    return spread(T.table(spark, sf, "customer")).select(
         k, (25.8 + ((k * 37) % 113) / 10.0).alias("lat"), (-103.1 + ((k * 53) % 96) / 10.0).alias("lon"))
 
 

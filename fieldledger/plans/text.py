@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X, vocabulary as V
 from ..operators import phrases as P, rules, taxonomy as TX
+from ..sources.tables import settle, spread
 from . import testbed as T
 from .registry import query, r6
 from .units import cols
@@ -26,7 +27,7 @@ reports AS (SELECT obs_id, o_custkey,
 
 
 def reports(spark, sf):
-    o = T.table(spark, sf, "orders")
+    o = spread(T.table(spark, sf, "orders"))
     price = F.col("o_totalprice")
     src = o.select(F.col("o_orderkey").alias("obs_id"), "o_custkey", (F.col("o_custkey") % 40).alias("a"),
                    (F.floor(price) % 10).alias("b"), (F.floor(price / 10) % 10).alias("c"),
@@ -223,7 +224,7 @@ _DOCS = "docs AS (SELECT doc_id AS obs_id, source AS unit, lang, text AS body FR
 
 
 def docs(spark, sf):
-    return T.table(spark, sf, "documents").select(
+    return spread(T.table(spark, sf, "documents")).select(
         F.col("doc_id").alias("obs_id"), F.col("source").alias("unit"), "lang", F.col("text").alias("body"))
 
 
@@ -465,8 +466,7 @@ sc AS (SELECT unit, phrase, df, n, ln(((df + 0.5) / (n + 1)) / ((c + 0.5) / ((SE
 
 
 def distinctive(spark, sf, min_df=6, min_lift=0.35):
-    from ..sources.tables import settle
-    index = settle(P.mention_index(P.phrase_sets(tokens(spark, sf))))
+    index = P.mention_index(P.phrase_sets(tokens(spark, sf)))
     return P.distinctive_phrases(index, docs(spark, sf), min_df=min_df, min_lift=min_lift)
 
 

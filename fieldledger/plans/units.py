@@ -120,7 +120,7 @@ def rate_by_month(spark, sf):
     return U.rate_by_month(T.observations(spark, sf))
 
 
-for _name, _col in (("rate_by_slot", "slot"), ("rate_by_year", "year")):
+for _name, _col in (("by_slot", "slot"), ("by_year", "year")):
     @query(_name, f"SELECT unit, {_col}, count(*) AS n, {r6('median(rate)')} AS median, {r6('avg(rate)')} AS mean FROM scored GROUP BY unit, {_col}")
     def _rate_by(spark, sf, col=_col):
         return U.rate_by(T.observations(spark, sf), ["unit", col])

@@ -18,3 +18,13 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as cores, for CPU-heavy row work.
+
+    Large tables have far more splits than cores and pass unchanged, without a
+    shuffle; only a table that fits into a few splits is redistributed.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
