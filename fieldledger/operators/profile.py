@@ -6,7 +6,7 @@ calendar or by a top-k.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import recommend as R, units as U
 from .effects import LABEL_SUPPORT_ORDER, support_rank
@@ -75,10 +75,12 @@ def club_label_plan(evidence: DataFrame) -> DataFrame:
 def presentation_plan(club: DataFrame, local: DataFrame) -> DataFrame:
     """Presentations to use (three), avoid (two) and that are unstable, archive-wide,
     with each unit's own figure alongside. local: unit, label, diff, trips."""
-    side = F.when(F.col("support") == "backed", "use").when(F.col("support") == "below", "avoid").when(F.col("support") == "unstable", "unstable")
-    cap = F.when(F.col("side") == "use", 3).when(F.col("side") == "avoid", 2).otherwise(1000000)
+    support = F.col("support")
+    side = F.when(support == "backed", "use").when(support == "below", "avoid").when(support == "unstable", "unstable")
     sided = club.withColumn("side", side).where(F.col("side").isNotNull())
-    ranked = topk_per_group(sided, ["side"], [F.desc("diff"), F.asc("label")], 1000000, rank="rank").where(F.col("rank") <= cap)
+    order = Window.partitionBy("side").orderBy(F.desc("diff"), F.asc("label"))
+    shown = F.when(F.col("side") == "use", 3).when(F.col("side") == "avoid", 2)
+    ranked = sided.withColumn("rank", F.row_number().over(order)).where(F.coalesce(F.col("rank") <= shown, F.lit(True)))
     here = local.select("unit", "label", F.col("diff").alias("here_diff"), F.col("trips").alias("here_trips"))
     return ranked.select("side", "rank", "label", "trips", "diff").join(here, "label", "left")
 
