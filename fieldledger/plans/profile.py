@@ -86,7 +86,13 @@ def club_label_plan(spark, sf):
     return P.club_label_plan(club_evidence(spark, sf))
 
 
-@query("presentation_plan")
+@query("presentation_plan", f"""
+loc AS (SELECT * FROM (WITH {PE.UNIT_TAG_SQL} SELECT unit, label, diff AS here_diff, trips AS here_trips FROM unit_tag)),
+{PE.TAG_SQL},
+s AS (SELECT *, CASE support WHEN 'backed' THEN 'use' WHEN 'below' THEN 'avoid' WHEN 'unstable' THEN 'unstable' END AS side FROM tag_eff),
+r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY diff DESC, label) AS rank FROM s WHERE side IS NOT NULL)
+SELECT side, rank, label, trips, {cols('diff')}, unit, {cols('here_diff')}, here_trips FROM r LEFT JOIN loc USING (label)
+WHERE (side = 'use' AND rank <= 3) OR (side = 'avoid' AND rank <= 2) OR side = 'unstable'""")
 def presentation_plan(spark, sf):
     local = E.unit_tag_effects(settle(PE.tag_moments(spark, sf, ["unit"])), ["unit"])
     return P.presentation_plan(PE.tag_rows(spark, sf), local)

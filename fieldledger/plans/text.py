@@ -477,7 +477,15 @@ def distinctive_phrases(spark, sf):
     return distinctive(spark, sf, min_df=4, min_lift=0.2)
 
 
-@query("phrase_greedy_dedupe")
+STEM = ("array_to_string(list_transform(string_split(phrase, ' '), lambda w: CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y'"
+        " WHEN regexp_matches(w, '[sxzh]es$') AND length(w) > 4 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND NOT w LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END), ' ')")
+
+
+@query("phrase_greedy_dedupe", f"""{DISTINCTIVE.format(min_df=4)},
+li AS (SELECT unit, list([phrase || '|' || {STEM}] ORDER BY round(lift * ln(1 + df), 9) DESC, phrase) AS items FROM sc WHERE lift > 0.2 GROUP BY unit),
+kept AS (SELECT unit, list_reduce(items, lambda acc, x: CASE WHEN len(acc) >= 10 OR len(list_filter(acc, lambda k: contains(split_part(k, '|', 1), split_part(x[1], '|', 1))
+  OR contains(split_part(x[1], '|', 1), split_part(k, '|', 1)) OR split_part(k, '|', 2) = split_part(x[1], '|', 2))) > 0 THEN acc ELSE list_concat(acc, x) END) AS l FROM li)
+SELECT unit, i AS rank, split_part(l[i], '|', 1) AS phrase FROM kept, unnest(range(1, len(l) + 1)) t(i)""")
 def phrase_greedy_dedupe(spark, sf):
     return P.phrase_greedy_dedupe(distinctive(spark, sf, min_df=4, min_lift=0.2))
 
