@@ -1,12 +1,11 @@
 """Calibration, lift and matched effects on the bound tables."""
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions.bands import size_band
 from ..functions.stats import shrunk_mean
 from ..operators import cohort as C, effects as E, effort, lift
-from ..operators.ranking import topk_per_group
 from ..sources.tables import settle
 from . import testbed as T
 from .registry import query, r6
@@ -433,7 +432,7 @@ def band_sql(things: str, column: str, where: str) -> str:
 {usage_sql('use', 'flagged', ['band'])}, {effect_sql('pooled', 'flagged', ['band'])},
 {effect_sql('half_eff', 'flagged', ['band', 'half'])}, {usage_sql('half_use', 'flagged', ['band', 'half'])},
 half_ok AS (SELECT band, label, half, e.diff AS hd FROM half_eff e JOIN half_use h USING (band, half, label)
-            WHERE scored_n >= 80 AND trips >= 15),
+            WHERE scored_n >= 80 AND trips >= 15 AND band IN (SELECT band FROM halved GROUP BY band HAVING count(*) >= 300)),
 stab AS (SELECT band, label, halves, CASE WHEN halves = 2 THEN agree ELSE 0 END AS halves_agreeing,
                 CASE WHEN halves = 2 THEN agree = 2 END AS stable FROM (
   SELECT p.band, p.label, count(hd) AS halves, count(*) FILTER (WHERE (hd > 0) = (p.diff > 0)) AS agree

@@ -43,8 +43,9 @@ def profiles_all(spark, sf):
         F.get("labels", F.lit(0))["category"].alias("top_label"), names("species", "species").alias("species"), F.array_join("veg_top", ",").alias("veg"), "cv")
 
 
-@query("slim_sections", f"""{PROFILE_SQL}
-SELECT unit, months, least(years, 8) AS years, CAST(8 AS BIGINT) AS labels, CAST(12 AS BIGINT) AS evidence, CAST(3 AS BIGINT) AS species, CAST(6 AS BIGINT) AS veg FROM vol JOIN mon USING (unit) JOIN yr USING (unit)""")
+@query("slim_sections", f"""{PROFILE_SQL}, ev AS (SELECT * FROM (WITH {PE.EVIDENCE_SQL} SELECT unit, label FROM evidence))
+SELECT unit, months, least(years, 8) AS years, (SELECT least(count(*), 8) FROM lifted l WHERE l.unit = vol.unit) AS labels, (SELECT least(count(*), 12) FROM ev WHERE ev.unit = vol.unit) AS evidence,
+  CAST(3 AS BIGINT) AS species, CAST(6 AS BIGINT) AS veg FROM vol JOIN mon USING (unit) JOIN yr USING (unit)""")
 def slim_sections(spark, sf):
     slim = P.slim_sections(profiles(spark, sf))
     return slim.select("unit", F.size("by_month").alias("months"), F.size("by_year").alias("years"), F.size("labels").alias("labels"),

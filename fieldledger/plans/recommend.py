@@ -3,13 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.bands import band_of
-from ..functions import bands as B
 from ..operators import recommend as R
 from . import testbed as T
 from .effects import lift_sql
 from .registry import query, r6
-from .units import CONSISTENCY, COHORTS, HOME_MILES, cols, cohorts
+from .units import COHORTS, HOME_MILES, cols, cohorts
 
 AS_OF_YEAR, MONTH, DAY = 2001, 7, "2001-07-14"
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import incremental as S
 from . import testbed as T
-from .registry import query, r6
+from .registry import query
 from .units import cols
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.bands import cut_right
 from ..functions.dates import calendar_parts
 from ..operators.effort import calibrate_effort, restate_rates
 from ..operators.series import conditions_columns
