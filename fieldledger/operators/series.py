@@ -76,8 +76,8 @@ def interval_daily_columns(expanded: DataFrame) -> DataFrame:
     wind in mph, middle wind direction, summed rain in inches."""
     is_f = lambda name: F.col("field") == name
     pick = lambda name, c="amount": F.when(is_f(name), F.col(c))
-    # The element at position size // 2 of the hourly list, in interval order.
-    w = Window.partitionBy("cell", "day").orderBy("valid_time", "seq")
+    # The element at position size // 2 of the hourly list, by interval start, then sequence.
+    w = Window.partitionBy("cell", "day").orderBy("start_day", "start_hour", "seq")
     winds = expanded.where(is_f("windDirection")).withColumns({
         "_to": F.sum("h").over(w), "_size": F.sum("h").over(Window.partitionBy("cell", "day"))})
     middle = F.floor(F.col("_size") / 2)
