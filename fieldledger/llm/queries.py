@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .toxicity import toxicity
+from .warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +64,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest,
+      CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to, true AS intact FROM k
+"""
+
+
+@query("op9_warc", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
