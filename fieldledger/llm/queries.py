@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .lines import remove_boilerplate
+from .quality import quality
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .toxicity import toxicity
@@ -79,3 +81,26 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 @query("op9_warc", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH l AS (SELECT doc_id, source, t.i AS i, string_split(text, chr(10))[t.i] AS line
+           FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)),
+s AS (SELECT line, min(doc_id) AS first FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
+      GROUP BY line HAVING count(DISTINCT source) >= 10),
+r AS (SELECT doc_id, i, line, coalesce(doc_id <> first, false) AS gone FROM l LEFT JOIN s USING (line)),
+k AS (SELECT doc_id, sum(gone::INT) AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+      FROM r GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_lines_removed, sha256(kept) AS kept_sha256 FROM k
+"""
+
+
+@query("op7_line_dedup", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
