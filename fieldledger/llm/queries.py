@@ -12,6 +12,7 @@ from .lines import remove_boilerplate
 from .quality import quality
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .suffix import remove_later_copies
 from .toxicity import toxicity
 from .warc import archive_round_trip
 
@@ -111,3 +112,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_license_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_later_copies(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("span_start").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
