@@ -3,12 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .licenses import scan
 from .lines import remove_boilerplate
+from .pieces import sampled_segmentations
 from .quality import quality
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -58,6 +60,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    each = lambda of: F.transform("samples", of)
+    return rows.select("doc_id", F.coalesce(F.size("samples"), F.lit(0)).cast("long").alias("n_samples"),
+                       each(lambda s: F.size(s["ids"])).alias("n_pieces"), each(lambda s: s["log_prob"]).alias("log_prob"),
+                       each(lambda s: s["score"]).alias("score"), each(lambda s: s["inclusion"]).alias("inclusion"),
+                       each(lambda s: F.sha2(F.array_join(s["ids"].cast("array<string>"), " "), 256)).alias("ids_sha256"),
+                       "exact")
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
