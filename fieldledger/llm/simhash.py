@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -87,6 +87,19 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return look.join(index, ["half", "bits"]).filter(near & once & (F.col("a") != F.col("b"))).select("a", "b")
 
 
+def groups(rows: DataFrame) -> DataFrame:
+    """Of settled rows (doc_id, print): print, its first doc_id and rows n_same, label (the same for all prints
+    of a group), component_id and n_links."""
+    classes = settle(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_same")))
+    links = settle(near_links(classes.select("print")))
+    degree = (links.select("a", "b").union(links.select("b", "a")).toDF("print", "other")
+              .groupBy("print").agg(F.countDistinct("other").alias("n_links")))
+    known = (classes.join(components(links).withColumnRenamed("node", "print"), "print", "left")
+             .withColumn("label", F.coalesce("label", "print")).join(degree, "print", "left")
+             .withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
+    return known.join(known.groupBy("label").agg(F.min("first").alias("component_id")), "label")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Columns doc_id, fingerprint (16 hex digits), component_id, n_same and n_links for each row of docs.
 
@@ -94,17 +107,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_same counts the rows with the same print, n_links the different prints next to it. Texts that are
     null, empty or blank share print 0. Rows with a null doc_id take part and never name a component,
     unless all its rows have none (then it is null). Repeated rows are kept. Other columns are ignored.
+    Equal prints are one node, so a group of copies costs one row; each link of different prints is a row.
     """
     rows = settle(fingerprints(docs))
-    classes = settle(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_same")))
-    links = settle(near_links(classes.select("print")))
-    label = components(links)
-    degree = (links.select("a", "b").union(links.select("b", "a")).toDF("print", "other")
-              .groupBy("print").agg(F.countDistinct("other").alias("n_links")))
-    known = (classes.join(label.withColumnRenamed("node", "print"), "print", "left")
-             .withColumn("label", F.coalesce("label", "print")).join(degree, "print", "left"))
-    least = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    return (rows.join(known.join(least, "label"), "print")
+    return (rows.join(groups(rows), "print")
             .select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id",
-                    "n_same", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+                    "n_same", "n_links"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of docs: that of the smallest doc_id (nulls
+    last), of equal ids that of the smallest text. The rest of a group is cut to one row within each task
+    before rows move."""
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text"))
+    rows = settle(packed.mapInArrow(_packed, f"row {packed.schema['row'].dataType.simpleString()}, print long")
+                  .withColumn("doc_id", F.col("row.doc_id").cast("long")))
+    label = groups(rows.select("doc_id", "print")).select("print", "label")
+    first = Window.partitionBy("label").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("row.text"), "row.text")
+    return (rows.join(label, "print").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+            .select("row.*"))
+
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = as_bytes(batch.column("text"))
+        raw = memoryview(data)
+        prints = np.array([fingerprint(bytes(raw[a:b])) for a, b in zip(offs[:-1], offs[1:])], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints.view(np.int64))], ["row", "print"])
