@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
 LAST_ID = (1 << 63) - 1          # the order of a row without an id: after every id
@@ -77,6 +78,16 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
                   .withColumn("tid", F.monotonically_increasing_id()))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of docs in one struct, row, next to text: no name of theirs can clash."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text"))
+
+
+def with_row(docs: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
+    """The schema of packed rows with further fields in place of text."""
+    return T.StructType([packed(docs).schema["row"], *(T.StructField(name, kind) for name, kind in fields)])
+
+
 # ---------------------------------------------------------------- texts as arrays
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -207,7 +207,7 @@ def uniform(keys: np.ndarray, *places) -> np.ndarray:
 
 def uniform_key(keys: np.ndarray, *places: int) -> np.ndarray:
     for p in places:
-        keys = mix(keys + STRIDE * np.uint64(p + 1))
+        keys = mix(keys + STRIDE * np.array([p + 1], np.uint64))
     return keys
 
 

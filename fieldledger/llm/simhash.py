@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, as_bytes, components, settle
+from .common import LOWER, as_bytes, components, packed, settle, with_row
 
 SEED = 42
 DISTANCE = 3
@@ -119,8 +120,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs: that of the smallest doc_id (nulls
     last), of equal ids that of the smallest text. The rest of a group is cut to one row within each task
     before rows move."""
-    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text"))
-    rows = settle(packed.mapInArrow(_packed, f"row {packed.schema['row'].dataType.simpleString()}, print long")
+    rows = settle(packed(docs).mapInArrow(_packed, with_row(docs, ("print", T.LongType())))
                   .withColumn("doc_id", F.col("row.doc_id").cast("long")))
     label = groups(rows.select("doc_id", "print")).select("print", "label")
     first = Window.partitionBy("label").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("row.text"), "row.text")

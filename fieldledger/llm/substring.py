@@ -112,8 +112,9 @@ def _cut(width: int):
 
 
 def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The keys that occur at least twice. Counts are combined before the shuffle, so hot keys stay small."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*key)
+    """The keys that occur at least twice, settled. Counts are combined before the shuffle, so hot keys stay
+    small; and both sides of a later join are then plain shuffles, of which Spark can split a hot partition."""
+    return settle(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*key))
 
 
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:

@@ -238,7 +238,7 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     """
     texts = distinct_texts(docs)
     anchors = texts.select("tid", "text").mapInArrow(_emit_anchors(width, gram), "anchor long, tid long")
-    shared = settle(repeated(anchors, ["anchor"]))
+    shared = repeated(anchors, ["anchor"])
     twice = settle(anchors.join(shared, "anchor", "left_semi")
                    .groupBy("tid").agg(F.collect_set("anchor").alias("anchors")))
     found = settle(texts.select("tid", "text", "first").join(twice, "tid").mapInArrow(

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, NOT_ALNUM, blocks, byte_table, mix, powers, prefix_sums, settle
+from .common import LOWER, NOT_ALNUM, blocks, byte_table, mix, packed, powers, prefix_sums, settle, with_row
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
@@ -120,14 +121,17 @@ def _train(odds: float):
     return run
 
 
-def _score(worth: np.ndarray, bias: float):
+def _score(worth: np.ndarray, bias: float, carried: str):
+    """The score of each row's text, next to one carried column."""
+    worth = worth.astype(np.float32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches):
             word, bucket, row_of_word = subwords(data, offs)
             total = np.bincount(row_of_word[word], worth[bucket] * weights(word, row_of_word, batch.num_rows),
                                 batch.num_rows)
             score = 1 / (1 + np.exp(-np.clip(total + bias, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(carried), pa.array(score)], [carried, "score"])
     return run
 
 
@@ -169,24 +173,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thr
     kept. Without labels of both classes every score is that of the counted odds.
     """
     worth, bias = train(docs, labels, per_class)
-    return (docs.select("doc_id", "text").mapInArrow(_scored(worth, bias), "doc_id long, score double")
+    given = docs.select("doc_id", "text")
+    return (given.mapInArrow(_score(worth, bias, "doc_id"),
+                             T.StructType([given.schema["doc_id"], T.StructField("score", T.DoubleType())]))
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
-def _scored(worth: np.ndarray, bias: float):
-    inner = _score(worth.astype(np.float32), bias)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in inner(batches):
-            yield batch.select(["doc_id", "score"])
-    return run
-
-
 def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
     """The rows of docs scored below the threshold, with their columns unchanged."""
     worth, bias = train(docs, labels, per_class)
-    named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("text"))
-    scored = named.mapInArrow(_score(worth.astype(np.float32), bias),
-                              f"row {named.schema['row'].dataType.simpleString()}, text string, score double")
+    scored = packed(docs).mapInArrow(_score(worth, bias, "row"), with_row(docs, ("score", T.DoubleType())))
     return scored.filter(F.col("score") < threshold).select("row.*")
