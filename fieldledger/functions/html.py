@@ -13,14 +13,20 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&a
 def unescape(text: Column) -> Column:
     """Numeric and common named entities decoded; texts without '&' pass untouched."""
     def char(n: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        """The character of a code point; the replacement character where there is none."""
+        valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
-    decimal = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,6});"), F.lit(1)))
-    hexes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#[xX]([0-9a-fA-F]{1,5});"), F.lit(1)))
+    def hex_value(n: Column) -> Column:
+        digits = F.regexp_replace(n, "^0+", "")
+        return F.when(F.length(digits) <= 8, F.conv(digits, 16, 10)).try_cast("bigint")
+
+    decimal = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d+);"), F.lit(1)))
+    hexes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#[xX]([0-9a-fA-F]+);"), F.lit(1)))
     out = F.aggregate(decimal, text, lambda t, n: F.replace(
-        t, F.concat(F.lit("&#"), n, F.lit(";")), char(n.cast("bigint"))))
+        t, F.concat(F.lit("&#"), n, F.lit(";")), char(n.try_cast("bigint"))))
     out = F.aggregate(hexes, out, lambda t, n: F.regexp_replace(
-        t, F.concat(F.lit("&#[xX]"), n, F.lit(";")), char(F.conv(n, 16, 10).cast("bigint"))))
+        t, F.concat(F.lit("&#[xX]"), n, F.lit(";")), char(hex_value(n))))
     for name, value in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(value))
     return F.when(text.contains("&"), out).otherwise(text)

@@ -10,13 +10,11 @@ from ..sources.tables import settle
 from .ranking import topk_per_group
 
 MIN_BAND, MIN_TRIPS, SUGGESTIVE, BACKED = 300, 40, 60, 90
-MAX_ACRES = 500
-MIN_UNIT_ROWS, MAX_UNITS = 60, 90
+MIN_UNIT_ROWS = 60
 
 
 def with_band(scored: DataFrame) -> DataFrame:
-    sized = scored.where((F.col("acres") > 0) & (F.col("acres") <= MAX_ACRES))
-    return sized.withColumn("band", size_band(F.col("acres")))
+    return scored.where(F.col("acres") > 0).withColumn("band", size_band(F.col("acres")))
 
 
 def band_summary(banded: DataFrame) -> DataFrame:
@@ -59,11 +57,11 @@ def band_advice(effects: DataFrame, units: DataFrame, k: int = 4) -> DataFrame:
     return sized.join(ranked, "band").select("unit", "band", "advice", "rank", "label", "diff")
 
 
-def big_units(obs: DataFrame, min_rows: int = MIN_UNIT_ROWS, max_units: int = MAX_UNITS) -> DataFrame:
-    """Scored rows of the busiest units that carry enough of them."""
+def big_units(obs: DataFrame, min_rows: int = MIN_UNIT_ROWS) -> DataFrame:
+    """Scored rows of every unit that carries enough of them."""
     sizes = obs.where(F.col("unit").isNotNull()).groupBy("unit").agg(
-        F.count("*").alias("_all"), F.count("rate").alias("_scored"))
-    chosen = sizes.orderBy(F.desc("_all"), "unit").limit(max_units).where(F.col("_scored") >= min_rows)
+        F.count("rate").alias("_scored"))
+    chosen = sizes.where(F.col("_scored") >= min_rows)
     return obs.where(F.col("rate").isNotNull()).join(chosen.select("unit"), "unit", "left_semi")
 
 

@@ -103,12 +103,14 @@ def alias_fold(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
 
 
 def norm_title(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    """Letters and digits only; NULL when none is left, so that such titles match nothing."""
+    return F.nullif(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), F.lit(""))
 
 
 def slug_dim(pairs: DataFrame) -> DataFrame:
     """Normalised name to its distinct slugs; a name may have several."""
-    return pairs.groupBy(norm_title(F.col("name")).alias("key")).agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
+    keyed = pairs.withColumn("key", norm_title(F.col("name"))).where(F.col("key").isNotNull())
+    return keyed.groupBy("key").agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
 
 
 def payload(sections: dict[str, DataFrame]) -> DataFrame:
@@ -122,8 +124,8 @@ def payload_sink(sections: dict[str, DataFrame], path: str) -> None:
     payload(sections).write.mode("overwrite").partitionBy("section").text(path)
 
 
-def sql_escape_hatch(spark: SparkSession, tables: dict[str, DataFrame], sql: str, limit: int = 200) -> DataFrame:
-    """Any SQL over the named tables, first rows only."""
+def sql_escape_hatch(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
+    """Any SQL over the named tables, with all its rows."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql).limit(limit)
+    return spark.sql(sql)

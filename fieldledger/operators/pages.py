@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H
 
-# Signs of an absent page served with a success status, and the size
-# above which a page is never one; labels of the field block.
+# Signs of an absent page served with a success status, and the block that
+# every report has; labels of the field block.
 MISSING_MARKERS = ["A PHP Error was encountered", "Attempt to read property"]
-MISSING_MAX_BYTES = 12000
+REPORT_BLOCK = H.class_open("post-right")
 FIELD_LABELS = ["Reservation Number", "Property Name", "Reservation Date", "Total Fish/Sizes", "Lures Used"]
 LAT_RANGE, LON_RANGE = (25.8, 37.1), (-103.1, -93.5)
 MARKER = r'\{[^{}]*"lat"\s*:\s*"-?\d[\d.]*"[^{}]*\}'
@@ -21,16 +21,17 @@ def page_scan(pages: DataFrame, kind: str, include_missing: bool = False) -> Dat
     return out if include_missing else out.where(~F.col("is_missing") & F.col("html").isNotNull())
 
 
-def is_missing(doc: Column, markers: list[str] = MISSING_MARKERS, max_len: int = MISSING_MAX_BYTES) -> Column:
+def is_missing(doc: Column, markers: list[str] = MISSING_MARKERS, block: str = REPORT_BLOCK) -> Column:
+    """An error marker and no report: told by content, whatever the length of the page."""
     hit = F.lit(False)
     for m in markers:
         hit = hit | doc.contains(m)
-    return (F.length(doc) <= max_len) & hit
+    return hit & ~doc.rlike(block)
 
 
 def missing_stub_filter(pages: DataFrame, markers: list[str] = MISSING_MARKERS,
-                        max_len: int = MISSING_MAX_BYTES) -> DataFrame:
-    return pages.where(~is_missing(F.col("html"), markers, max_len))
+                        block: str = REPORT_BLOCK) -> DataFrame:
+    return pages.where(~is_missing(F.col("html"), markers, block))
 
 
 def parse_listing_cards(pages: DataFrame) -> DataFrame:
@@ -43,8 +44,8 @@ def parse_listing_cards(pages: DataFrame) -> DataFrame:
     cards = cards.withColumn("report_id", href.try_cast("bigint")).where(F.col("report_id").isNotNull())
     cards = cards.withColumn("text", H.node_text(F.col("summary")))
     text = F.col("text")
-    prop = F.coalesce(F.nullif(F.regexp_extract("summary", r"Property\s*:\s*([^\n<]{2,90})", 1), F.lit("")),
-                      F.nullif(F.regexp_extract(text, r"Property\s*:\s*([^\n<]{2,90})", 1), F.lit("")))
+    prop = F.coalesce(F.nullif(F.regexp_extract("summary", r"Property\s*:\s*([^\n<]{2,})", 1), F.lit("")),
+                      F.nullif(F.regexp_extract(text, r"Property\s*:\s*(.{2,}?)\s*(?:Started\s*By|$)", 1), F.lit("")))
     name, town = H.split_on_last_comma(H.unescape(prop))
     started = r"(?s)Started\s*By\s*:\s*(.*?)\s*,\s*([A-Z][a-z]{2}\s+\d{1,2},\s*\d{4})"
     parsed = cards.select(
@@ -110,8 +111,7 @@ def parse_unit_page(pages: DataFrame) -> DataFrame:
     found = F.flatten(F.array(*[F.regexp_extract_all(info, F.lit(p), F.lit(1)) for p in DEPTHS]))
     depths = F.filter(F.transform(found, lambda x: x.try_cast("double")), lambda v: v.between(*DEPTH_RANGE))
     hit = lambda rx, i=1: F.nullif(H.clean(F.regexp_extract(text, rx, i)), F.lit(""))
-    boat = F.trim(F.get(F.split(hit(r"(?i)Boat Availability\s*(.{0,80})"),
-                                "Boat Launch|Tent Camping|Property Info"), F.lit(0)))
+    boat = hit(r"(?is)Boat Availability\s*(.*?)(?:Boat Launch|Tent Camping|Property Info|\.|$)")
     heading = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")),
                          F.regexp_extract("html", r"(?is)<h2[^>]*>(.*?)</h2>", 1))
     bank = F.when(text.rlike("(?i)Bank fishing is available"), 1).when(text.rlike("(?i)Bank fishing is not available"), 0)
@@ -121,7 +121,7 @@ def parse_unit_page(pages: DataFrame) -> DataFrame:
         F.array_max(depths).alias("max_depth_ft"), hit(TIER).alias("membership_tier"), bank.alias("bank_fishing"),
         boat.alias("boat_type"), H.money_after(text, "Day Rate").alias("day_rate"),
         H.money_after(text, "Half-Day Rate").alias("half_day_rate"), hit(REGION).alias("region"),
-        hit(r"(?i)(Please harvest[^.]{0,200}\.)").alias("harvest_rules"))
+        hit(r"(?i)(Please harvest[^.]*\.)").alias("harvest_rules"))
 
 
 def json_marker_extract(pages: DataFrame, html: str = "html") -> DataFrame:

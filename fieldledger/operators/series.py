@@ -56,13 +56,15 @@ def interval_expand_daily(intervals: DataFrame, spread: bool = False) -> DataFra
     """
     start_text = F.split_part("valid_time", F.lit("/"), F.lit(1))
     span = F.split_part("valid_time", F.lit("/"), F.lit(2))
-    number = lambda rx: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(span, rx, 1), F.lit("")), F.lit("999999")), F.lit(0)).cast("int")
+    digits = lambda rx: F.regexp_extract(span, rx, 1)
+    number = lambda rx: F.when(digits(rx) == "", 0).otherwise(digits(rx).try_cast("int"))
     hours = F.greatest(F.lit(1), number("^P(\\d+)D") * 24 + number("^P(?:\\d+D)?T?(\\d+)H"))
     # Calendar date and hour as written; the offset does not move them.
     rows = (intervals.where(F.col("value").isNotNull())
             .withColumn("start_day", F.to_date(F.substring(start_text, 1, 10)))
             .withColumn("start_hour", F.substring(start_text, 12, 2).cast("int"))
-            .withColumn("hours", hours))
+            .withColumn("hours", F.when(number("^P(\\d+)D").isNotNull() & number("^P(?:\\d+D)?T?(\\d+)H").isNotNull(), hours))
+            .where(F.col("hours").isNotNull()))
     last = F.floor((F.col("start_hour") + F.col("hours") - 1) / 24).cast("int")
     per_day = rows.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
     first_hour = F.greatest(F.lit(0), F.col("start_hour") - 24 * F.col("k"))

@@ -344,9 +344,9 @@ grp AS (SELECT unit, count(*) AS n_compared,
   arg_min(label, (-trips, -diff, label)) FILTER (WHERE support = 'suggestive') AS closest
   FROM evidence GROUP BY unit)
 SELECT unit, n_compared, backed, suggestive, below, unstable,
-  CASE WHEN n_backed = 1 THEN backed || ' is the one label here the archive actually separates from the rest'
-       WHEN n_backed > 1 THEN CAST(n_backed AS VARCHAR) || ' labels separate from the rest here: ' || backed
-       WHEN closest IS NOT NULL THEN 'Nothing clears the bar outright; ' || closest || ' comes closest, over ' || CAST(most AS VARCHAR) || ' trips'
+  CASE WHEN n_backed = 1 THEN backed || ' alone holds up in the matched comparison'
+       WHEN n_backed > 1 THEN CAST(n_backed AS VARCHAR) || ' labels hold up in the matched comparison: ' || backed
+       WHEN closest IS NOT NULL THEN 'No label holds up; nearest is ' || closest || ' with n=' || CAST(most AS VARCHAR) || ' trips'
        ELSE 'No label at this unit separates from the others once trips are matched on how much they described' END AS lead
 FROM grp""")
 def support_summary(spark, sf):
@@ -417,7 +417,7 @@ def size_band_query(spark, sf):
 
 
 BANDED = """banded AS (SELECT f.*, CASE WHEN acres <= 15 THEN 'small' WHEN acres <= 30 THEN 'mid' ELSE 'large' END AS band
-  FROM (SELECT o.*, u.acres FROM scored o JOIN units u USING (unit_id)) f WHERE acres > 0 AND acres <= 500)"""
+  FROM (SELECT o.*, u.acres FROM scored o JOIN units u USING (unit_id)) f WHERE acres > 0)"""
 
 
 def half_sql(source: str, keys: list[str]) -> str:
@@ -489,7 +489,7 @@ def band_advice(spark, sf):
 
 
 # --- repeatability ----------------------------------------------------------------
-SPLIT_UNITS = """big AS (SELECT unit FROM obs GROUP BY unit ORDER BY count(*) DESC, unit LIMIT 90),
+SPLIT_UNITS = """big AS (SELECT unit FROM obs WHERE unit IS NOT NULL GROUP BY unit),
 split_src AS (SELECT * FROM scored WHERE unit IN (SELECT unit FROM big)
   AND unit IN (SELECT unit FROM scored GROUP BY unit HAVING count(*) >= 60))"""
 

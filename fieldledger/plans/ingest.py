@@ -152,7 +152,7 @@ def slug_dim(spark, sf):
     return I.slug_dim(pairs).select("key", F.array_join("slugs", ",").alias("slugs"))
 
 
-@query("sql_escape_hatch", f"SELECT unit, slot, count(*) AS n, {r6('avg(count_total)')} AS mean FROM obs WHERE slot IS NOT NULL GROUP BY unit, slot ORDER BY unit, slot LIMIT 200")
+@query("sql_escape_hatch", f"SELECT unit, slot, count(*) AS n, {r6('avg(count_total)')} AS mean FROM obs WHERE slot IS NOT NULL GROUP BY unit, slot ORDER BY unit, slot")
 def sql_escape_hatch(spark, sf):
     return I.sql_escape_hatch(spark, {"trips": T.observations(spark, sf)},
                               "SELECT unit, slot, count(*) AS n, avg(count_total) AS mean FROM trips WHERE slot IS NOT NULL GROUP BY unit, slot ORDER BY unit, slot")

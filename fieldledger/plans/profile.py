@@ -65,9 +65,9 @@ NARRATE_SQL = f"""{CONSISTENCY},
 ev AS (SELECT * FROM (WITH {PE.EVIDENCE_SQL} SELECT unit, label, trips, diff, support FROM evidence)),
 evl AS (SELECT unit, count(*) AS compared, list(replace(label, '_', ' ') || ' (' || CASE WHEN diff >= 0 THEN '+' ELSE '-' END || printf('%.2f', abs(diff)) || ' fish an hour over ' || trips || ' trips)' ORDER BY diff DESC) FILTER (WHERE support = 'backed') AS b,
   list(replace(label, '_', ' ') ORDER BY diff DESC) FILTER (WHERE support = 'below') AS w FROM ev GROUP BY unit),
-lab_line AS (SELECT unit, CASE WHEN len(b) > 0 THEN 'Matched against the other baits on comparably detailed trips, ' || array_to_string(b[1:2], ' and ') || CASE WHEN len(b) = 1 THEN ' stands out.' ELSE ' stand out.' END
-   ELSE 'No bait here separates from the others once trips are matched on how much they described — across ' || compared || ' baits compared, every interval crosses zero.' END
-   || CASE WHEN len(w) > 0 THEN ' Running behind: ' || array_to_string(w[1:2], ', ') || '.' ELSE '' END AS label_line FROM evl),
+lab_line AS (SELECT unit, CASE WHEN len(b) > 0 THEN 'Within matched strata, ' || array_to_string(b[1:2], ' and ') || CASE WHEN len(b) = 1 THEN ' leads.' ELSE ' lead.' END
+   ELSE 'Within matched strata no label differs from the rest (' || compared || ' compared, all intervals include zero).' END
+   || CASE WHEN len(w) > 0 THEN ' Trailing: ' || array_to_string(w[1:2], ', ') || '.' ELSE '' END AS label_line FROM evl),
 med AS (SELECT unit, median(rate) AS md FROM scored GROUP BY unit),
 rs AS (SELECT unit, md, 100.0 * (SELECT count(*) FROM med q WHERE q.md < med.md) / (SELECT count(*) FROM med) AS pct, (SELECT median(rate) FROM scored) AS cmd, (SELECT count(*) FROM scored z WHERE z.unit = med.unit) AS sc FROM med),
 mm AS (SELECT unit, month, count(*) AS n, median(rate) AS md FROM scored GROUP BY unit, month HAVING count(*) >= 5 AND median(rate) > 0),
@@ -75,23 +75,23 @@ ma AS (SELECT mm.*, med.md AS overall, (n * mm.md + 8.0 * med.md) / (n + 8.0) AS
 mr AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY adj DESC, month) AS r, count(*) OVER (PARTITION BY unit) AS k FROM ma),
 ml AS (SELECT unit, max(month) FILTER (WHERE r = 1) AS bm, max(md) FILTER (WHERE r = 1) AS bmd, max(n) FILTER (WHERE r = 1) AS bn, max(month) FILTER (WHERE r = k) AS wm, max(md) FILTER (WHERE r = k) AS wmd, max(n) FILTER (WHERE r = k) AS wn,
   list({MONTH_SQL.format(m='month')} ORDER BY r) FILTER (WHERE r IN (2, 3) AND adj > overall) AS runners FROM mr WHERE k >= 4 GROUP BY unit),
-month_line AS (SELECT unit, 'Fishes best in ' || {MONTH_SQL.format(m='bm')} || ' — ' || round(bmd, 2) || ' fish an hour across ' || bn || ' trips — and slowest in ' || {MONTH_SQL.format(m='wm')} || ' at ' || round(wmd, 2) || ' over ' || wn || '.'
-  || CASE WHEN len(runners) > 0 THEN ' ' || array_to_string(runners, ' and ') || CASE WHEN len(runners) > 1 THEN ' also run' ELSE ' also runs' END || ' well.' ELSE '' END AS month_line FROM ml),
+month_line AS (SELECT unit, 'Highest monthly median: ' || {MONTH_SQL.format(m='bm')} || ' — ' || round(bmd, 2) || ' per hour, n=' || bn || ' trips; lowest: ' || {MONTH_SQL.format(m='wm')} || ' at ' || round(wmd, 2) || ' over ' || wn || '.'
+  || CASE WHEN len(runners) > 0 THEN ' ' || array_to_string(runners, ' and ') || CASE WHEN len(runners) > 1 THEN ' follow' ELSE ' follows' END || '.' ELSE '' END AS month_line FROM ml),
 sp AS (SELECT unit, list(species ORDER BY n DESC, species) AS names, list(pct ORDER BY n DESC, species) AS pcts FROM (SELECT unit, species, sum(n) AS n, 100.0 * sum(n) / sum(sum(n)) OVER (PARTITION BY unit) AS pct
   FROM obs JOIN catches USING (obs_id) WHERE species <> 'unspecified' GROUP BY unit, species) GROUP BY unit),
 wt AS (SELECT unit, max(max_weight) AS best, 100.0 * count(*) FILTER (WHERE max_weight >= 5) / count(max_weight) AS over5 FROM obs WHERE max_weight IS NOT NULL GROUP BY unit),
 wa AS (SELECT unit, median(clarity_ft) AS cl, count(clarity_ft) AS cn, 100.0 * count(veg) / count(*) AS vr FROM obs LEFT JOIN (SELECT DISTINCT obs_id, 1 AS veg FROM tags WHERE kind = 'vegetation') USING (obs_id) GROUP BY unit),
 {top_sql('tv', 'vegetation', 8)}, {top_sql('ts', 'structure', 10)}, {top_sql('tt', 'technique', 8)},
 oth AS (SELECT unit, names, pcts, list_transform(list_filter([2, 3], lambda i: i <= len(names) AND pcts[i] >= 5), lambda i: replace(names[i], '_', ' ') || ' ' || {WHOLE.format(x='pcts[i]')} || '%') AS o FROM sp),
-told AS (SELECT rs.unit, 'Across ' || sc || ' trips with a countable catch, this lake runs ' || round(md, 2) || ' fish an hour against a club median of ' || round(cmd, 2) || ', which puts it '
-    || CASE WHEN pct >= 80 THEN 'near the top of the club' WHEN pct >= 60 THEN 'above average' WHEN pct >= 40 THEN 'about average' ELSE 'below average' END || '.' AS p1, month_line AS p2,
-  concat_ws('; ', CASE WHEN typical_count > 0 THEN 'A typical trip brings ' || {WHOLE.format(x='typical_count')} || ' fish' END, CASE WHEN best > 0 THEN 'the heaviest on record is ' || round(best, 1) || ' lb'
-    || CASE WHEN over5 > 0 THEN ', and ' || {WHOLE.format(x='over5')} || '% of the trips that mention a size report a five-pounder' ELSE '' END END) || '.'
-    || CASE WHEN len(names) > 1 AND pcts[1] < 90 AND len(o) > 0 THEN ' It is not only a bass lake: ' || array_to_string(o, ' and ') || ' of the fish members identify.' ELSE '' END AS p3,
-  'Members who describe the water report ' || concat_ws('; ', CASE WHEN cl IS NOT NULL THEN 'clarity around ' || round(cl, 1) || ' ft (mentioned in ' || cn || ' reports)' END,
-    CASE WHEN vr > 0 THEN 'vegetation comes up in ' || {WHOLE.format(x='vr')} || '% of reports, most often ' || tv.l[1] END) || '. The cover they name most is ' || array_to_string(ts.l[1:3], ', ') || '.' AS p4,
-  label_line AS p5, 'The presentations members write down most often are ' || array_to_string(tt.l[1:3], ', ') || '.' AS p6,
-  CASE WHEN sc < 30 THEN 'Only ' || sc || ' trips here carry a countable catch, so read all of this as a hint rather than a measurement.' END AS caveat
+told AS (SELECT rs.unit, 'From ' || sc || ' trips scored, median rate ' || round(md, 2) || ' per hour; all units: ' || round(cmd, 2) || ', ranked '
+    || CASE WHEN pct >= 80 THEN 'in the top fifth' WHEN pct >= 60 THEN 'in the second fifth' WHEN pct >= 40 THEN 'in the middle fifth' ELSE 'in the lower two fifths' END || '.' AS p1, month_line AS p2,
+  concat_ws('; ', CASE WHEN typical_count > 0 THEN 'Median count per trip: ' || {WHOLE.format(x='typical_count')} || ' fish' END, CASE WHEN best > 0 THEN 'largest recorded weight ' || round(best, 1) || ' lb'
+    || CASE WHEN over5 > 0 THEN ', and ' || {WHOLE.format(x='over5')} || '% of sized trips reach five pounds' ELSE '' END END) || '.'
+    || CASE WHEN len(names) > 1 AND pcts[1] < 90 AND len(o) > 0 THEN ' Other species: ' || array_to_string(o, ' and ') || ' of identified fish.' ELSE '' END AS p3,
+  'Water: ' || concat_ws('; ', CASE WHEN cl IS NOT NULL THEN 'median clarity ' || round(cl, 1) || ' ft (n=' || cn || ' reports)' END,
+    CASE WHEN vr > 0 THEN 'plants named in ' || {WHOLE.format(x='vr')} || '% of reports, chiefly ' || tv.l[1] END) || '. Leading cover: ' || array_to_string(ts.l[1:3], ', ') || '.' AS p4,
+  label_line AS p5, 'Most used presentations: ' || array_to_string(tt.l[1:3], ', ') || '.' AS p6,
+  CASE WHEN sc < 30 THEN 'Small sample: ' || sc || ' trips scored; treat every figure as provisional.' END AS caveat
   FROM rs LEFT JOIN month_line USING (unit) LEFT JOIN cons USING (unit) LEFT JOIN wt USING (unit) LEFT JOIN oth USING (unit) LEFT JOIN wa USING (unit) LEFT JOIN tv USING (unit) LEFT JOIN ts USING (unit) LEFT JOIN tt USING (unit) LEFT JOIN lab_line USING (unit))"""
 
 

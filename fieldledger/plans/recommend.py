@@ -151,15 +151,28 @@ def similar_obs(spark, sf):
     return R.similar_obs(cohort_frame(spark, sf), TARGET).select("obs_id", "unit", "similarity")
 
 
-@query("plan_from_similar", f"""{COHORTS}, {SIMILAR},
-scope AS (SELECT * FROM sim WHERE lower(unit) = 'nation_7' ORDER BY similarity, obs_id LIMIT 40),
+def similar_plan_sql(where: str) -> str:
+    return f"""{COHORTS}, {SIMILAR},
+scope AS (SELECT * FROM sim WHERE {where} ORDER BY similarity, obs_id LIMIT 40),
 {lift_sql('scope', 'labs', 'category', 2)}
-SELECT category, n_trips, {r6('raw_rate')} AS raw_rate, {r6('lower_rate / baseline')} AS lift_lb FROM lifted""")
-def plan_from_similar(spark, sf):
-    out = R.plan_from_similar(cohort_frame(spark, sf), T.labels(spark, sf), TARGET, "NATION_7", "small_grassy")
+SELECT category, n_trips, {r6('raw_rate')} AS raw_rate, {r6('lower_rate / baseline')} AS lift_lb FROM lifted"""
+
+
+def similar_plan(spark, sf, scope, name):
+    out = R.plan_from_similar(cohort_frame(spark, sf), T.labels(spark, sf), TARGET, scope, name)
     return out.select("category", "n_trips", "raw_rate", "lift_lb")
 
 
+@query("plan_from_similar", similar_plan_sql("lower(unit) = 'nation_7'"))
+def plan_from_similar(spark, sf):
+    return similar_plan(spark, sf, "unit", "NATION_7")
+
+
+@query("plan_from_similar_cohort", similar_plan_sql("cohort = 'small_grassy'"))
+def plan_from_similar_cohort(spark, sf):
+    return similar_plan(spark, sf, "cohort", "small_grassy")
+
+
 PER_UNIT = f"""per AS (SELECT *, {HOME_MILES.format(lat='lat', lon='lon')} AS miles FROM (
   SELECT unit, lat, lon, acres, avg(rate) AS rate, count(*) AS n FROM scored JOIN units USING (unit_id, unit) GROUP BY ALL HAVING count(*) >= 20))"""
 
@@ -170,7 +183,7 @@ def per_unit(spark, sf):
 
 
 @query("drive_gradient", f"""{PER_UNIT}, near AS (SELECT * FROM per WHERE miles <= 300), far AS (SELECT * FROM per WHERE miles > 300),
-sized AS (SELECT * FROM per WHERE acres > 0 AND acres <= 500),
+sized AS (SELECT * FROM per WHERE acres > 0),
 v AS (SELECT count(*) AS sized_units, var_pop(miles) AS vm, var_pop(acres) AS va, var_pop(rate) AS vr, covar_pop(miles, acres) AS cma,
   covar_pop(miles, rate) AS cmr, covar_pop(acres, rate) AS car FROM sized)
 SELECT (SELECT count(*) FROM near) AS near_units, (SELECT count(*) FROM far) AS far_units, {r6('(SELECT avg(rate) FROM near)')} AS near_rate,
@@ -225,12 +238,12 @@ def cut_bands(spark, sf):
 
 @query("condition_note", """
 c AS (SELECT unit_id, CAST(obs_date AS VARCHAR) AS obs_date,
- CASE WHEN temp_max_f >= 95 THEN CAST(CAST(round_even(temp_max_f, 0) AS BIGINT) AS VARCHAR) || '°F is punishing. Be on the water at first light and expect the window to close early; shade, deeper water and the first hour are worth more than any lure choice'
-      WHEN temp_max_f <= 50 THEN CAST(CAST(round_even(temp_max_f, 0) AS BIGINT) AS VARCHAR) || '°F is cold for here. Expect a late, short bite and slow everything down' END AS a,
- CASE WHEN wind_max_mph >= 18 THEN CAST(CAST(round_even(wind_max_mph, 0) AS BIGINT) AS VARCHAR) || ' mph will make boat control the limiting factor'
-      WHEN wind_max_mph <= 6 THEN 'dead calm, which tends to mean spooky fish in clear water' END AS b,
- CASE WHEN precip_in >= 0.25 THEN printf('%.2f', precip_in) || '" of rain forecast' END AS c, cloud_pct FROM conditions),
-t AS (SELECT unit_id, obs_date, coalesce(nullif(concat_ws('; ', a, b, c), ''), CASE WHEN cloud_pct <= 15 THEN 'bluebird and bright' END) AS s FROM c)
+ CASE WHEN temp_max_f >= 95 THEN CAST(CAST(round_even(temp_max_f, 0) AS BIGINT) AS VARCHAR) || '°F maximum: hot; start at dawn, then look for shade and depth'
+      WHEN temp_max_f <= 50 THEN CAST(CAST(round_even(temp_max_f, 0) AS BIGINT) AS VARCHAR) || '°F maximum: cold; plan for midday and slow presentations' END AS a,
+ CASE WHEN wind_max_mph >= 18 THEN CAST(CAST(round_even(wind_max_mph, 0) AS BIGINT) AS VARCHAR) || ' mph wind: choose sheltered banks'
+      WHEN wind_max_mph <= 6 THEN 'hardly any wind: keep a distance in clear water' END AS b,
+ CASE WHEN precip_in >= 0.25 THEN printf('%.2f', precip_in) || ' in of rain expected' END AS c, cloud_pct FROM conditions),
+t AS (SELECT unit_id, obs_date, coalesce(nullif(concat_ws('; ', a, b, c), ''), CASE WHEN cloud_pct <= 15 THEN 'clear sky' END) AS s FROM c)
 SELECT unit_id, obs_date, upper(s[1]) || s[2:] || '.' AS note FROM t""")
 def condition_note(spark, sf):
     return R.condition_note(T.conditions(spark, sf)).select("unit_id", "obs_date", "note")

@@ -36,12 +36,12 @@ def bust_rate(spark, sf):
 
 
 @query("consistency_sentence", f"""{CONSISTENCY}
-SELECT unit, CASE band WHEN 'steady' THEN 'It has been one of the steadier lakes: ' WHEN 'typical' THEN 'Its spread is about average for the club: '
-   WHEN 'swingy' THEN 'It has been one of the swingier lakes: ' ELSE '' END
- || 'a typical day here brings ' || CAST(CAST(round_even(typical_count, 0) AS BIGINT) AS VARCHAR) || ' fish; the slowest one in ten runs '
+SELECT unit, CASE band WHEN 'steady' THEN 'Low spread: ' WHEN 'typical' THEN 'Its spread is in the middle fifth for the club: '
+   WHEN 'swingy' THEN 'High spread: ' ELSE '' END
+ || 'median count ' || CAST(CAST(round_even(typical_count, 0) AS BIGINT) AS VARCHAR) || ' fish; tenth percentile '
  || CAST(round(worst_decile, 2) AS VARCHAR) || ' an hour; ' || CAST(CAST(round_even(bust_rate, 0) AS BIGINT) AS VARCHAR)
- || '% of trips came back with 2 fish or fewer'
- || CASE WHEN round_even(bust_rate, 0) < cb THEN ' — below the club''s ' WHEN round_even(bust_rate, 0) > cb THEN ' — above the club''s ' ELSE ' — matching the club''s ' END
+ || '% of trips landed at most 2'
+ || CASE WHEN round_even(bust_rate, 0) < cb THEN ', under the archive''s ' WHEN round_even(bust_rate, 0) > cb THEN ', over the archive''s ' ELSE ', equal to the archive''s ' END
  || CAST(CAST(round_even(cb, 0) AS BIGINT) AS VARCHAR) || '%.' AS sentence
 FROM cons CROSS JOIN (SELECT bust_rate AS cb FROM club)""")
 def consistency_sentence(spark, sf):

@@ -1,6 +1,8 @@
 """Session settings shared by the bench, the tests and stand-alone use."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,10 +34,15 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only in tests."""
+    """The shared checkpoint folder the cluster names. Where it is unset, a temporary one in
+    local mode, removed at the end; on a cluster an error, as executors would not share it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="fieldledger-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+        atexit.register(shutil.rmtree, configured, True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured

@@ -21,10 +21,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan with at least as many partitions as cores, for CPU-heavy row work.
-
-    Large tables have far more splits than cores and pass unchanged, without a
-    shuffle; only a table that fits into a few splits is redistributed.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    """A scan dealt evenly over the session's shuffle partitions, for rows that cost far more
+    to work on than to move: long patterns over texts, pages rendered from narrow rows. It is
+    the same plan at every size."""
+    return scan.repartition(int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")))

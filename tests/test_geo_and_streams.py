@@ -5,14 +5,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldledger.functions.directions import claims_in
+from fieldledger.functions.directions import claims_in, direction_claims
 from fieldledger.operators import geo as G, ranking, series as S
 from fieldledger.operators.ingest import upsert_latest
 from fieldledger.streaming import incremental as I
 
 
-def test_claims():
-    got = lambda t: [(c["city"], round(c["miles"], 1), c["bearing"], c["from_time"]) for c in claims_in(t)]
+def test_claims(spark):
+    def got(text):
+        found = spark.createDataFrame([(text,)], "t string").select(claims_in(F.col("t")).alias("c")).first()["c"]
+        return [(c["city"], round(c["miles"], 1), c["bearing"], c["from_time"]) for c in found]
+
     assert got("68 miles from Dallas") == [("dallas", 68.0, None, False)]
     assert got("10 miles east of Bonham 70 miles NNE of Dallas") == [("bonham", 10.0, 90.0, False), ("dallas", 70.0, 22.5, False)]
     assert got("2 hours NE of Downtown Houston. 3.5 from downtown Dallas. 30 miles east of College Station") == [
@@ -22,6 +25,15 @@ def test_claims():
     assert got("North of Beaumont. Then 14 miles") == []
     assert got("an hour and 30 minutes from OKC") == [("oklahoma city", 82.5, None, True)]
     assert got("3 from Dallas") == [] and got("no city 30 miles") == []
+    assert got("20 miles north of Waco and 35 minutes from Tyler, east of Paris 9 miles") == [
+        ("waco", 20.0, 0.0, False), ("tyler", 32.1, None, True), ("paris", 9.0, 90.0, False)]
+    assert got("12 miles. 2 hours from Austin") == [("austin", 12.0, None, False)]
+
+
+def test_claims_reach_to_the_end_of_the_directions(spark):
+    page = "<p>General Directions</p>" + "Take the gravel road by the dam. " * 40 + "11 miles south of Athens. Fishing Report 5 miles from Waco"
+    rows = direction_claims(spark.createDataFrame([(1, page)], "k int, html string"), "k").collect()
+    assert [(r["city"], r["miles"], r["bearing"]) for r in rows] == [("athens", 11.0, 180.0)]
 
 
 def test_wrong_bearing_is_the_wrong_place(spark):

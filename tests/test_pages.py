@@ -29,8 +29,25 @@ def test_report_pages(spark):
 
 def test_missing_stub(spark):
     stub = "<html>A PHP Error was encountered</html>"
-    df = pages(spark, stub, stub + "x" * 12001, "fine")
-    assert [r["page_id"] for r in P.missing_stub_filter(df).orderBy("page_id").collect()] == [1, 2]
+    df = pages(spark, stub, stub + "x" * 12001, "fine", '<div class="post-right">A PHP Error was encountered, they wrote</div>')
+    assert [r["page_id"] for r in P.missing_stub_filter(df).orderBy("page_id").collect()] == [2, 3]
+
+
+def test_long_fields_stay_whole(spark):
+    name = "Lake " + "of the many winding arms " * 9 + "end"
+    card = f'<div class="divTableRow"><div class="table-summary"><a href="/view_report/7">T</a> <i>Property</i> : {name}, Town<br> Started By : Jo, Apr 19, 2015</div></div>'
+    r = P.parse_listing_cards(pages(spark, card, card.replace("<i>Property</i>", "Property"))).orderBy("page_id").collect()
+    assert [(x["lake_name"], x["lake_town"]) for x in r] == [(name, "Town")] * 2
+    boat, rule = "Two jon boats " * 12 + "and a canoe", "Please harvest " + "any fish under fourteen inches and " * 12 + "no others."
+    html = f"<h1>V</h1>Property Info 3 acres Boat Availability {boat} Boat Launch none. {rule} x"
+    u = P.parse_unit_page(spark.createDataFrame([("n", html)], "slug string, html string")).first()
+    assert (u["boat_type"], u["harvest_rules"]) == (boat, rule)
+
+
+def test_entities_of_any_length(spark):
+    text = "&#0000000065; &#x0000000042; &#99999999; &#xFFFFFFFFFF; &#55296;"
+    got = spark.createDataFrame([(text,)], "t string").select(H.unescape(F.col("t")).alias("t")).first()["t"]
+    assert got == "A B \ufffd \ufffd \ufffd"
 
 
 def test_unclosed_div_takes_the_rest(spark):
