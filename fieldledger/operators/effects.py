@@ -10,10 +10,11 @@ a large share of the rows is pre-aggregated before the shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.stats import effect_interval, support_case
 
+ID_BLOCK = 4096
 MIN_STRATUM = 4
 STRATA_CAP = 5
 STABLE_FRACTION = 2 / 3
@@ -199,19 +200,23 @@ def half_split(df: DataFrame, keys: list[str], day: str = "obs_date", tie: str =
 
     Rows are first counted per group and day, so the running position is a window
     over days, not rows; only the rows of a single day are ranked among
-    themselves. A group of any size is therefore spread over its days.
+    themselves. A group of any size is therefore spread over its days. Rows without
+    a date come last; they may be many, so numeric ids split them into blocks of ids.
     """
-    # rows without a date come last
-    dated = df.withColumn("_day", F.coalesce(F.col(day), F.lit("9999-12-31").cast("date")))
-    daily = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_n"))
+    numeric = isinstance(df.schema[tie].dataType, T.NumericType)
+    block = F.floor(F.col(tie) / ID_BLOCK).cast("bigint") if numeric else F.lit(0).cast("bigint")
+    dated = df.withColumns({"_day": F.coalesce(F.col(day), F.lit("9999-12-31").cast("date")),
+                            "_block": F.when(F.col(day).isNull(), block).otherwise(0)})
+    place = ["_day", "_block"]
+    daily = dated.groupBy(*keys, *place).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
     placed = daily.withColumns({
-        "_before": F.sum("_n").over(w.orderBy("_day")) - F.col("_n"),
+        "_before": F.sum("_n").over(w.orderBy(*place)) - F.col("_n"),
         "_mid": F.floor(F.sum("_n").over(w) / 2)}).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(tie))
-    return (dated.join(placed, [*keys, "_day"])
+    rank = F.row_number().over(Window.partitionBy(*keys, *place).orderBy(tie))
+    return (dated.join(placed, [*keys, *place])
             .withColumn("half", F.when(F.col("_before") + rank <= F.col("_mid"), "early").otherwise("late"))
-            .drop("_before", "_mid", "_day"))
+            .drop("_before", "_mid", *place))
 
 
 def half_effects(m: DataFrame, keys: list[str], min_rows: int, min_using: int,

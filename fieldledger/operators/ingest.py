@@ -56,9 +56,14 @@ def discover_max_id(pages: DataFrame, pattern: str) -> DataFrame:
     return harvest_ids(pages, pattern).agg(F.max("id").alias("max_id"))
 
 
-def crawl_frontier(spark: SparkSession, max_id: int, cached: DataFrame, limit: int | None = None) -> DataFrame:
-    """Ids from 2 to the highest known one that are not cached, lowest first."""
-    out = spark.range(2, max_id + 1).join(cached.select("id"), "id", "left_anti")
+def crawl_frontier(top: DataFrame, cached: DataFrame, limit: int | None = None, block: int = 1 << 16) -> DataFrame:
+    """Ids from 2 to the highest known one (``max_id``, one row) that are not cached. The ids
+    are laid out in blocks first, so no list of them is longer than a block."""
+    blocks = top.where(F.col("max_id") >= 2).select("max_id", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor(F.col("max_id") / block))).alias("b"))
+    ids = blocks.select(F.explode(F.sequence(F.greatest(F.lit(2), F.col("b") * block),
+                                             F.least("max_id", F.col("b") * block + block - 1))).alias("id"))
+    out = ids.join(cached.select("id"), "id", "left_anti")
     return out if limit is None else out.orderBy("id").limit(limit)
 
 

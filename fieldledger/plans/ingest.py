@@ -36,10 +36,10 @@ def upsert_latest(spark, sf):
     return out.select("user_id", "event_type", "event_id", "value", "props")
 
 
-@query("upsert_prefer_populated", f"""v AS (SELECT user_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN props END AS attr FROM events WHERE event_type <> 'error')
+@query("upsert_prefer_populated", f"""v AS (SELECT user_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN props END AS attr FROM events)
 SELECT user_id, event_id, attr FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY attr IS NULL, event_id) = 1""")
 def upsert_prefer_populated(spark, sf):
-    rows = T.table(spark, sf, "events").where(F.col("event_type") != "error").select(
+    rows = T.table(spark, sf, "events").select(
         "user_id", "event_id", F.when(F.col("event_type").isin("click", "view"), F.col("props")).alias("attr"))
     return I.upsert_prefer_populated(rows, ["user_id"], "attr", "event_id")
 
@@ -58,12 +58,12 @@ def upsert_coalesce(spark, sf):
 
 
 @query("insert_or_ignore", """
-SELECT unit_id, CAST(obs_date AS VARCHAR) AS obs_date, 'own' AS source FROM series WHERE unit_id = 3
-UNION ALL SELECT 3, CAST(obs_date AS VARCHAR), 'other' FROM series s WHERE unit_id = 4 AND NOT EXISTS (SELECT 1 FROM series t WHERE t.unit_id = 3 AND t.obs_date = s.obs_date)""")
+SELECT unit_id, CAST(obs_date AS VARCHAR) AS obs_date, 'own' AS source FROM series
+UNION ALL SELECT unit_id + 1, CAST(obs_date AS VARCHAR), 'other' FROM series s WHERE NOT EXISTS (SELECT 1 FROM series t WHERE t.unit_id = s.unit_id + 1 AND t.obs_date = s.obs_date)""")
 def insert_or_ignore(spark, sf):
     days = T.series(spark, sf).select("unit_id", "obs_date")
-    own = days.where(F.col("unit_id") == 3).withColumn("source", F.lit("own"))
-    other = days.where(F.col("unit_id") == 4).select(F.lit(3).cast("long").alias("unit_id"), "obs_date", F.lit("other").alias("source"))
+    own = days.withColumn("source", F.lit("own"))
+    other = days.select((F.col("unit_id") + 1).alias("unit_id"), "obs_date", F.lit("other").alias("source"))
     return I.insert_or_ignore(own, other, ["unit_id", "obs_date"])
 
 
@@ -81,19 +81,19 @@ def discover_max_id(spark, sf):
 
 
 @query("crawl_frontier", f"""{STORE}
-SELECT CAST(g AS BIGINT) AS id FROM generate_series(2, (SELECT max(page_id) FROM pages)) t(g) WHERE g NOT IN (SELECT page_id FROM store WHERE kind = 'report')""")
+SELECT CAST(g AS BIGINT) AS id FROM generate_series(2, (SELECT max(CAST(x AS BIGINT)) FROM (SELECT unnest(regexp_extract_all(html, 'track\\((\\d+)\\)', 1)) AS x FROM pages))) t(g) WHERE g NOT IN (SELECT page_id FROM store WHERE kind = 'report')""")
 def crawl_frontier(spark, sf):
-    top = I.discover_max_id(T.table(spark, sf, "pages"), TRACK).first()["max_id"]
+    top = I.discover_max_id(T.table(spark, sf, "pages"), TRACK)
     cached = store(spark, sf).where(F.col("kind") == "report").select(F.col("page_id").alias("id"))
-    return I.crawl_frontier(spark, top, cached)
+    return I.crawl_frontier(top, cached)
 
 
 @query("crawl_frontier_limited", f"""{STORE}
-SELECT CAST(g AS BIGINT) AS id FROM generate_series(2, (SELECT max(page_id) FROM pages)) t(g) WHERE g NOT IN (SELECT page_id FROM store WHERE kind = 'report') ORDER BY g LIMIT 25""")
+SELECT CAST(g AS BIGINT) AS id FROM generate_series(2, (SELECT max(CAST(x AS BIGINT)) FROM (SELECT unnest(regexp_extract_all(html, 'track\\((\\d+)\\)', 1)) AS x FROM pages))) t(g) WHERE g NOT IN (SELECT page_id FROM store WHERE kind = 'report') ORDER BY g LIMIT 25""")
 def crawl_frontier_limited(spark, sf):
-    top = I.discover_max_id(T.table(spark, sf, "pages"), TRACK).first()["max_id"]
+    top = I.discover_max_id(T.table(spark, sf, "pages"), TRACK)
     cached = store(spark, sf).where(F.col("kind") == "report").select(F.col("page_id").alias("id"))
-    return I.crawl_frontier(spark, top, cached, limit=25)
+    return I.crawl_frontier(top, cached, limit=25)
 
 
 @query("failure_rate_guard", f"SELECT count(*) AS attempted, count(*) FILTER (WHERE event_type = 'error') AS failed, {r6(chr(39).join(['count(*) FILTER (WHERE event_type = ', 'error', ') * 1.0 / count(*)']))} AS rate FROM events")

@@ -40,9 +40,9 @@ def narrative_join(spark, sf):
 
 
 @query("missing_stub_filter", """
-SELECT page_id, length(html) AS n FROM pages WHERE NOT (NOT contains(html, '<article') AND (contains(html, 'http') OR contains(html, '%%%')))""")
+SELECT page_id, length(html) AS n FROM pages WHERE NOT (NOT contains(html, '<h2') AND (contains(html, 'http') OR contains(html, '%%%')))""")
 def missing_stub_filter(spark, sf):
-    kept = P.missing_stub_filter(pages(spark, sf), ["http", "%%%"], "<article")
+    kept = P.missing_stub_filter(pages(spark, sf), ["http", "%%%"], "<h2")
     return kept.select("page_id", F.length("html").alias("n"))
 
 

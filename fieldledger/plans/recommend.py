@@ -168,9 +168,9 @@ def plan_from_similar(spark, sf):
     return similar_plan(spark, sf, "unit", "NATION_7")
 
 
-@query("plan_from_similar_cohort", similar_plan_sql("cohort = 'small_grassy'"))
+@query("plan_from_similar_cohort", similar_plan_sql("cohort = 'larger_grassy'"))
 def plan_from_similar_cohort(spark, sf):
-    return similar_plan(spark, sf, "cohort", "small_grassy")
+    return similar_plan(spark, sf, "cohort", "larger_grassy")
 
 
 PER_UNIT = f"""per AS (SELECT *, {HOME_MILES.format(lat='lat', lon='lon')} AS miles FROM (

@@ -24,7 +24,7 @@ def stream_ingest_latest(spark, sf):
 
 @query("stream_daily_conditions", f"""
 d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, max(value) AS high, min(value) AS low, avg(value) AS mean FROM events GROUP BY 1, 2)
-SELECT CAST(day AS VARCHAR) AS day, event_type, n, {cols('high', 'low', 'mean')} FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR""")
+SELECT CAST(day AS VARCHAR) AS day, event_type, n, {cols('high', 'low', 'mean')} FROM d""")
 def stream_daily_conditions(spark, sf):
     return S.stream_daily_conditions(events(spark, sf), "ts", ["event_type"], S.workspace(spark, "daily"))
 

@@ -58,10 +58,20 @@ def daily_stats(events: DataFrame, ts: str, keys: list[str]) -> DataFrame:
 
 
 def stream_daily_conditions(stream: DataFrame, ts: str, keys: list[str], base: str, late: str = "6 hours") -> DataFrame:
-    """Days are emitted once, when the watermark has passed their end."""
-    out = daily_stats(stream.withWatermark(ts, late), ts, keys)
-    _drain(out.writeStream.format("parquet").option("path", f"{base}/days").outputMode("append"), base)
-    return stream.sparkSession.read.schema(out.schema).parquet(f"{base}/days")
+    """Days as they stand after every batch, those still open included: updates are kept under
+    their batch number and the newest row of a day and key is the current one."""
+    return _current(daily_stats(stream.withWatermark(ts, late), ts, keys), ["day", *keys], f"{base}/days", base)
+
+
+def _current(updates: DataFrame, keys: list[str], folder: str, base: str) -> DataFrame:
+    """Drains an aggregation in update mode and returns the newest row of each key."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("seq", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    _drain(updates.writeStream.outputMode("update").foreachBatch(store), base)
+    schema = T.StructType([*updates.schema.fields, T.StructField("seq", T.IntegerType())])
+    rows = updates.sparkSession.read.schema(schema).parquet(folder)
+    return upsert_latest(rows.select(*schema.fieldNames()), keys, ["seq"]).drop("seq")
 
 
 def coverage_counts(events: DataFrame, ts: str, dims: dict[str, Column]) -> DataFrame:
@@ -74,16 +84,7 @@ def coverage_counts(events: DataFrame, ts: str, dims: dict[str, Column]) -> Data
 def stream_coverage(stream: DataFrame, ts: str, dims: dict[str, Column], base: str, late: str = "6 hours") -> DataFrame:
     """Coverage counters refreshed with every batch: updates are kept under their batch
     number and the newest count of a day is the current one."""
-    counts = coverage_counts(stream.withWatermark(ts, late), ts, dims)
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("seq", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/updates/batch={batch_id}")
-
-    _drain(counts.writeStream.outputMode("update").foreachBatch(store), base)
-    schema = T.StructType([*counts.schema.fields, T.StructField("seq", T.IntegerType())])
-    updates = stream.sparkSession.read.schema(schema).parquet(f"{base}/updates")
-    latest = upsert_latest(updates.select(*schema.fieldNames()), ["day"], ["seq"])
-    return latest.drop("seq")
+    return _current(coverage_counts(stream.withWatermark(ts, late), ts, dims), ["day"], f"{base}/updates", base)
 
 
 def stream_dedupe(stream: DataFrame, ts: str, keys: list[str], base: str, late: str = "1 day") -> DataFrame:
