@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import SHRINK_K, shrunk_mean
+from .effects import label_sets
 
 MIN_CELL = 3
 
@@ -33,8 +34,8 @@ def label_lift(trips: DataFrame, labels: DataFrame, level: str = "category",
         scored = scored.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     slice_stats = [F.avg("rate").alias("baseline"), F.stddev_pop("rate").alias("pooled_std"),
                    F.count("*").alias("scored_trips")]
-    distinct = labels.where(F.col(level).isNotNull()).select("obs_id", level).dropDuplicates()
-    cells = (scored.select("obs_id", "rate", *keys).join(distinct, "obs_id")
+    cells = (scored.select("obs_id", "rate", *keys).join(label_sets(labels, level), "obs_id")
+             .select("rate", *keys, F.explode("things").alias(level))
              .groupBy(*keys, level)
              .agg(F.count("*").alias("n_trips"), F.avg("rate").alias("raw_rate"),
                   F.median("rate").alias("median_rate"))

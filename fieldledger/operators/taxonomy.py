@@ -132,9 +132,11 @@ def parse_parts(parts: DataFrame, tax: Taxonomy, part: str = "part") -> DataFram
 
 
 def label_parse_field(reports: DataFrame, tax: Taxonomy, raw: str = "label_raw") -> DataFrame:
-    """One row per part: obs_id, pos, part, kind, hits, techniques."""
+    """One row per part: obs_id, pos, part, kind, hits, techniques. Each different spelling is
+    parsed once, however often it was written."""
     parts = reports.select("obs_id", F.posexplode(split_parts(F.col(raw))).alias("pos", "part"))
-    return parse_parts(parts, tax)
+    known = parse_parts(parts.select("part").dropDuplicates(), tax)
+    return parts.join(known, "part").select("obs_id", "pos", "part", "kind", "hits", "techniques")
 
 
 def field_hits(parsed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from ..operators import recommend as R
 from . import testbed as T
 from .effects import lift_sql
 from .registry import query, r6
-from .units import COHORTS, HOME_MILES, cols, cohorts
+from .units import COHORTS, CONSISTENCY, HOME_MILES, cols, cohorts
 
 AS_OF_YEAR, MONTH, DAY = 2001, 7, "2001-07-14"
 
@@ -52,8 +52,9 @@ TOP_LABELS = f"""
 use_month AS (SELECT unit, count(*) FILTER (WHERE month = {MONTH}) >= 8 AS um FROM scored GROUP BY unit),
 slice AS (SELECT s.* FROM scored s JOIN use_month USING (unit) WHERE NOT um OR month = {MONTH}),
 {lift_sql('slice', 'labs', 'category', 3, ['unit'])},
-tops AS (SELECT unit, string_agg(category, ',' ORDER BY rn) AS top_labels FROM (
-  SELECT unit, category, row_number() OVER (PARTITION BY unit ORDER BY lower_rate / baseline DESC, category) AS rn FROM lifted) WHERE rn <= 3 GROUP BY unit)"""
+tops AS (SELECT unit, string_agg(category, ',' ORDER BY rn) AS top_labels,
+  string_agg(printf('%d %.3f', n_trips, shrunk_rate / baseline), ',' ORDER BY rn) AS label_figures FROM (
+  SELECT unit, category, n_trips, shrunk_rate, baseline, row_number() OVER (PARTITION BY unit ORDER BY lower_rate / baseline DESC, category) AS rn FROM lifted) WHERE rn <= 3 GROUP BY unit)"""
 
 
 def forecast(spark, sf):
@@ -62,25 +63,28 @@ def forecast(spark, sf):
 
 
 RECOMMEND_COLS = ["unit", "town", "miles", "expected", "score", "n", "n_total", "basis", "confidence",
-                  "condition_adj", "wind_band", "cloud_band", "pressure_trend", "top_labels"]
+                  "condition_adj", "wind_band", "cloud_band", "pressure_trend", "top_labels", "acres", "region", "day_rate",
+                  "cv", "steadiness", "bust_rate", "worst_decile", "typical_count", "label_figures"]
 
 
 def recommend_sql(weighted: bool, limit: int = 15, miles: int = 400) -> str:
     adj = ("(CASE wind_band WHEN 'calm' THEN 1.06 WHEN 'windy' THEN 0.96 ELSE 1.0 END * CASE cloud_band WHEN 'clear_sky' THEN 0.96 WHEN 'overcast' THEN 1.02 ELSE 1.0 END"
            " * CASE pressure_trend WHEN 'falling' THEN 0.98 WHEN 'steady' THEN 1.02 ELSE 1.0 END)") if weighted else "1.0"
-    return f"""{expected_sql()}, {FORECAST}, {TOP_LABELS},
+    return f"""{expected_sql()}, {FORECAST}, {TOP_LABELS}, {CONSISTENCY},
 ranked AS (SELECT *, lower * adj AS score FROM (SELECT *, {adj} AS adj FROM (
-  SELECT u.unit, u.town, round({HOME_MILES.format(lat='u.lat', lon='u.lon')}, 0) AS miles, e.*, {BANDS}
+  SELECT u.unit, u.town, u.acres, u.region, u.day_rate, round({HOME_MILES.format(lat='u.lat', lon='u.lon')}, 0) AS miles, e.*, {BANDS}
   FROM units u JOIN expect e ON e.unit = u.unit LEFT JOIN fc ON fc.unit_id = u.unit_id)) WHERE miles <= {miles}
   ORDER BY score DESC, unit LIMIT {limit})
 SELECT r.unit, town, {r6('miles')} AS miles, {r6('expected')} AS expected, {r6('score')} AS score, n, n_total, basis,
   CASE WHEN n_total >= 80 THEN 'good' WHEN n_total >= 30 THEN 'fair' WHEN n_total >= 10 THEN 'thin' ELSE 'very thin' END AS confidence,
-  {r6('adj')} AS condition_adj, wind_band, cloud_band, pressure_trend, top_labels FROM ranked r LEFT JOIN tops ON tops.unit = r.unit"""
+  {r6('adj')} AS condition_adj, wind_band, cloud_band, pressure_trend, top_labels, {cols('acres')}, region, {cols('day_rate', 'cv')}, band AS steadiness,
+  {cols('bust_rate', 'worst_decile', 'typical_count')}, label_figures FROM ranked r LEFT JOIN tops ON tops.unit = r.unit LEFT JOIN cons ON cons.unit = r.unit"""
 
 
 def recommended(spark, sf, weighted, limit=15):
     return R.recommend_units(T.observations(spark, sf), T.units(spark, sf), T.labels(spark, sf), MONTH, AS_OF_YEAR,
-                             max_miles=400, limit=limit, forecast=forecast(spark, sf), weight_conditions=weighted)
+                             max_miles=400, limit=limit, forecast=forecast(spark, sf), weight_conditions=weighted).withColumn(
+        "label_figures", F.array_join(F.transform("label_figures", lambda s: F.format_string("%d %.3f", s["n_trips"], s["lift"])), ","))
 
 
 @query("recommend_units", recommend_sql(False))
@@ -93,7 +97,7 @@ def recommend_units_weighted(spark, sf):
     return recommended(spark, sf, True).select(*RECOMMEND_COLS)
 
 
-@query("weekend_panel", f"SELECT unit, town, miles, expected, score, n, n_total, basis, confidence, top_labels FROM (WITH {recommend_sql(False, 12)})")
+@query("weekend_panel", f"SELECT unit, town, miles, expected, score, n, n_total, basis, confidence, top_labels, acres, region, day_rate, cv, steadiness, bust_rate, worst_decile, typical_count, label_figures FROM (WITH {recommend_sql(False, 12)})")
 def weekend_panel(spark, sf):
     """Ranking for the next Saturday without forecast columns."""
     out = recommended(spark, sf, False, limit=12).select(*RECOMMEND_COLS)
