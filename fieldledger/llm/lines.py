@@ -69,7 +69,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     rows = base.select(F.struct(*(base[f"`{c}`"] for c in base.columns)).alias("row"), "text", key.alias("_id"))
     lines_of = _lines(F.col("text"))
     kept = F.filter(lines_of, lambda line: ~F.array_contains(F.col("_lost"), line_hash(line)))
-    cut = (rows.join(lost, "_id", "left").withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
+    # lost grows with the table, so it is never broadcast and the plan is the same at every size
+    cut = (rows.join(lost.hint("merge"), "_id", "left").withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
            .withColumn("_n", F.coalesce(F.size(lines_of) - F.when(F.col("_kept").isNotNull(), F.size("_kept")),
                                         F.lit(0)).cast("long"))
            .withColumn("text", F.coalesce(F.array_join("_kept", "\n"), F.col("text"))))
