@@ -76,7 +76,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op6_decontamination")
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOW_WORDS = (f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), "
+             "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')")
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {LOW_WORDS} AS words FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {LOW_WORDS} AS words FROM benchmark),
+iw AS (SELECT DISTINCT item, least(13, len(words)) AS n, list_slice(words, p, p + least(13, len(words)) - 1) AS win
+       FROM i, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS t(p) WHERE len(words) > 0),
+dw AS (SELECT doc_id, n, p, list_slice(words, p, p + n - 1) AS win
+       FROM d, (SELECT DISTINCT n FROM iw), unnest(range(1, len(words) - n + 2)) AS t(p)),
+hit AS (SELECT doc_id, p, dw.n AS n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, p + k AS w FROM hit, unnest(range(0, n)) AS t(k)) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+
+@query("op6_decontamination", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
