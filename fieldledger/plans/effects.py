@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import size_band
 from ..functions.stats import shrunk_mean
 from ..operators import cohort as C, effects as E, effort, lift
+from ..operators.narrate import SUPPORTS, support_summary as summarise
 from ..sources.tables import settle
 from . import testbed as T
 from .registry import query, r6
@@ -330,27 +331,22 @@ def label_evidence(spark, sf):
     return evidence(spark, sf).orderBy("unit", E.support_rank(E.LABEL_SUPPORT_ORDER), F.desc_nulls_last("diff"))
 
 
-@query("support_summary", f"""{EVIDENCE_SQL},
-lead AS (SELECT unit, label FROM evidence QUALIFY row_number() OVER (PARTITION BY unit ORDER BY
-  CASE support WHEN 'backed' THEN 0 WHEN 'suggestive' THEN 1 WHEN 'unproven' THEN 2 WHEN 'thin' THEN 3 WHEN 'unstable' THEN 4 ELSE 5 END,
-  diff DESC NULLS LAST, label) = 1),
-grp AS (SELECT unit, count(*) AS n_compared,
-  coalesce(string_agg(label, ', ' ORDER BY diff DESC, label) FILTER (WHERE support = 'backed'), '') AS backed,
-  coalesce(string_agg(label, ', ' ORDER BY diff DESC, label) FILTER (WHERE support = 'suggestive'), '') AS suggestive,
-  coalesce(string_agg(label, ', ' ORDER BY diff DESC, label) FILTER (WHERE support = 'below'), '') AS below,
-  coalesce(string_agg(label, ', ' ORDER BY diff DESC, label) FILTER (WHERE support = 'unstable'), '') AS unstable,
-  count(*) FILTER (WHERE support = 'backed') AS n_backed,
-  max(trips) FILTER (WHERE support = 'suggestive') AS most,
-  arg_min(label, (-trips, -diff, label)) FILTER (WHERE support = 'suggestive') AS closest
-  FROM evidence GROUP BY unit)
-SELECT unit, n_compared, backed, suggestive, below, unstable,
+def summary_sql(source: str, keys: str, noun: str) -> str:
+    lists = ",\n  ".join(f"coalesce(string_agg(label, ', ' ORDER BY diff DESC NULLS LAST, label) FILTER (WHERE support = '{s}'), '') AS {s}"
+                         for s in SUPPORTS)
+    key, group = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
+    return f"""grp AS (SELECT {key}count(*) AS n_compared, {lists},
+  count(*) FILTER (WHERE support = 'backed') AS n_backed, max(trips) FILTER (WHERE support = 'suggestive') AS most,
+  arg_min(label, (-trips, -diff, label)) FILTER (WHERE support = 'suggestive') AS closest FROM {source} {group})
+SELECT {key}n_compared, {', '.join(SUPPORTS)},
   CASE WHEN n_backed = 1 THEN backed || ' alone holds up in the matched comparison'
-       WHEN n_backed > 1 THEN CAST(n_backed AS VARCHAR) || ' labels hold up in the matched comparison: ' || backed
-       WHEN closest IS NOT NULL THEN 'No label holds up; nearest is ' || closest || ' with n=' || CAST(most AS VARCHAR) || ' trips'
-       ELSE 'No label at this unit separates from the others once trips are matched on how much they described' END AS lead
-FROM grp""")
+       WHEN n_backed > 1 THEN CAST(n_backed AS VARCHAR) || ' {noun}s hold up in the matched comparison: ' || backed
+       WHEN closest IS NOT NULL THEN 'No {noun} holds up; nearest is ' || closest || ' with n=' || CAST(most AS VARCHAR)
+       ELSE 'No {noun} differs from the rest in the matched comparison' END AS lead FROM grp"""
+
+
+@query("support_summary", f"{EVIDENCE_SQL},\n{summary_sql('evidence', 'unit', 'label')}")
 def support_summary(spark, sf):
-    from ..operators.narrate import support_summary as summarise
     return summarise(evidence(spark, sf), ["unit"])
 
 
@@ -398,6 +394,16 @@ def unit_tag_effects(spark, sf):
         "unit", "label", "trips", "diff", "lo", "hi", "support")
 
 
+@query("tag_support_summary", f"{TAG_SQL},\n{summary_sql('tag_eff', '', 'presentation')}")
+def tag_support_summary(spark, sf):
+    return summarise(tag_rows(spark, sf), [], "presentation")
+
+
+@query("unit_tag_support_summary", f"{UNIT_TAG_SQL},\n{summary_sql('unit_tag', 'unit', 'presentation')}")
+def unit_tag_support_summary(spark, sf):
+    return summarise(E.unit_tag_effects(settle(tag_moments(spark, sf, ["unit"])), ["unit"]), ["unit"], "presentation")
+
+
 @query("club_tag_panel", f"""{TAG_SQL}
 SELECT label, trips, {r6('diff', 'diff')}, support FROM tag_eff WHERE support <> 'thin'
 ORDER BY CASE support WHEN 'backed' THEN 0 WHEN 'suggestive' THEN 1 WHEN 'unproven' THEN 2 WHEN 'unstable' THEN 3 WHEN 'thin' THEN 4 ELSE 5 END,
