@@ -52,10 +52,10 @@ def load_candidates(spark: SparkSession, path: str) -> DataFrame:
     return towns.select("town", F.inline("places"))
 
 
-def load_taxonomy(path: str) -> Taxonomy:
-    """Taxonomy file: JSON, or YAML where a YAML reader is installed."""
-    with open(path, encoding="utf-8") as fh:
-        text = fh.read()
+def load_taxonomy(spark: SparkSession, path: str) -> Taxonomy:
+    """Taxonomy file: JSON, or YAML where a YAML reader is installed. One small file, read
+    through Spark so that it may lie in any store."""
+    text = spark.read.text(path, wholetext=True).first()["value"]
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml
