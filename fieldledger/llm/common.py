@@ -50,13 +50,25 @@ def settle(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*settled: DataFrame) -> None:
+    """Deletes settled tables. Only what was settled from them afterwards may be used further."""
+    for df in settled:
+        _delete(df.sparkSession, df.settled_at)
 
 
 def clear_shared(spark: SparkSession) -> None:
     """Deletes what this application has settled. Call it when its results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 # ---------------------------------------------------------------- distinct texts
@@ -192,9 +204,9 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(n)[1])
 
 
-def cover_runs(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n places are covered by a window of `width` places at one of the starts."""
-    steps = np.zeros(n + width + 1, np.int32)
+def cover_runs(starts: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
+    """Which of n places are covered by a run of `width` places from one of the starts."""
+    steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, starts, 1)
     np.add.at(steps, starts + width, -1)
     return np.cumsum(steps)[:n] > 0

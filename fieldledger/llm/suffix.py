@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, blocks, byte_table, cover_runs, distinct_texts, mix, powers, prefix_sums, settle, text_key
+from .common import LAST_ID, blocks, byte_table, cover_runs, discard, distinct_texts, mix, powers, prefix_sums, settle, text_key
 from .decontaminate import sliding_min
 from .substring import repeated
 
 WIDTH = 50
-GRAM = 16
+GRAM = 24
 PLACE_BITS = 30
 BLOCK = 2 << 20               # segment bytes sorted at once
 MANY = 10_000                 # segments of one anchor beyond which its windows are compared one by one
@@ -87,42 +87,34 @@ def _slice(width: int):
             raw, out = memoryview(data), []
             for k, parts in enumerate(batch.column("parts").to_pylist()):
                 a = int(offs[k])
-                out += [(p["anchor"], p["s1"], p["s2"], p["ord"],
+                out += [(p["anchor"], p["s1"], p["s2"], p["ord"], p["n"],
                          bytes(raw[a + p["place"]:a + p["place"] + p["windows"] + width - 1])) for p in parts]
             for i in range(0, len(out), 20_000):
                 cols = list(zip(*out[i:i + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]]
-                                                 + [pa.array(cols[4], pa.binary())], ["anchor", "s1", "s2", "ord", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:5]]
+                                                 + [pa.array(cols[5], pa.binary())], ["anchor", "s1", "s2", "ord", "n", "bytes"])
     return run
 
 
 def suffix_order(data: np.ndarray, places: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """The places sorted by their next `depth` bytes (earlier places first among equals), by doubling ranks,
-    and the common prefix of each with the one before it, up to `depth`."""
-    padded = np.concatenate([data, np.zeros(2 * depth, np.uint8)]).astype(np.uint64)
-    n = len(data) + depth
-    rank, size, levels = padded, 1, []
-    while size < depth:
-        if size < 8:
-            rank = (rank[:-size] << np.uint64(8 * size)) | rank[size:]
-        else:
-            rank = (rank[:-size] << np.uint64(32)) | rank[size:]
-        size *= 2
-        if size >= 8:
-            rank = np.unique(rank[:n], return_inverse=True)[1].astype(np.uint64)
-            rank = np.concatenate([rank, np.zeros(depth, np.uint64)])
-            levels.append((size, rank))
-    order = places[np.argsort(rank[places], kind="stable")]
-    a, b = order[:-1], order[1:]
-    lcp = np.zeros(len(a), np.int64)
-    for size, level in reversed(levels):
-        lcp += np.where((lcp + size <= depth) & (level[a + lcp] == level[b + lcp]), size, 0)
-    open_ = lcp < depth
-    for _ in range(7):
-        open_ &= padded[a + lcp] == padded[b + lcp]
-        lcp += open_
-        open_ &= lcp < depth
-    return order, np.concatenate([[0], lcp])[:len(order)]
+    """The places sorted by their next `depth` bytes (a multiple of eight; earlier places first among
+    equals), and the common prefix of each with the one before it, up to `depth`. Bytes are compared
+    eight at a time, as numbers; zeros stand behind the end."""
+    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)]).astype(np.uint64)
+    eight = padded[:len(data) + depth]
+    for k in range(1, 8):
+        eight = (eight << np.uint64(8)) | padded[k:k + len(eight)]
+    columns = [eight[places + k] for k in range(0, depth, 8)]
+    order = np.lexsort(columns[::-1])
+    lcp, on = np.zeros(max(0, len(order) - 1), np.int64), np.arange(max(0, len(order) - 1))
+    for column in columns:
+        apart = column[order[on]] ^ column[order[on + 1]]
+        same = apart == 0
+        lcp[on[same]] += 8
+        for k in range(1, 8):
+            lcp[on[~same]] += apart[~same] < np.uint64(1 << (64 - 8 * k))
+        on = on[same]
+    return places[order], np.concatenate([[0], lcp])[:len(order)]
 
 
 def nearest_smaller(values: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -156,10 +148,7 @@ def earlier_windows(texts: list[bytes], order: np.ndarray, width: int) -> list[n
     data = np.frombuffer(b"".join(texts), np.uint8)
     owner = np.repeat(np.arange(len(texts)), sizes)
     places = np.flatnonzero(np.arange(len(data)) + width <= ends[owner])
-    depth = 8
-    while depth < width:
-        depth *= 2
-    sa, lcp = suffix_order(data, places, depth)
+    sa, lcp = suffix_order(data, places, -(-width // 8) * 8)
     found = np.sort(sa[longest_earlier(order[owner[sa]], lcp) >= width])
     return np.split(found - (ends - sizes)[owner[found]], np.searchsorted(found, ends[:-1]))
 
@@ -167,10 +156,10 @@ def earlier_windows(texts: list[bytes], order: np.ndarray, width: int) -> list[n
 def _match(width: int, block: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         found = earlier_windows([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), width)
-        keep = [(r[1], r[2], w.tolist()) for r, w in zip(rows, found) if len(w)]
-        cols = list(zip(*keep)) if keep else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                                           pa.array(cols[2], pa.list_(pa.int64()))], ["s1", "s2", "gone"])
+        keep = [(r[1], r[2], int(x[0]), len(x)) for r, w in zip(rows, found) if len(w)
+                for x in np.split(w, np.flatnonzero(np.diff(w) > 1) + 1)]
+        cols = list(zip(*keep)) if keep else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["s1", "s2", "at", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -211,8 +200,9 @@ def _cut(width: int):
             out = []
             for k, places in enumerate(batch.column("places")):
                 text = data[offs[k]:offs[k + 1]]
-                at = places.values.to_numpy() if places.is_valid else np.zeros(0, np.int64)
-                gone = cover_runs(at, width, len(text))
+                at, windows = ((x.to_numpy() for x in places.values.flatten()) if places.is_valid
+                               else np.zeros((2, 0), np.int64))
+                gone = cover_runs(at, windows + width - 1, len(text))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 out.append((len(text), int(gone.sum()), text[~gone].tobytes(), edge[::2].tolist(), edge[1::2].tolist()))
             cols = list(zip(*out))
@@ -243,30 +233,27 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
                    .groupBy("tid").agg(F.collect_set("anchor").alias("anchors")))
     found = settle(texts.select("tid", "text", "first").join(twice, "tid").mapInArrow(
         _emit_segments(width, gram), "anchor long, s1 long, s2 long, ord long, tid long, place long, windows long"))
+    discard(shared, twice)
     leads = settle(found.groupBy("s1", "s2").agg(F.min(F.struct("ord", "tid", "place", "windows", "anchor")).alias("f"))
                    .select("s1", "s2", "f.*"))
     sizes = leads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chosen = leads.join(sizes, "anchor").select("tid", F.struct("anchor", "s1", "s2", "ord", "place", "windows", "n").alias("p"))
-
-    def pieces(part: DataFrame) -> DataFrame:
-        listed = part.groupBy("tid").agg(F.collect_list("p").alias("parts"))
-        return texts.select("tid", "text").join(listed, "tid").mapInArrow(
-            _slice(width), "anchor long, s1 long, s2 long, ord long, bytes binary")
-
-    sorted_ = (pieces(chosen.filter(F.col("p.n") <= many)).repartition("anchor").sortWithinPartitions("anchor", "ord")
-               .mapInArrow(_match(width, block), "s1 long, s2 long, gone array<long>"))
-    single = pieces(chosen.filter(F.col("p.n") > many)).mapInArrow(
+    listed = chosen.groupBy("tid").agg(F.collect_list("p").alias("parts"))
+    pieces = settle(texts.select("tid", "text").join(listed, "tid").mapInArrow(
+        _slice(width), "anchor long, s1 long, s2 long, ord long, n long, bytes binary"))
+    sorted_ = (pieces.filter(F.col("n") <= many).repartition("anchor").sortWithinPartitions("anchor", "ord")
+               .mapInArrow(_match(width, block), "s1 long, s2 long, at long, windows long"))
+    single = pieces.filter(F.col("n") > many).mapInArrow(
         _windows(width), "w1 long, w2 long, ord long, s1 long, s2 long, at long")
     low = single.groupBy("w1", "w2").agg(F.min("ord").alias("low"))
-    counted = (single.join(low, ["w1", "w2"]).filter("ord > low")
-               .groupBy("s1", "s2").agg(F.collect_list("at").alias("gone")))
+    counted = single.join(low, ["w1", "w2"]).filter("ord > low").select("s1", "s2", "at", F.lit(1).cast("long"))
     gone = settle(sorted_.union(counted))
     led = found.join(leads.select("s1", "s2", F.col("ord").alias("lead")), ["s1", "s2"])
-    whole = F.sequence(F.col("place"), F.col("place") + F.col("windows") - 1)
-    later = led.filter("ord > lead").select("tid", whole.alias("at"))
-    leading = (led.filter("ord = lead").join(gone, ["s1", "s2"])
-               .select("tid", F.transform("gone", lambda w: F.col("place") + w).alias("at")))
-    places = settle(later.union(leading).groupBy("tid").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("places")))
+    later = led.filter("ord > lead").select("tid", "place", "windows")
+    leading = (led.filter("ord = lead").select("s1", "s2", "tid", "place").join(gone, ["s1", "s2"])
+               .select("tid", F.col("place") + F.col("at"), "windows"))
+    places = settle(later.union(leading).groupBy("tid").agg(F.collect_list(F.struct("place", "windows")).alias("places")))
+    discard(found, leads, pieces, gone)
     kept = (texts.select("tid", "key", "first", "text").join(places, "tid", "left").select("key", "first", "text", "places")
             .mapInArrow(_cut(width), "key binary, first long, n_bytes long, n_removed long, kept binary, "
                                      "span_start array<long>, span_end array<long>"))
