@@ -141,8 +141,8 @@ def longest_earlier(order_of: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(nearest_smaller(order_of, lcp), back)
 
 
-def earlier_windows(texts: list[bytes], order: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each text, the starts of its windows that a text with a smaller order has too."""
+def earlier_windows(texts: list[bytes], order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that a text with a smaller order has too: text, first window, number of windows."""
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -150,16 +150,16 @@ def earlier_windows(texts: list[bytes], order: np.ndarray, width: int) -> list[n
     places = np.flatnonzero(np.arange(len(data)) + width <= ends[owner])
     sa, lcp = suffix_order(data, places, -(-width // 8) * 8)
     found = np.sort(sa[longest_earlier(order[owner[sa]], lcp) >= width])
-    return np.split(found - (ends - sizes)[owner[found]], np.searchsorted(found, ends[:-1]))
+    own = owner[found]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(found) > 1) | (np.diff(own) > 0)]))[:len(found)]
+    return own[new], (found - (ends - sizes)[own])[new], np.diff(np.append(new, len(found)))
 
 
 def _match(width: int, block: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        found = earlier_windows([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), width)
-        keep = [(r[1], r[2], int(x[0]), len(x)) for r, w in zip(rows, found) if len(w)
-                for x in np.split(w, np.flatnonzero(np.diff(w) > 1) + 1)]
-        cols = list(zip(*keep)) if keep else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["s1", "s2", "at", "windows"])
+        text, at, windows = earlier_windows([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), width)
+        ends = [np.array([r[k] for r in rows], np.int64)[text] for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (*ends, at, windows))], ["s1", "s2", "at", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -234,11 +234,11 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     found = settle(texts.select("tid", "text", "first").join(twice, "tid").mapInArrow(
         _emit_segments(width, gram), "anchor long, s1 long, s2 long, ord long, tid long, place long, windows long"))
     discard(shared, twice)
-    leads = settle(found.groupBy("s1", "s2").agg(F.min(F.struct("ord", "tid", "place", "windows", "anchor")).alias("f"))
-                   .select("s1", "s2", "f.*"))
+    leads = settle(found.groupBy("s1", "s2").agg(F.min(F.struct("ord", "tid", "place", "windows", "anchor")).alias("f"),
+                                                 F.count(F.lit(1)).alias("times")).select("s1", "s2", "times", "f.*"))
     sizes = leads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chosen = leads.join(sizes, "anchor").select("tid", F.struct("anchor", "s1", "s2", "ord", "place", "windows", "n").alias("p"))
-    listed = chosen.groupBy("tid").agg(F.collect_list("p").alias("parts"))
+    listed = settle(chosen.groupBy("tid").agg(F.collect_list("p").alias("parts")))
     pieces = settle(texts.select("tid", "text").join(listed, "tid").mapInArrow(
         _slice(width), "anchor long, s1 long, s2 long, ord long, n long, bytes binary"))
     sorted_ = (pieces.filter(F.col("n") <= many).repartition("anchor").sortWithinPartitions("anchor", "ord")
@@ -248,12 +248,17 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     low = single.groupBy("w1", "w2").agg(F.min("ord").alias("low"))
     counted = single.join(low, ["w1", "w2"]).filter("ord > low").select("s1", "s2", "at", F.lit(1).cast("long"))
     gone = settle(sorted_.union(counted))
-    led = found.join(leads.select("s1", "s2", F.col("ord").alias("lead")), ["s1", "s2"])
-    later = led.filter("ord > lead").select("tid", "place", "windows")
-    leading = (led.filter("ord = lead").select("s1", "s2", "tid", "place").join(gone, ["s1", "s2"])
-               .select("tid", F.col("place") + F.col("at"), "windows"))
-    places = settle(later.union(leading).groupBy("tid").agg(F.collect_list(F.struct("place", "windows")).alias("places")))
-    discard(found, leads, pieces, gone)
+    discard(listed, pieces)
+    runs = gone.groupBy("s1", "s2").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
+    known = settle(leads.select("s1", "s2", "times", F.col("ord").alias("lead")).join(runs, ["s1", "s2"], "left")
+                   .filter("times > 1 OR runs IS NOT NULL").drop("times"))
+    discard(leads, gone)
+    # a later copy of a segment goes whole; its first text loses what earlier texts have in other segments
+    cut = F.when(F.col("ord") > F.col("lead"), F.array(F.struct("place", "windows"))).otherwise(F.transform(
+        "runs", lambda r: F.struct((F.col("place") + r["at"]).alias("place"), r["windows"].alias("windows"))))
+    places = settle(found.join(known, ["s1", "s2"]).select("tid", F.explode(cut).alias("c")).groupBy("tid")
+                    .agg(F.collect_list("c").alias("places")))
+    discard(found, known)
     kept = (texts.select("tid", "key", "first", "text").join(places, "tid", "left").select("key", "first", "text", "places")
             .mapInArrow(_cut(width), "key binary, first long, n_bytes long, n_removed long, kept binary, "
                                      "span_start array<long>, span_end array<long>"))
