@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WHITE, blocks, byte_table, cover_runs, distinct_texts, settle, span_hashes, text_key,
+from .common import (WHITE, blocks, byte_table, cover_runs, discard, distinct_texts, settle, span_hashes, text_key,
                      window_hashes, words)
 
 # Period -> a difference cover of it: every residue is a difference of two members.
@@ -128,12 +128,16 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """
     texts = distinct_texts(docs)
     anchors = texts.select("tid", "text").mapInArrow(_emit_anchors(width), "anchor long, tid long")
-    twice = settle(anchors.join(repeated(anchors, ["anchor"]), "anchor", "left_semi")
+    shared = repeated(anchors, ["anchor"])
+    twice = settle(anchors.join(shared, "anchor", "left_semi")
                    .groupBy("tid").agg(F.collect_set("anchor").alias("anchors")))
+    discard(shared)
     windows = (texts.select("tid", "text").join(twice, "tid")
                .mapInArrow(_emit_windows(width), "h1 long, h2 long, tid long, place long"))
-    places = settle(windows.join(repeated(windows, ["h1", "h2"]), ["h1", "h2"], "left_semi")
+    shared = repeated(windows, ["h1", "h2"])
+    places = settle(windows.join(shared, ["h1", "h2"], "left_semi")
                     .groupBy("tid").agg(F.array_sort(F.collect_list("place")).alias("places")))
+    discard(shared, twice)
     kept = (texts.join(places, "tid", "left").select("key", "text", "n", "places")
             .mapInArrow(_cut(width), "key binary, n_words long, n_removed long, kept_text string, "
                                      "span_start array<long>, span_end array<long>"))
