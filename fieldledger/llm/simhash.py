@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, as_bytes, components, packed, settle, with_row
+from .common import LOWER, as_bytes, components, settle
+from .similar import SIMILARITY, WIDTH, similar_groups, sketched
 
 SEED = 42
 DISTANCE = 3
@@ -116,21 +116,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                     "n_same", "n_links"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, with the columns of docs: that of the smallest doc_id (nulls
-    last), of equal ids that of the smallest text. The rest of a group is cut to one row within each task
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of texts linked by a Jaccard similarity of `similarity` or more between their sets of
+    `width`-word shingles, with the columns of docs: that of the smallest doc_id (nulls last), of equal ids that of
+    the smallest text. Texts without words are one group. The rest of a group is cut to one row within each task
     before rows move."""
-    rows = settle(packed(docs).mapInArrow(_packed, with_row(docs, ("print", T.LongType())))
-                  .withColumn("doc_id", F.col("row.doc_id").cast("long")))
-    label = groups(rows.select("doc_id", "print")).select("print", "label")
-    first = Window.partitionBy("label").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("row.text"), "row.text")
-    return (rows.join(label, "print").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+    rows = sketched(docs, width)
+    label = similar_groups(rows, width, similarity)
+    first = Window.partitionBy("label").orderBy(F.col("row.doc_id").cast("long").asc_nulls_last(),
+                                                F.xxhash64("row.text"), "row.text")
+    return (rows.select("row", "id").join(label, "id").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
             .select("row.*"))
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offs = as_bytes(batch.column("text"))
-        raw = memoryview(data)
-        prints = np.array([fingerprint(bytes(raw[a:b])) for a, b in zip(offs[:-1], offs[1:])], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints.view(np.int64))], ["row", "print"])

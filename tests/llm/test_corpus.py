@@ -149,6 +149,31 @@ def test_near_duplicates(docs, rows, none):
     assert near_duplicates(none).count() == 0 and keep_one(none).count() == 0
 
 
+def test_keep_one_finds_every_pair_of_similarity_four_fifths(spark):
+    """Near copies with many differing bits go, in one bucket or in chains; texts below the similarity stay."""
+    rng = random.Random(11)
+    texts = []
+    for size in (5, 9, 30, 120, 400, 3000) * 6:
+        text = [f"v{rng.randrange(5000)}" for _ in range(size)]
+        for changes in (0, *(rng.randint(1, max(1, size // 30)) for _ in range(5))):
+            texts.append(" ".join(text))
+            for _ in range(changes):
+                text = [*text]
+                text[rng.randrange(len(text))] = f"v{rng.randrange(5000)}"
+    texts += ["one two", "One  TWO", "one three", "", " "]
+    sets = [frozenset(zip(*(w[k:] for k in range(5)))) or frozenset([tuple(w)]) for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for k, a in enumerate(sets):
+        for j in range(k):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                old, new = max(group[k], group[j]), min(group[k], group[j])
+                group = [new if g == old else g for g in group]
+    kept = keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
+    prints = [fingerprint(t.encode()) for t in texts]
+    assert sum((prints[k] ^ prints[k - 1]).bit_count() > 3 for k in range(1, len(texts)) if group[k] == group[k - 1]) > 20
+
+
 def test_fingerprint_does_not_depend_on_pieces(monkeypatch):
     text = prose(random.Random(1), 500).encode()
     whole = fingerprint(text)
