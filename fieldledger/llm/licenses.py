@@ -1,8 +1,9 @@
 """Licence notices: ordered signature rules over normalized words.
 
-Rules are regular expressions on the lower-cased words of a text, each with a keyword that must be in the
-text before the expression is tried, a label and a priority. Detections are intervals of words. One that
-lies within a longer one goes; of equal intervals the rule with the smaller priority stays.
+Rules are regular expressions on the lower-cased words of a text, each with a keyword that every match
+holds at a word start and that must be in the text before the expression is tried, a label and a priority.
+Detections are intervals of words. One that lies within a longer one goes; of equal intervals the rule with
+the smaller priority stays.
 """
 from __future__ import annotations
 
@@ -43,7 +44,7 @@ FAMILIES = (
     ("zlib", r"zlib licen[cs]e", (), "zlib licen~"),
     ("isc", r"isc licen[cs]e", (), "isc licen~"),
     ("mit", r"mit(?: x11)? licen[cs]e|expat licen[cs]e", (), "mit licen~|mit x11|expat"),
-    ("bsd-2", r"(?:2|two) clause bsd(?: licen[cs]e)?|simplified bsd licen[cs]e|freebsd licen[cs]e", (), "bsd"),
+    ("bsd-2", r"(?:2|two) clause bsd(?: licen[cs]e)?|simplified bsd licen[cs]e|freebsd licen[cs]e", (), "bsd|freebsd"),
     ("bsd-3", r"(?:3|three) clause bsd(?: licen[cs]e)?|(?:new|modified) bsd licen[cs]e", (), "bsd"),
     ("bsd-4", r"(?:4|four) clause bsd(?: licen[cs]e)?|original bsd licen[cs]e", (), "bsd"),
     ("bsd", r"bsd(?: style)? licen[cs]e", (), "bsd"),
@@ -98,7 +99,7 @@ def signatures() -> list[tuple[str, str, str, int, float]]:
     for label, name, versions, keyword in FAMILIES:
         for version in versions:
             v = _version(version)
-            rules.append((f"{label}-{version}-or-later", rf"(?:{name}){v}(?: of the licen[cs]e)? or (?:any |\(at your option\) any )?(?:later|newer)(?: version)?", keyword, 1.0))
+            rules.append((f"{label}-{version}-or-later", rf"(?:{name}){v}(?: of the licen[cs]e)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?", keyword, 1.0))
             rules.append((f"{label}-{version}", rf"(?:{name}){v}(?: only)?", keyword, 0.95))
         rules.append((label, rf"(?:licensed|released|distributed|published|available) under (?:the )?(?:terms of )?(?:the )?(?:{name})", keyword, 0.9))
         rules.append((label, rf"(?:{name})", keyword, 0.6))
@@ -113,13 +114,13 @@ def _phrases(keyword: str) -> list[str]:
 
 
 def _gate(phrases: list[str]) -> str:
-    """An expression that holds for every text with one of the phrases as words. Tried at word starts only,
-    by first letter."""
+    """An expression that holds for every text with one of the phrases at a word start; the last word may go on,
+    as versions are joined to names. Tried at word starts only, by first letter."""
     by_letter: dict[str, list[str]] = {}
     for phrase in sorted(set(phrases)):
         by_letter.setdefault(phrase[0], []).append(phrase[1:].replace(" ", GAP))
     tree = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
-    return f"(?i)(?:^|{GAP[:-1]})(?:{tree})(?:{GAP[:-1]}|$)"
+    return f"(?i)(?:^|{GAP[:-1]})(?:{tree})"
 
 
 def normalized(text: Column) -> Column:
@@ -183,7 +184,7 @@ def scan(docs: DataFrame, rules: list[tuple[str, str, str, int, float]] | None =
                           for phrase, label in BASE))
 
     def ruled(norm: Column) -> Column:
-        present = F.filter(F.array(*map(F.lit, phrases)), lambda k: F.contains(norm, F.concat(F.lit(" "), k, F.lit(" "))))
+        present = F.filter(F.array(*map(F.lit, phrases)), lambda k: F.contains(norm, F.concat(F.lit(" "), k)))
         tried = let(present, lambda here: F.filter(table, lambda r: F.arrays_overlap(r["keywords"], here)))
         return F.flatten(F.transform(tried, lambda r: labelled(_places(norm, r["expression"]), r["label"],
                                                                r["priority"], r["weight"])))

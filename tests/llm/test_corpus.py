@@ -371,6 +371,48 @@ def test_license_scan(spark, none, docs):
     assert len(signatures()) > 200 and scan(none).count() == 0 and scan(docs).count() == docs.count()
 
 
+WORDINGS = {
+    "Licensed under GPLv3": "gpl-3", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "GPL3": "gpl-3", "MPLv2.0": "mpl-2.0", "EPL2.0": "epl-2.0",
+    "FDLv1.3": "fdl-1.3", "ASL2.0": "apache-2.0", "CDDLv1.0": "cddl-1.0", "EUPLv1.2": "eupl-1.2", "LPPL1.3": "lppl-1.3",
+    "BSL1.0": "boost-1.0", "WTFPLv2": "wtfpl-2", "FreeBSD License": "bsd-2", "Apache License2.0": "apache-2.0", "GPLv2+": "gpl-2",
+    "GPL version 3 of the License, or (at your option) any later version": "gpl-3-or-later", "LGPLv3 or later": "lgpl-3-or-later"}
+
+
+def sample(expression: str) -> list[str]:
+    """A wording for each first, second, ... alternative of the groups of an expression, options taken and left."""
+    def expand(tree, pick: int) -> str:
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                first = arg[min(pick, len(arg) - 1)]
+                out += chr(first[1] if str(first[0]) == "LITERAL" else first[1][0]) if str(first[0]) != "CATEGORY" else "7" if "DIGIT" in str(first[1]) else "w"
+            elif name == "BRANCH":
+                out += expand(arg[1][pick % len(arg[1])], pick)
+            elif name == "MAX_REPEAT":
+                out += expand(arg[2], pick) * max(arg[0], pick % 2)
+            elif name == "SUBPATTERN":
+                out += expand(arg[3], pick)
+        return out
+    return [expand(re._parser.parse(expression), pick) for pick in range(6)]
+
+
+def test_no_keyword_is_stricter_than_its_rule(spark):
+    texts = list(WORDINGS)
+    out = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {t: out[k].labels for k, t in enumerate(texts)} == WORDINGS
+    rules = signatures()
+    given = [(rule[3] * 10 + k, text) for rule in rules for k, text in enumerate(sample(rule[1]))]
+    assert all(re.search(rules[k // 10][1], f" {t} ") for k, t in given)
+    starts = {k: [p for word in rules[k // 10][2].split("|") for p in (word.replace("~", "se"), word.replace("~", "ce"))] for k, _ in given}
+    assert [t for k, t in given if not any(f" {p}" in f" {t}" for p in starts[k])] == []
+    some = [(k, t) for k, t in given if k % 10 == 0]
+    found = scan(spark.createDataFrame(some, "doc_id long, text string").repartition(8)).collect()
+    assert [r.doc_id for r in found if not r.score] == []
+
+
 def test_archives(spark):
     big = "<p>x é</p>\n" * 40_000
     pages = [(1, "http://a", "a" * 1000), (2, "http://b c", "a" * 1000), (3, None, "a" * 999), (4, "u", "a" * 999), (5, "u", None), (None, "u", "a" * 1000),
