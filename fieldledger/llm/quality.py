@@ -71,7 +71,8 @@ def _vector() -> dict[str, Column]:
             "repeats": F.log1p(20 * F.col("n_repeat_words") / n)}
 
 
-GROUP = ["lang", "source"]
+OWN, LANGUAGE, ALL = 0, 1, 2           # the rows a model is fitted to: of a language and source, of a language, all
+GROUP = ["level", "lang", "source"]    # pooled models have an empty source, or language and source
 PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
 
 
@@ -124,7 +125,7 @@ def _limits(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def covariance_models(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """One robust model for each language and source: mean, covariance, factor, quantiles, n."""
+    """One robust model for each group: mean, covariance, factor, quantiles, n."""
     model = _limits(rows, _start(rows))
     for _ in range(steps):
         near = rows.join(model, GROUP).filter(_distance() <= F.col("core"))
@@ -140,21 +141,45 @@ def covariance_models(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return model
 
 
-def quality(docs: DataFrame, cut: float = CUT, min_rows: int = MIN_ROWS) -> DataFrame:
+def _keys(level: Column) -> list[Column]:
+    """The columns of GROUP at a level."""
+    return [level.alias("level"), F.when(level < ALL, F.col("lang")).otherwise("").alias("lang"),
+            F.when(level == OWN, F.col("source")).otherwise("").alias("source")]
+
+
+def model_levels(rows: DataFrame, min_rows: int, pooled: bool) -> DataFrame:
+    """lang, source, level of the model that judges them, and fits, the levels to which their rows belong."""
+    sizes = settle(rows.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n")))
+    own = sizes.join(sizes.groupBy("lang").agg(F.sum("n").alias("n_lang")), "lang").withColumn(
+        "level", F.when(F.col("n") >= min_rows, OWN).when(F.lit(pooled), F.when(F.col("n_lang") >= min_rows, LANGUAGE).otherwise(ALL)))
+    own = settle(own)
+    by_language = own.groupBy("lang").agg(F.coalesce(F.bool_or(F.col("level") == LANGUAGE), F.lit(False)).alias("shared"))
+    everywhere = bool(own.agg(F.bool_or(F.col("level") == ALL)).first()[0])
+    return settle(own.join(by_language, "lang").select("lang", "source", "level", F.array_compact(F.array(
+        F.when(F.col("level") == OWN, OWN), F.when(F.col("shared"), LANGUAGE), F.when(F.lit(everywhere), ALL))).alias("fits")))
+
+
+def quality(docs: DataFrame, cut: float = CUT, min_rows: int = MIN_ROWS, pooled: bool = False) -> DataFrame:
     """Columns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance
     and kept of each row of docs.
 
     Base: fewer than 20 words, or more than 30 % repeated words, fails. The models are fitted to the rows
-    that pass; a row is kept if it passes and its squared distance, scaled so that the group's median is
-    that of the chi-square law where it is larger, stays within `cut`. Groups of fewer than `min_rows` rows
-    have no model and their distance is null; they are kept. Null and empty texts fail, null languages and
-    sources form a group with the empty ones, repeated rows count as often as they occur.
+    that pass; a row is kept if it passes and its squared distance, scaled so that the model's median is
+    that of the chi-square law where it is larger, stays within `cut`. With `pooled`, groups of fewer than
+    `min_rows` rows are judged by the model of their language, and where that has fewer too, by the model of
+    all rows, so that each row has a distance. Without, they have no model, their distance is null and they
+    are kept. Null and empty texts fail, null languages and sources form a group with the empty ones,
+    repeated rows count as often as they occur.
     """
     rows = settle(text_statistics(docs).withColumns(_vector()).withColumn("base_failed", (F.col("n_words") < 20)
                                                     | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
-    passed = rows.filter(~F.col("base_failed")).select(*GROUP, *STATS)
-    model = covariance_models(passed).filter(F.col("n") >= min_rows)
+    levels = model_levels(rows, min_rows, pooled)
+    passed = (rows.filter(~F.col("base_failed")).join(levels, ["lang", "source"])
+              .select("lang", "source", *STATS, F.explode("fits").alias("fit")).select(*_keys(F.col("fit")), *STATS))
+    model = covariance_models(passed)
     scaled = _distance() / F.greatest(F.lit(1.0), F.col("middle") / CHI2_MEDIAN)
-    return (rows.join(model, GROUP, "left").withColumn("distance", scaled)
+    judged = rows.join(levels.drop("fits"), ["lang", "source"])
+    return (judged.select(*(c for c in judged.columns if c not in GROUP), *_keys(F.col("level"))).join(model, GROUP, "left")
+            .withColumn("distance", scaled)
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)).alias("kept")))

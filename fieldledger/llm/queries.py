@@ -139,7 +139,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents"), pooled=True)
 
 
 

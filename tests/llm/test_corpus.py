@@ -275,6 +275,22 @@ def test_outliers(spark, none, docs):
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in got)
 
 
+def test_small_groups_are_judged_by_pooled_models(spark):
+    """Junk in a small source, in a rare language, and in a table without a large group."""
+    rng = random.Random(4)
+    junk = lambda n: " ".join(x + "###&&&" for x in prose(rng, n).split())
+    good = [(k, prose(rng, rng.randint(40, 200)), "en", f"s{k % 20}") for k in range(300)] + \
+        [(300 + k, prose(rng, rng.randint(40, 200)), "fr", "large") for k in range(60)]
+    few = [(1000, junk(60), "en", "s3"), (1001, junk(60), "de", "c"), (1002, junk(60), None, None), (1003, junk(60), "fr", "new")]
+    fine = [(2000, prose(rng, 90), "de", "c"), (2001, prose(rng, 90), "fr", "new"), (2002, prose(rng, 5), "it", "d")]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in quality(frame(good + few + fine), pooled=True).collect()}
+    assert len(out) == len(good + few + fine) and all(r.distance is not None for r in out.values())
+    assert {k for k, r in out.items() if not r.kept} == {1000, 1001, 1002, 1003, 2002}
+    tiny = {r.doc_id: r for r in quality(frame(good[:30] + few[:1]), pooled=True).collect()}
+    assert {k for k, r in tiny.items() if not r.kept} == {1000}
+
+
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
