@@ -125,7 +125,7 @@ def _gate(phrases: list[str]) -> str:
 
 def normalized(text: Column) -> Column:
     """The words of a text, A-Z lower-cased, with one space around each."""
-    return F.concat(F.lit(" "), F.translate(F.regexp_replace(text, GAP, " "), UPPER, UPPER.lower()), F.lit(" "))
+    return F.concat(F.lit(" "), F.translate(F.trim(F.regexp_replace(text, GAP, " ")), UPPER, UPPER.lower()), F.lit(" "))
 
 
 def let(value: Column, body) -> Column:

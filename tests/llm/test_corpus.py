@@ -429,6 +429,15 @@ def test_no_keyword_is_stricter_than_its_rule(spark):
     assert [r.doc_id for r in found if not r.score] == []
 
 
+@pytest.mark.parametrize("edge", ["\n", "(", "# ", " * ", "\t/** "])
+def test_separators_at_the_edges_move_no_word(spark, edge):
+    given = [(1, edge + "MIT License) of it"), (2, edge + "see the GPLv3" + edge), (3, edge)]
+    out = {r.doc_id: r for r in scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert (out[1].first_word, out[1].last_word, out[1].n_words) == (0, 0, 4)
+    assert [(d.at, d.to) for d in out[1].detections] == [(0, 2)] and [(d.at, d.to) for d in out[2].detections] == [(2, 3)]
+    assert out[3].n_words == 0 and out[3].first_word is None
+
+
 def test_archives(spark):
     big = "<p>x é</p>\n" * 40_000
     pages = [(1, "http://a", "a" * 1000), (2, "http://b c", "a" * 1000), (3, None, "a" * 999), (4, "u", "a" * 999), (5, "u", None), (None, "u", "a" * 1000),
