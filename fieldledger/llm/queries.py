@@ -7,9 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import centroid_clusters
 from .decontaminate import contamination
 from .licenses import scan
 from .lines import remove_boilerplate
+from .packing import packed_sequences
+from .periods import periodic_runs
 from .pieces import sampled_segmentations
 from .quality import quality
 from .simhash import near_duplicates
@@ -153,3 +156,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_later_copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("span_start").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    gap = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT"
+    steps = [f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM
+  (SELECT v, sha256('3:' || vec_id) AS h FROM x ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, v, c, g FROM (SELECT vec_id, v, c, {gap} AS g FROM x, c{r})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY g, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS MATERIALIZED (SELECT c, i, sum(v[i])::HUGEINT AS s, count(*) AS n FROM a{r}, unnest(range(1, {dims + 1})) AS t(i) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c AS c, coalesce(f.m, c{r}.m) AS m FROM c{r} LEFT JOIN
+  (SELECT c, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END::BIGINT ORDER BY i) AS m FROM s{r} GROUP BY c) f ON f.c = c{r}.c)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, a{rounds}.c::INT AS cluster, g AS distance, sum(g) OVER (PARTITION BY a{rounds}.c)::BIGINT AS cluster_inertia,
+       sum(g) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
+"""
+
+
+@query("op12_clusters", _clusters_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).withColumn(
+        "centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+@query("op13_periods")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite_tails=True).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
