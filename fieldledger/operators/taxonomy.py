@@ -1,8 +1,7 @@
 """Free-text labels mapped onto a taxonomy.
 
-The taxonomy is an argument: a small table of surface forms read from a file. It
-becomes literal arrays of patterns inside the expressions, longest form first, so
-the texts are neither joined nor moved.
+The taxonomy is an argument: a table of surface forms read from a file, looked up by
+the inverted dictionary, so that its size does not matter to the texts.
 """
 from __future__ import annotations
 
@@ -12,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import collapse_ws, normalize_text
+from ..sources.tables import settle
+from .dictionary import WORD, find_forms, form_index, scan_forms
 
 # Fixed value: separators of a label field; "and" is part of colour names.
 SEPARATORS = r"(?i)[;,/+|\n]|\bthen\b|\balso\b"
@@ -49,12 +50,6 @@ def taxonomy_dim(spark: SparkSession, tax: Taxonomy) -> DataFrame:
     return spark.createDataFrame(rows, "form string, pattern string, category string, subtype string, length int, seq int")
 
 
-def _structs(rows: list[tuple], names: list[str], schema: str) -> Column:
-    if not rows:
-        return F.expr(f"cast(array() as array<struct<{schema}>>)")
-    return F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, r)]) for r in rows])
-
-
 def strip_ends(c: Column) -> Column:
     return F.btrim(c, F.lit(STRIP))
 
@@ -63,72 +58,94 @@ def split_parts(raw: Column) -> Column:
     return F.filter(F.transform(F.split(raw, SEPARATORS), strip_ends), lambda p: p != "")
 
 
-def parse_parts(parts: DataFrame, tax: Taxonomy, part: str = "part") -> DataFrame:
-    """Adds kind, hits and techniques to parts of label fields.
+def _forms(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Forms in order of their rank, keyed for lookup; schema: the further fields."""
+    return form_index(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"rank int, form string{schema}"))
 
-    kind: 'hit', 'ambiguous', 'unknown' or 'empty'. Techniques are taken out first
-    and may imply a category; then terms, longest first, each consuming its first
-    occurrence; the colour comes from what is left. Each step is a column of its
-    own, so it is computed once and used several times.
-    """
+
+def _widest(forms: list[str]) -> int:
+    return max((len(re.findall(WORD, f.lower())) for f in forms), default=0)
+
+
+def _consumed(texts: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """Takes the forms found out of each text, techniques first, longest form first.
+
+    Adds left (what remains), techs, implied, hits, and trail: the texts in between."""
     no_names = F.expr("cast(array() as array<string>)")
     no_hits = F.expr("cast(array() as array<struct<category:string,subtype:string>>)")
+    details = known.select("rank", "pattern", "technique", "name", "category", "subtype").dropDuplicates(["rank"])
+    lists = found.join(details, "rank").groupBy("part").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "pattern", "technique", "name", "category", "subtype"))).alias("_forms"))
+    start = F.struct(F.col("_text").alias("text"), no_names.alias("techs"), F.lit(None).cast("string").alias("implied"),
+                     no_hits.alias("hits"), no_names.alias("trail"))
+
+    def step(acc: Column, f: Column) -> Column:
+        every = F.trim(F.regexp_replace(acc["text"], f["pattern"], F.lit(" ")))
+        once = F.trim(F.regexp_replace(acc["text"], F.concat(F.lit("(?s)^(.*?)(?:"), f["pattern"], F.lit(")")), F.lit("$1 ")))
+        after = F.when(f["technique"], every).otherwise(once)
+        hit = F.struct(f["category"].alias("category"), f["subtype"].alias("subtype"))
+        return F.when(F.regexp_like(acc["text"], f["pattern"]), F.struct(
+            after.alias("text"),
+            F.when(f["technique"], F.array_union(acc["techs"], F.array(f["name"]))).otherwise(acc["techs"]).alias("techs"),
+            F.when(f["technique"], F.coalesce(acc["implied"], f["category"])).otherwise(acc["implied"]).alias("implied"),
+            F.when(f["technique"], acc["hits"]).otherwise(F.concat(acc["hits"], F.array(hit))).alias("hits"),
+            F.concat(acc["trail"], F.array(after)).alias("trail"))).otherwise(acc)
+
+    joined = texts.join(lists, "part", "left")
+    folded = joined.withColumn("_a", F.when(F.col("_forms").isNull(), start).otherwise(F.aggregate("_forms", start, step)))
+    return folded.select("part", "_text", F.col("_a.text").alias("left"), "_a.techs", "_a.implied", "_a.hits", "_a.trail")
+
+
+def parse_parts(parts: DataFrame, tax: Taxonomy, part: str = "part") -> DataFrame:
+    """Adds kind, hits and techniques to the different parts of label fields.
+
+    kind: 'hit', 'ambiguous', 'unknown' or 'empty'. Techniques are taken out first and may imply a category; then
+    terms, longest first, each consuming its first occurrence; the colour comes from what is left.
+
+    Forms are found by the inverted dictionary. Taking one out can bring the words around it together, so the texts in
+    between are looked up too, until no further form turns up; each turn concerns only parts with a new form.
+    """
+    spark = parts.sparkSession
     none = F.expr("cast(array() as array<struct<category:string,subtype:string,color:string>>)")
+    no_names = F.expr("cast(array() as array<string>)")
     ambiguous = list(tax.ambiguous)
-    techs = _structs([(phrase_pattern(f), n, i) for f, n, i in tax.techniques], ["rx", "name", "implies"],
-                     "rx:string,name:string,implies:string")
-    terms = _structs([(phrase_pattern(f), c, s) for f, c, s in tax.terms], ["rx", "category", "subtype"],
-                     "rx:string,category:string,subtype:string")
     text = F.col("_text")
-
-    def among(patterns: list[str], array: Column) -> Column:
-        """The array, or nothing at all when no pattern can match: one test decides."""
-        if not patterns:
-            return array
-        joined = "(?i)" + "|".join(p.removeprefix("(?i)") for p in patterns)
-        return F.when(text.rlike(joined), array)
-
-    out = parts.withColumn("_text", normalize_text(F.col(part)))
-    present = F.filter(among([phrase_pattern(f) for f, _, _ in tax.techniques], techs),
-                       lambda t: F.regexp_like(text, t["rx"]))
-    out = out.withColumn("_techs", F.coalesce(present, F.slice(techs, 1, 0)))
-    start = F.struct(text.alias("text"), no_names.alias("techs"), F.lit(None).cast("string").alias("implied"))
-    out = out.withColumn("_taken", F.aggregate("_techs", start, lambda acc, t: F.when(
-        F.regexp_like(acc["text"], t["rx"]), F.struct(
-            F.trim(F.regexp_replace(acc["text"], t["rx"], F.lit(" "))).alias("text"),
-            F.array_union(acc["techs"], F.array(t["name"])).alias("techs"),
-            F.coalesce(acc["implied"], t["implies"]).alias("implied"))).otherwise(acc)))
-    candidates = F.filter(among([phrase_pattern(f) for f, _, _ in tax.terms], terms),
-                          lambda t: F.regexp_like(text, t["rx"]))
-    out = out.withColumn("_terms", F.coalesce(candidates, F.slice(terms, 1, 0)))
-    begin = F.struct(F.col("_taken.text").alias("text"), no_hits.alias("hits"))
-    out = out.withColumn("_used", F.aggregate("_terms", begin, lambda acc, t: F.when(
-        F.regexp_like(acc["text"], t["rx"]), F.struct(
-            F.trim(F.regexp_replace(acc["text"], F.concat(F.lit("(?s)^(.*?)(?:"), t["rx"], F.lit(")")), F.lit("$1 "))).alias("text"),
-            F.concat(acc["hits"], F.array(F.struct(t["category"].alias("category"), t["subtype"].alias("subtype")))).alias("hits"),
-        )).otherwise(acc)))
-    left, color, rest = F.col("_used.text"), F.lit(None).cast("string"), F.col("_used.text")
-    for name in reversed(tax.colors):
-        seen = left.rlike(phrase_pattern(name))
-        color = F.when(seen, name).otherwise(color)
-        rest = F.when(seen, F.regexp_replace(left, phrase_pattern(name), " ")).otherwise(rest)
-    out = out.withColumn("_color", color).withColumn("_left", collapse_ws(rest))
+    texts = settle(parts.select(F.col(part).alias("part")).dropDuplicates().withColumn("_text", normalize_text(F.col("part"))))
+    known = _forms(spark, [(f, True, n, i, None) for f, n, i in tax.techniques]
+                   + [(f, False, None, c, s) for f, c, s in tax.terms],
+                   ", technique boolean, name string, category string, subtype string")
+    widest = _widest([f for f, *_ in tax.techniques + tax.terms])
+    look_up = lambda rows: find_forms(rows, known, widest).select("part", "rank").dropDuplicates()
+    found = settle(look_up(texts))
+    while True:
+        taken = settle(_consumed(texts, found, known))
+        between = taken.where(F.size("trail") > 0).select("part", F.explode(F.array_distinct("trail")).alias("_text"))
+        new = settle(look_up(between).join(found, ["part", "rank"], "left_anti"))
+        if new.isEmpty():
+            break
+        found = settle(found.union(new))
+    colors = _forms(spark, [(c,) for c in tax.colors], "")
+    seen = (find_forms(taken.select("part", F.col("left").alias("_text")), colors, _widest(tax.colors))
+            .groupBy("part").agg(F.min("rank").alias("rank"))
+            .join(colors.select("rank", F.col("form").alias("_color"), "pattern").dropDuplicates(["rank"]), "rank").drop("rank"))
+    out = taken.join(seen, "part", "left").withColumn("_left", collapse_ws(
+        F.when(F.col("pattern").isNull(), F.col("left")).otherwise(F.regexp_replace("left", F.col("pattern"), F.lit(" ")))))
 
     one = lambda cat, sub: F.array(F.struct(cat.cast("string").alias("category"), sub.cast("string").alias("subtype"),
                                             F.col("_color").alias("color")))
-    coloured = F.transform("_used.hits", lambda h: F.struct(
+    coloured = F.transform("hits", lambda h: F.struct(
         h["category"].alias("category"), h["subtype"].alias("subtype"), F.col("_color").alias("color")))
     filler = text.isin(ambiguous) | text.rlike(r"^\d+$")
-    implied = F.col("_taken.implied")
+    implied = F.col("implied")
     bare_color = (F.col("_left") == "") & F.col("_color").isNotNull()
-    found = F.size("_used.hits") > 0
+    found = F.size("hits") > 0
     kind = (F.when(text == "", "empty").when(filler, "ambiguous").when(found | implied.isNotNull() | bare_color, "hit")
             .when(F.col("_left") == "", "empty").when(F.col("_left").isin(ambiguous), "ambiguous").otherwise("unknown"))
     hits = (F.when((text == "") | filler, none).when(found, coloured)
             .when(implied.isNotNull(), one(implied, F.lit("unspecified")))
             .when(bare_color, one(F.lit(None), F.lit(None))).otherwise(none))
-    spoken = F.when((text == "") | filler, no_names).otherwise(F.col("_taken.techs"))
-    return out.select(*parts.columns, kind.alias("kind"), hits.alias("hits"), spoken.alias("techniques"))
+    spoken = F.when((text == "") | filler, no_names).otherwise(F.col("techs"))
+    return out.select(F.col("part").alias(part), kind.alias("kind"), hits.alias("hits"), spoken.alias("techniques"))
 
 
 def label_parse_field(reports: DataFrame, tax: Taxonomy, raw: str = "label_raw") -> DataFrame:
@@ -154,25 +171,20 @@ def review_queue(parsed: DataFrame, limit: int | None = None) -> DataFrame:
 def label_scan_text(reports: DataFrame, tax: Taxonomy, body: str = "body") -> DataFrame:
     """Every (category, subtype) of the taxonomy present in a text, with the match of
     its longest surface form."""
-    text = F.col("_text")
-    groups: dict[tuple, list[str]] = {}
-    for form, cat, sub in tax.terms:
-        groups.setdefault((cat, sub), []).append(form)
-    entries = []
-    for (cat, sub), forms in groups.items():
-        raw = F.coalesce(*[F.nullif(F.regexp_extract(text, phrase_pattern(f), 0), F.lit("")) for f in forms])
-        entries.append(F.when(raw.isNotNull(), F.struct(
-            raw.alias("raw"), F.lit(cat).alias("category"), F.lit(sub).alias("subtype"))))
-    prepared = reports.where(F.col(body).isNotNull()).select("obs_id", normalize_text(F.col(body)).alias("_text"))
-    return prepared.select("obs_id", F.posexplode(F.array_compact(F.array(*entries))).alias("seq", "h")).select(
-        "obs_id", "seq", "h.raw", "h.category", "h.subtype")
+    forms = reports.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(tax.terms)],
+                                                 "rank int, form string, category string, subtype string")
+    return scan_forms(reports, forms, body)
 
 
 def scan_techniques(reports: DataFrame, tax: Taxonomy, body: str = "body") -> DataFrame:
-    text = normalize_text(F.col(body))
-    names = F.array_distinct(F.array_compact(F.array(
-        *[F.when(text.rlike(phrase_pattern(f)), n) for f, n, _ in tax.techniques])))
-    return reports.where(F.col(body).isNotNull()).select("obs_id", names.alias("techniques"))
+    """The techniques named in each text that is not null, in the order of the taxonomy."""
+    index = _forms(reports.sparkSession, [(f, n) for f, n, _ in tax.techniques], ", name string")
+    texts = reports.where(F.col(body).isNotNull()).select("obs_id", normalize_text(F.col(body)).alias("_text"))
+    first = (find_forms(texts, index, _widest([f for f, *_ in tax.techniques])).groupBy("obs_id", "name")
+             .agg(F.min("rank").alias("rank")))
+    named = first.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("n"))
+    names = F.coalesce(F.transform("n", lambda x: x["name"]), F.expr("cast(array() as array<string>)"))
+    return texts.select("obs_id").join(named, "obs_id", "left").select("obs_id", names.alias("techniques"))
 
 
 def label_dedupe(hits: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X, vocabulary as V
 from ..operators import phrases as P, rules, taxonomy as TX
+from ..operators.dictionary import scan_forms
 from ..sources.tables import spread
 from . import testbed as T
 from .registry import query, r6
@@ -312,6 +313,35 @@ def label_scan_text(spark, sf):
     return TX.label_scan_text(docs(spark, sf), DOC_TAXONOMY).select("obs_id", "category", "subtype", "raw")
 
 
+# Forms taken from the tables themselves: every part name, and the first words of every benchmark item.
+_LARGE = f"""{_DOCS}, n AS (SELECT obs_id, {NORM} AS t FROM docs),
+b AS (SELECT item_id, list_filter(string_split({NORM}, ' '), lambda w: regexp_full_match(w, '[a-z0-9]+')) AS w FROM (SELECT item_id, text AS body FROM benchmark)),
+forms AS (SELECT form, category, subtype FROM (SELECT array_to_string(w[1:k], ' ') AS form, 'item' AS category, CAST(k AS VARCHAR) || ' words' AS subtype
+    FROM b, (VALUES (2), (3), (4)) v(k) WHERE len(w) >= k UNION SELECT DISTINCT p_name, 'part', split_part(p_name, ' ', 2) FROM part) GROUP BY ALL)"""
+
+
+def large_forms(spark, sf):
+    words = F.filter(F.split(X.normalize_text(F.col("text")), " "), lambda w: w.rlike("^[a-z0-9]+$"))
+    items = T.table(spark, sf, "benchmark").select(words.alias("w"), F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("k"))
+    first = items.where(F.size("w") >= F.col("k")).select(
+        F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("form"), F.lit("item").alias("category"),
+        F.concat(F.col("k").cast("string"), F.lit(" words")).alias("subtype"))
+    parts = T.table(spark, sf, "part").select(F.col("p_name").alias("form"), F.lit("part").alias("category"),
+                                              F.split_part("p_name", F.lit(" "), F.lit(2)).alias("subtype"))
+    return first.union(parts).distinct()
+
+
+@query("label_scan_dictionary", f"""{_LARGE}
+SELECT obs_id, category, subtype, max(length(form)) AS longest FROM n JOIN forms
+  ON regexp_matches(t, '\\b' || replace(form, ' ', '[\\s-]*') || 's?\\b') GROUP BY obs_id, category, subtype""")
+def label_scan_dictionary(spark, sf):
+    """A dictionary that grows with the data: longer forms first, of equal ones the smaller."""
+    forms = large_forms(spark, sf)
+    ranked = forms.withColumn("rank", F.struct((-F.length("form")).alias("n"), F.col("form").alias("form")))
+    found = scan_forms(docs(spark, sf), ranked)
+    return found.select("obs_id", "category", "subtype", (-F.col("seq.n")).alias("longest"))
+
+
 @query("scan_techniques", f"""{_DOCS}, n AS (SELECT obs_id, {NORM} AS t FROM docs)
 SELECT obs_id, concat_ws(',', CASE WHEN regexp_matches(t, '\\bpublic[\\s-]*licenses?\\b') THEN 'gpl' END, CASE WHEN regexp_matches(t, '\\bapaches?\\b') THEN 'apache' END) AS techniques FROM n
 WHERE regexp_matches(t, '\\bpublic[\\s-]*licenses?\\b|\\bapaches?\\b')""")

@@ -124,6 +124,83 @@ def test_scan_text(spark):
     assert got == {("jig", "swim", "swim-jig"), ("jig", "unspecified", "jig"), ("soft", "craw", "rage craws")}
 
 
+def test_taken_words_bring_others_together(spark):
+    row = parse(spark, "swim weightless jig").first()          # found only once the technique is out
+    assert (row["kind"], [tuple(h) for h in row["hits"]], row["techniques"]) == ("hit", [("jig", "swim", None)], ["weightless"])
+    row = parse(spark, "rage topwater craw").first()
+    assert [tuple(h)[:2] for h in row["hits"]] == [("topwater", "unspecified"), ("soft", "craw")]
+
+
+def plain_parse(part, tax):
+    """The rules in plain Python, form by form."""
+    import re
+    text = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s\"'.-]", " ", part.lower().replace("&", " and "))).strip()
+    if text in tax.ambiguous or text.isdigit():
+        return ("ambiguous", [], [])
+    techs, implied, hits, color = [], None, [], None
+    for form, name, implies in tax.techniques:
+        if re.search(TX.phrase_pattern(form), text):
+            techs += [name] * (name not in techs)
+            text = re.sub(TX.phrase_pattern(form), " ", text).strip()
+            implied = implied or implies
+    left = text
+    for form, cat, sub in tax.terms:
+        if m := re.search(TX.phrase_pattern(form), left):
+            hits.append((cat, sub))
+            left = (left[:m.start()] + " " + left[m.end():]).strip()
+    for name in tax.colors:
+        if re.search(TX.phrase_pattern(name), left):
+            color, left = name, re.sub(TX.phrase_pattern(name), " ", left)
+            break
+    left = " ".join(left.split())
+    if hits:
+        return ("hit", [(c, s, color) for c, s in hits], techs)
+    if implied:
+        return ("hit", [(implied, "unspecified", color)], techs)
+    if not left:
+        return ("hit", [(None, None, color)], techs) if color else ("empty", [], techs)
+    return ("ambiguous" if left in tax.ambiguous else "unknown", [], techs)
+
+
+def test_dictionary_is_the_patterns_one_by_one(spark):
+    import random
+    rng, words = random.Random(6), ["ab", "a", "b", "bs", "cc", "ccs", "d", "a-b", "x9", "q"]
+    form = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+    tax = TX.Taxonomy.from_entries({
+        "colors": [form() for _ in range(5)], "ambiguous": [form() for _ in range(4)],
+        "techniques": [{"match": [form()], "name": f"t{k}", "implies": rng.choice([None, "i"])} for k in range(6)],
+        "terms": [{"match": [form(), form()], "category": f"c{k % 4}", "subtype": f"s{k}"} for k in range(14)]})
+    join = lambda: rng.choice([" ", "-", "", " - ", "'", "  ", "."])
+    texts = sorted({"".join(rng.choice(words) + join() for _ in range(rng.randint(1, 7))).strip(" .-\"'") for _ in range(400)} - {""})
+    got = {r["part"]: (r["kind"], [tuple(h) for h in r["hits"]], r["techniques"]) for r in TX.parse_parts(
+        spark.createDataFrame([(t,) for t in texts], "part string"), tax).collect()}
+    assert {t: got[t] for t in texts} == {t: plain_parse(t, tax) for t in texts}
+    scanned = {}
+    for r in TX.label_scan_text(spark.createDataFrame(list(enumerate(texts)), "obs_id int, body string"), tax).collect():
+        scanned.setdefault(r["obs_id"], {})[r["category"], r["subtype"]] = r["raw"]
+    import re
+    for k, t in enumerate(texts):
+        norm = re.sub(r"\s+", " ", t).strip()
+        want = {}
+        for f, c, s in tax.terms:
+            if (m := re.search(TX.phrase_pattern(f), norm)) and (c, s) not in want:
+                want[c, s] = m.group(0)
+        assert scanned.get(k, {}) == want
+
+
+def test_hundred_thousand_forms(spark):
+    from fieldledger.operators.dictionary import scan_forms
+    k = F.col("id")
+    forms = spark.range(100_000).select(k.cast("int").alias("rank"), F.format_string("thing%d of kind%d", k, k % 7).alias("form"),
+                                        (k % 100).cast("string").alias("category"), k.cast("string").alias("subtype"))
+    texts = spark.range(500).select(k.alias("obs_id"), F.format_string(
+        "A thing%d-of kind%d, then THING%d of kind%d's and more.", k, k % 7, k + 1, k % 7).alias("body"))
+    got = {(r["obs_id"], r["subtype"], r["raw"]) for r in scan_forms(texts, forms).collect()}
+    assert got == {(i, str(i), f"thing{i}-of kind{i % 7}") for i in range(500)} | {
+        (i, str(i + 1), f"thing{i + 1} of kind{i % 7}") for i in range(500) if (i + 1) % 7 == i % 7}
+    assert scan_forms(texts.limit(0), forms).count() == 0 and scan_forms(texts, forms.limit(0)).count() == 0
+
+
 def test_merge_prefers_the_field(spark):
     rows = [(1, "a", "s", "raw1", "red", "narrative", 0), (1, "a", "s", "raw2", None, "field", 3), (1, "b", "t", "raw3", None, "narrative", 1)]
     df = spark.createDataFrame(rows, "obs_id int, category string, subtype string, raw string, color string, source string, seq int")
