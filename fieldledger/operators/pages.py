@@ -1,10 +1,11 @@
-"""Cached pages to typed rows. The page table is read once per kind; every field is
-a column expression on the markup."""
+"""Cached pages to typed rows. Each page is read once into its elements; every field is
+a column expression on them."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H
+from . import markup as M
 
 # Signs of an absent page served with a success status, and the block that
 # every report has; labels of the field block.
@@ -36,50 +37,67 @@ def missing_stub_filter(pages: DataFrame, markers: list[str] = MISSING_MARKERS,
 
 def parse_listing_cards(pages: DataFrame) -> DataFrame:
     """One row per card; the last card of an id on a page wins."""
-    cards = pages.select("page_id", F.posexplode(F.split("html", H.class_open("divTableRow"))).alias("pos", "card")) \
-        .where(F.col("pos") > 0)
-    cards = H.with_divs(cards, "card", {"summary": "table-summary", "replies": "table-replies", "views": "table-views"})
-    cards = cards.where(F.col("summary").isNotNull())
-    href = F.regexp_extract("summary", r'(?is)<a\b[^>]*href="[^"]*view_report/(\d+)', 1)
-    cards = cards.withColumn("report_id", href.try_cast("bigint")).where(F.col("report_id").isNotNull())
-    cards = cards.withColumn("text", H.node_text(F.col("summary")))
-    text = F.col("text")
-    prop = F.coalesce(F.nullif(F.regexp_extract("summary", r"Property\s*:\s*([^\n<]{2,})", 1), F.lit("")),
+    nodes = F.col("nodes")
+    cards = M.records(pages.select("page_id", "html"), ".divTableRow",
+                      [".table-summary", ".table-replies", ".table-views", "a"])
+    cards = cards.withColumn("summary", M.first(M.having(nodes, of="table-summary"))).where(F.col("summary").isNotNull())
+    links = F.filter(M.having(nodes, tag="a", within=F.col("summary")), lambda n: n["href"].contains("view_report"))
+    cards = cards.withColumn("link", M.first(links))
+    cards = cards.withColumn("report_id", F.regexp_extract("link.href", r"view_report/(\d+)", 1).try_cast("bigint"))
+    cards = cards.where(F.col("report_id").isNotNull())
+    text, block = F.col("summary.text"), F.col("summary.inner")
+    prop = F.coalesce(F.nullif(F.regexp_extract(block, r"Property\s*:\s*([^\n<]{2,})", 1), F.lit("")),
                       F.nullif(F.regexp_extract(text, r"Property\s*:\s*(.{2,}?)\s*(?:Started\s*By|$)", 1), F.lit("")))
     name, town = H.split_on_last_comma(H.unescape(prop))
     started = r"(?s)Started\s*By\s*:\s*(.*?)\s*,\s*([A-Z][a-z]{2}\s+\d{1,2},\s*\d{4})"
+    count = lambda of, label: H.labelled_int(M.first(M.having(nodes, of=of))["inner"], label)
     parsed = cards.select(
-        "page_id", "pos", "report_id",
-        F.nullif(H.node_text(F.regexp_extract("summary", r"(?is)<a\b[^>]*view_report[^>]*>(.*?)</a>", 1)), F.lit("")).alias("title"),
+        "page_id", "pos", "report_id", F.nullif("link.text", F.lit("")).alias("title"),
         name.alias("lake_name"), town.alias("lake_town"),
         F.nullif(H.clean(F.regexp_extract(text, started, 1)), F.lit("")).alias("author"),
         F.coalesce(H.parse_card_date(F.regexp_extract(text, started, 2)), H.parse_card_date(text)).alias("posted_date"),
-        H.labelled_int(F.col("replies"), "Replies").alias("replies"),
-        H.labelled_int(F.col("views"), "Views").alias("views"))
+        count("table-replies", "Replies").alias("replies"), count("table-views", "Views").alias("views"))
     fields = [c for c in parsed.columns if c not in ("page_id", "report_id")]
     last = parsed.groupBy("page_id", "report_id").agg(F.max_by(F.struct(*fields), "pos").alias("r"))
     return last.select("page_id", "report_id", "r.*")
 
 
+def report_elements(pages: DataFrame) -> DataFrame:
+    """Each page's blocks of a report, from one reading: title, ps and author of the user block, ems of the meta block,
+    right and ps of the report, photos of the gallery."""
+    nodes = F.col("nodes")
+    read = M.elements(pages.select("page_id", "html"), [".post_left", ".user", ".user-meta", ".post-right", ".report-gallery"],
+                      ["h2", "h3", "p", "em", "a"])
+    box = lambda of, within=None: M.first(M.having(nodes, of=of, within=within))
+    boxes = read.withColumns({"left": box("post_left"), "meta": box("user-meta"), "right": box("post-right"),
+                              "gallery": box("report-gallery")}).withColumn("user", box("user", F.col("left")))
+    inside = lambda tag, of: M.having(nodes, tag=tag, within=F.col(of))
+    return boxes.select("page_id", M.first(M.having(nodes, tag="h2", of="text-dark"))["text"].alias("title"),
+                        inside("p", "user").alias("user_ps"), M.first(inside("h3", "user"))["text"].alias("author"),
+                        F.transform(inside("em", "meta"), lambda n: n["text"]).alias("ems"),
+                        inside("p", "right").alias("ps"), F.size(inside("a", "gallery")).cast("long").alias("photo_count"))
+
+
 def parse_report_page(pages: DataFrame) -> DataFrame:
     """Detail pages of both shapes: with a field block and without."""
-    doc = F.col("html")
-    titled = pages.select("page_id", "html", F.regexp_extract(doc, r'(?is)<h2[^>]*text-dark[^>]*>(.*?)</h2>', 1).alias("h2"))
-    blocks = H.with_divs(titled, "html", {"user": "user", "meta": "user-meta", "right": "post-right",
-                                          "gallery": "report-gallery"}).drop("html")
-    blocks = blocks.withColumns({"ps": H.paragraphs(F.col("user")), "fields": H.kv_fields(F.col("right"), FIELD_LABELS)})
+    with_label = "|".join(FIELD_LABELS)
+    blocks = report_elements(pages)
+    labelled = F.filter("ps", lambda p: p["inner"].rlike(with_label))
+    told = F.filter("ps", lambda p: ~p["inner"].rlike(with_label) & (p["text"] != ""))
+    body = F.array_join(F.transform(told, lambda p: p["text"]), "\n\n")
+    blocks = blocks.withColumn("fields", H.kv_fields(F.array_join(F.transform(labelled, lambda p: p["inner"]), "<br>"), FIELD_LABELS))
+    numbers = F.filter("ems", lambda e: e.rlike(r"^\d+$"))
     field = lambda k: F.try_element_at("fields", F.lit(k))
+    user = lambda k: F.get("user_ps", F.lit(k))["text"]
     day, slot = H.parse_reservation(field("Reservation Date"))
     empty_to_null = lambda c: F.nullif(c, F.lit(""))
     return blocks.select(
-        "page_id", empty_to_null(H.node_text(F.col("h2"))).alias("title"),
-        H.parse_posted_date(H.node_text(F.get("ps", F.lit(0)))).alias("posted_date"),
-        empty_to_null(H.node_text(F.regexp_extract("user", r"(?is)<h3[^>]*>(.*?)</h3>", 1))).alias("author"),
-        H.node_text(F.get("ps", F.lit(1))).alias("author_rank"),
-        H.numeric_meta(F.col("meta"), 0).alias("member_since"), H.numeric_meta(F.col("meta"), 1).alias("post_count"),
+        "page_id", empty_to_null(F.col("title")).alias("title"), H.parse_posted_date(user(0)).alias("posted_date"),
+        empty_to_null(F.col("author")).alias("author"), user(1).alias("author_rank"),
+        F.get(numbers, F.lit(0)).try_cast("bigint").alias("member_since"), F.get(numbers, F.lit(1)).try_cast("bigint").alias("post_count"),
         field("Reservation Number").alias("reservation_number"), field("Property Name").alias("property_name"),
         day.alias("trip_date"), slot.alias("slot"), field("Total Fish/Sizes").alias("raw"), field("Lures Used").alias("label_raw"),
-        H.narrative_join(F.col("right"), FIELD_LABELS).alias("body"), H.link_count(F.col("gallery")).cast("long").alias("photo_count"),
+        empty_to_null(F.trim(F.regexp_replace(body, r"\s*Posted By:[^\n]*\z", ""))).alias("body"), "photo_count",
         F.when(field("Property Name").isNotNull(), "structured").otherwise("legacy").alias("era"))
 
 
@@ -103,20 +121,18 @@ REGION = (r"(?i)(Dallas\s*/\s*Fort Worth Area|Houston Area|Austin Area|San Anton
 def parse_unit_page(pages: DataFrame) -> DataFrame:
     """Attributes of a unit from its page; only the text before the first embedded
     report counts for size and depth."""
-    text = F.col("text")
-    rows = pages.withColumn("text", H.clean(H.unescape(F.regexp_replace(
-        F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]+>", " "))))
+    text, nodes = F.col("text"), F.col("nodes")
+    rows = M.elements(pages.select("slug", "html"), [], ["h1", "h2"], whole="text")
     rows = rows.where(text.contains("Property Info") | text.contains("Fishing Locations"))
     info = F.get(F.split(text, "Reservation Number", 2), F.lit(0))
     found = F.flatten(F.array(*[F.regexp_extract_all(info, F.lit(p), F.lit(1)) for p in DEPTHS]))
     depths = F.filter(F.transform(found, lambda x: x.try_cast("double")), lambda v: v.between(*DEPTH_RANGE))
     hit = lambda rx, i=1: F.nullif(H.clean(F.regexp_extract(text, rx, i)), F.lit(""))
     boat = hit(r"(?is)Boat Availability\s*(.*?)(?:Boat Launch|Tent Camping|Property Info|\.|$)")
-    heading = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")),
-                         F.regexp_extract("html", r"(?is)<h2[^>]*>(.*?)</h2>", 1))
+    heading = F.coalesce(M.first(M.having(nodes, tag="h1")), M.first(M.having(nodes, tag="h2")))["text"]
     bank = F.when(text.rlike("(?i)Bank fishing is available"), 1).when(text.rlike("(?i)Bank fishing is not available"), 0)
     return rows.select(
-        "slug", F.nullif(H.node_text(heading), F.lit("")).alias("name"),
+        "slug", F.nullif(heading, F.lit("")).alias("name"),
         F.regexp_extract(info, rf"(?i){_N}\s*(?:\+/-\s*)?acres?", 1).try_cast("double").alias("acres"),
         F.array_max(depths).alias("max_depth_ft"), hit(TIER).alias("membership_tier"), bank.alias("bank_fishing"),
         boat.alias("boat_type"), H.money_after(text, "Day Rate").alias("day_rate"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..operators import entities as N, pages as P
+from ..operators import entities as N, markup as M, pages as P
 from ..sources.tables import spread
 from . import testbed as T
 from .registry import query, r6
@@ -46,6 +46,55 @@ def missing_stub_filter(spark, sf):
     return kept.select("page_id", F.length("html").alias("n"))
 
 
+# --- the given pages, each read once -------------------------------------------------------
+_PLAIN = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
+_ENDS = "</?(?:p|article|footer|body|html|div|ul|nav|h1)(?:[ >])"
+
+
+def _text(e: str) -> str:
+    bare = f"regexp_replace({e}, '<[^>]+>', '', 'g')"
+    for name, char in (("&#x27;", "''"), ("&quot;", '"'), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&middot;", "·"), ("&copy;", "©")):
+        bare = f"replace({bare}, '{name}', '{char}')"
+    bare = f"regexp_replace({bare}, '&amp;?', '&', 'g')"          # this one also counts where the text was cut before ';'
+    return f"trim(regexp_replace({bare}, '[ \\t\\n\\x0b\\f\\r\\x{{a0}}]+', ' ', 'g'))"
+
+
+@query("page_paragraphs", f"""
+c AS (SELECT page_id, string_split_regex({_PLAIN}, '<p>')[2:] AS ps FROM pages),
+e AS (SELECT page_id, i + 1 AS pos, string_split_regex(ps[i + 1], '{_ENDS}')[1] AS inner_html FROM c, unnest(range(0, len(ps))) AS t(i))
+SELECT page_id, pos, {_text('inner_html')} AS text, inner_html LIKE '%<b>%' AS bold FROM e""")
+def page_paragraphs(spark, sf):
+    """Every paragraph, closed or not, with its text."""
+    read = M.elements(pages(spark, sf).select("page_id", "html"), [], ["p"])
+    return read.select("page_id", F.posexplode("nodes").alias("i", "n")).select(
+        "page_id", (F.col("i") + 1).cast("long").alias("pos"), "n.text", F.col("n.inner").contains("<b>").alias("bold"))
+
+
+@query("page_links", f"""
+l AS (SELECT page_id, regexp_extract_all(h, '<a href="([^"]*)"', 1) AS hrefs, regexp_extract_all(h, '(?s)<a [^>]*>(.*?)</a>', 1) AS texts FROM (SELECT page_id, {_PLAIN} AS h FROM pages))
+SELECT page_id, i + 1 AS pos, hrefs[i + 1] AS href, {_text('texts[i + 1]')} AS text FROM l, unnest(range(0, len(hrefs))) AS t(i)""")
+def page_links(spark, sf):
+    read = M.elements(pages(spark, sf).select("page_id", "html"), [], ["a"])
+    return read.select("page_id", F.posexplode("nodes").alias("i", "n")).select(
+        "page_id", (F.col("i") + 1).cast("long").alias("pos"), "n.href", "n.text")
+
+
+@query("page_outline", f"""
+h AS (SELECT page_id, html, {_PLAIN} AS h FROM pages)
+SELECT page_id, {_text("regexp_extract(h, '(?s)<title>(.*?)</title>', 1)")} AS title, {_text("regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+  {_text("regexp_extract(h, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad, {_text("regexp_extract(h, '(?s)<footer>(.*?)</footer>', 1)")} AS footer,
+  len(regexp_extract_all(regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1), '<a ')) AS nav_links, len(regexp_extract_all(regexp_extract(h, '(?s)<article>(.*?)</article>', 1), '<p>')) AS article_ps FROM h""")
+def page_outline(spark, sf):
+    """Title, heading, notice and footer, and what stands inside navigation and article."""
+    read = M.elements(pages(spark, sf).select("page_id", "html"), ["nav", "article"], ["title", "h1", ".ad", "footer", "a", "p"])
+    nodes = F.col("nodes")
+    text = lambda **of: F.coalesce(M.first(M.having(nodes, **of))["text"], F.lit(""))
+    boxes = read.withColumns({"nav": M.first(M.having(nodes, tag="nav")), "article": M.first(M.having(nodes, tag="article"))})
+    inside = lambda tag, box: F.size(M.having(nodes, tag=tag, within=F.col(box))).cast("long")
+    return boxes.select("page_id", text(tag="title").alias("title"), text(tag="h1").alias("heading"), text(of="ad").alias("ad"),
+                        text(tag="footer").alias("footer"), inside("a", "nav").alias("nav_links"), inside("p", "article").alias("article_ps"))
+
+
 # --- report pages rendered from orders ----------------------------------------------------
 EXPECTED = """exp AS (SELECT o_orderkey AS page_id, 'Day ' || o_orderkey || ' & more' AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS posted_date, 'AUTHOR ' || o_custkey AS author, 'Fry' AS author_rank,
   2000 + o_custkey % 20 AS member_since, o_custkey % 90 AS post_count, CASE WHEN s THEN CAST(o_orderkey AS VARCHAR) END AS reservation_number, CASE WHEN s THEN 'Unit : ' || (o_custkey % 25) || ' -' END AS property_name,

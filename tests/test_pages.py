@@ -50,9 +50,50 @@ def test_entities_of_any_length(spark):
     assert got == "A B \ufffd \ufffd \ufffd"
 
 
-def test_unclosed_div_takes_the_rest(spark):
-    df = H.with_divs(pages(spark, '<div class="a"><div>x</div>y', '<div class="b">', '<div class="z a">1</div>2'), "html", {"a": "a"})
-    assert [r["a"] for r in df.orderBy("page_id").collect()] == ["<div>x</div>y", None, "1"]
+def read(page, boxes=(), leaves=()):
+    from fieldledger.functions.markup import Reader
+    return Reader(list(boxes), list(leaves)).read(page)[0]
+
+
+def test_unclosed_elements():
+    inner = lambda page: [n[7] for n in read(page, leaves=[".a"])]
+    assert inner('<div class="a"><div>x</div>y') == ["<div>x</div>y"]
+    assert inner('<div class="b">') == [] and inner("<div class='z a'>1</div>2") == ["1"] and inner("<DIV CLASS=a>1</div>2") == ["1"]
+    texts = lambda page: [(n[0], n[6]) for n in read(page, leaves=["p", "b", "li"])]
+    assert texts("<p>one<p>two <b>bold<div>three</div></p>") == [("p", "one"), ("p", "two bold"), ("b", "bold")]
+    assert texts("</b></p><p><br>x</i> &amp; <img alt='a>b'>y&nbsp; z</p></p>") == [("p", "x & y z")]
+    assert texts("<!-- <p>no --><script>var a = '<p>';</script><p>yes<!-- x") == [("p", "yes")]
+    assert texts("<article><p>in</article>out") == [("p", "in")] and texts("") == [] and texts("a < b <3 <p") == []
+    assert texts('<p>a</p><p>b<a href="x>c</p>') == [("p", "a"), ("p", "b")]           # the quote never ends
+
+
+def test_numbers_tell_what_is_inside():
+    nodes = read('<ul class="u"><li><p>1<p>2</li></ul><p>3', boxes=[".u"], leaves=["p"])
+    assert [(n[0], n[2], n[3], n[4]) for n in nodes] == [("ul", 0, 0, 2), ("p", 2, 1, 1), ("p", 2, 2, 2), ("p", 0, 3, 3)]
+
+
+def test_large_and_hostile_pages(spark):
+    import time
+    million = "<p>" + "word &amp; <b>more</b> " * 45_000
+    deep, quotes = "<div class=a>" * 60_000 + "x", '<a href="' * 50_000
+    cards = '<div class="divTableRow"><div class="table-summary"><a href="/view_report/%d">T</a></div></div>'
+    listing = "".join(cards % k for k in range(12_000))
+    began = time.time()
+    assert len(read(million, leaves=["p"])[0][6]) == 45_000 * 12 - 1
+    nodes = read(deep, boxes=[".a"])
+    assert len(nodes) == 60_000 and max(n[2] for n in nodes) == 512
+    read(quotes, leaves=["a"])
+    read("</i>" * 100_000 + "<b>" * 100_000 + "</u>" * 100_000, leaves=["p"])
+    assert P.parse_listing_cards(pages(spark, listing)).count() == 12_000
+    assert time.time() - began < 60
+
+
+def test_null_and_empty_pages(spark):
+    from fieldledger.operators import markup as M
+    df = pages(spark, None, "", "<p>a</p>")
+    got = M.elements(df, [], ["p"], whole="text").orderBy("page_id").collect()
+    assert [(len(r["nodes"]), r["text"]) for r in got] == [(0, ""), (0, ""), (1, "a")]
+    assert M.records(df, "p", []).count() == 1 and M.elements(df.limit(0), [], ["p"]).count() == 0
 
 
 def test_last_card_wins_and_towns_split(spark):
