@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,25 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    for kept in _recording:
+        kept.append(out)
     return out
 
 
+_recording: list[list[DataFrame]] = []
+
+
+@contextmanager
+def settled_tables() -> Iterator[list[DataFrame]]:
+    """Lists the tables settled inside the block and not discarded there."""
+    kept: list[DataFrame] = []
+    _recording.append(kept)
+    try:
+        yield kept
+    finally:
+        _recording[:] = [k for k in _recording if k is not kept]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
@@ -64,6 +81,8 @@ def discard(*settled: DataFrame) -> None:
     """Deletes settled tables. Only what was settled from them afterwards may be used further."""
     for df in settled:
         _delete(df.sparkSession, df.settled_at)
+        for kept in _recording:
+            kept[:] = [k for k in kept if k is not df]
 
 
 def clear_shared(spark: SparkSession) -> None:
@@ -220,7 +239,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two steps that keep each node next to smaller ones: every node hands its smallest
     neighbour to its larger neighbours, then to its smaller ones. Ends when nothing changes; all that
     reaches the driver is a count and a sum for each round. A hub's list is never collected: the
-    smallest neighbour comes from a combined aggregation and goes back by a join.
+    smallest neighbour comes from a combined aggregation and goes back by a join. Tables of earlier
+    rounds are deleted. No links give no rows.
     """
     pairs = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .filter("u <> v").distinct())
@@ -232,7 +252,9 @@ def components(links: DataFrame) -> DataFrame:
         large = settle(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        before = pairs
         pairs = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(before, large)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(20,0)")),
                         F.sum(F.col("v").cast("decimal(20,0)"))).first()
         if now == state:

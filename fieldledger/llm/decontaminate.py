@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, blocks, byte_table, settle, span_hashes, text_key, window_hashes, words
+from .common import (LOWER, NOT_ALNUM, blocks, byte_table, discard, packed, settle, settled_tables, span_hashes,
+                     text_key, window_hashes, words)
 
 WIDTH = 13
 GRAM = 5
@@ -162,6 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: i
                     .groupBy("key").agg(F.collect_set("print").alias("prints")))
     found = settle(keyed.select("key", "text").join(marked, "key").dropDuplicates(["key"])
                    .mapInArrow(_extend(short, width, gram), "key binary, h1 long, h2 long, width long, place long"))
+    discard(known, marked)
     windows = bench.select("name", "width", F.explode(F.arrays_zip("h1", "h2")).alias("h")) \
         .select("name", "width", "h.h1", "h.h2").distinct()
     on = ["h1", "h2", "width"]
@@ -172,6 +174,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: i
     named = (found.select("key", *on).distinct().join(windows, on).groupBy("key")
              .agg(F.array_sort(F.collect_set("name")).alias("items")))
     hits = settle(covered.join(named, "key"))
+    discard(bench, found)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return (base.select("doc_id", "key", "n_words").join(hits, "key", "left")
             .select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
@@ -180,7 +183,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: i
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs whose text is not contaminated, with their columns unchanged."""
-    bad = (contamination(docs.select(F.col("text"), F.substring(text_key(F.col("text")), 1, 16).alias("doc_id")), items)
-           .filter("contaminated").select(F.col("doc_id").alias("_key")).distinct())
-    return docs.join(bad, F.substring(text_key(docs["text"]), 1, 16) == F.col("_key"), "left_anti")
+    """The rows of docs whose text is not contaminated, with their columns unchanged.
+
+    The keys of contaminated texts are settled first, so that Spark knows their size: where they are few, the rows
+    stay where they are. Null texts have no words and stay; an empty table gives an empty one."""
+    rows = packed(docs)
+    key = F.substring(text_key(F.col("text")), 1, 16)
+    with settled_tables() as used:
+        bad = settle(contamination(rows.select(key.alias("doc_id"), "text"), items)
+                     .filter("contaminated").select(F.col("doc_id").alias("key")).distinct())
+    discard(*(t for t in list(used) if t is not bad))
+    return rows.join(bad, key == F.col("key"), "left_anti").select("row.*")

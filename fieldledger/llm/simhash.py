@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, as_bytes, components, settle
+from .common import LOWER, as_bytes, components, discard, settle
 from .similar import SIMILARITY, WIDTH, similar_groups, sketched
 
 SEED = 42
@@ -119,11 +119,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of texts linked by a Jaccard similarity of `similarity` or more between their sets of
     `width`-word shingles, with the columns of docs: that of the smallest doc_id (nulls last), of equal ids that of
-    the smallest text. Texts without words are one group. The rest of a group is cut to one row within each task
-    before rows move."""
+    the smallest text hash. Texts without words are one group. Groups are settled on numbers; whole rows meet only the
+    list of rows to drop. An empty table gives an empty one."""
     rows = sketched(docs, width)
-    label = similar_groups(rows, width, similarity)
-    first = Window.partitionBy("label").orderBy(F.col("row.doc_id").cast("long").asc_nulls_last(),
-                                                F.xxhash64("row.text"), "row.text")
-    return (rows.select("row", "id").join(label, "id").withColumn("rank", F.row_number().over(first)).filter("rank = 1")
-            .select("row.*"))
+    labels = similar_groups(rows, width, similarity)
+    doc = F.col("row.doc_id").cast("long")
+    order = F.struct(doc.isNull().alias("none"), doc.alias("doc"), F.xxhash64("row.text").alias("text"), "uid")
+    first = (rows.select("uid", order.alias("o")).join(labels, "uid").groupBy("label").agg(F.min("o").alias("o"))
+             .select(F.col("o.uid").alias("uid")))
+    gone = settle(labels.select("uid").join(first, "uid", "left_anti"))
+    discard(labels)
+    return rows.join(gone, "uid", "left_anti").select("row.*")
