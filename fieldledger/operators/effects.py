@@ -16,7 +16,6 @@ from ..functions.stats import effect_interval, support_case
 
 ID_BLOCK = 4096
 MIN_STRATUM = 4
-STRATA_CAP = 5
 STABLE_FRACTION = 2 / 3
 MIN_STABLE_YEARS = 3
 YEAR_MIN_SCORED, YEAR_MIN_USING = 25, 8
@@ -32,11 +31,12 @@ def label_sets(labels: DataFrame, level: str = "category", out: str = "things")
 
 
 def strata_label_count(obs: DataFrame, labels: DataFrame, level: str = "category",
-                       cap: int = STRATA_CAP) -> DataFrame:
-    """Adds ``things`` (the labels) and ``stratum`` (their number, capped)."""
+                       cap: int | None = None) -> DataFrame:
+    """Adds ``things`` (the labels) and ``stratum``, their number. With a cap the observations of that many labels or
+    more share one stratum: a coarser match, for archives too small to fill the higher strata."""
     joined = obs.join(label_sets(labels, level), "obs_id", "left")
-    return joined.withColumn("stratum", F.least(
-        F.coalesce(F.array_size("things"), F.lit(0)), F.lit(cap)).cast("long"))
+    number = F.coalesce(F.array_size("things"), F.lit(0))
+    return joined.withColumn("stratum", (number if cap is None else F.least(number, F.lit(cap))).cast("long"))
 
 
 def with_tags(obs: DataFrame, tags: DataFrame, kind: str = "technique") -> DataFrame:

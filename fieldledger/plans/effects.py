@@ -165,7 +165,7 @@ def effect_base_sql(source: str = "scored", things: str = "labs", column: str =
     """CTE ``flagged``: every scored observation crossed with the vocabulary, with
     a flag for use. Deliberately the naive statement of the comparison."""
     return f"""
-{prefix}strata AS (SELECT obs_id, least(count(DISTINCT category), 5) AS stratum FROM labs GROUP BY obs_id),
+{prefix}strata AS (SELECT obs_id, count(DISTINCT category) AS stratum FROM labs GROUP BY obs_id),
 {prefix}things AS (SELECT DISTINCT obs_id, {column} AS label FROM {things} WHERE {where}),
 {prefix}vocab AS (SELECT DISTINCT label FROM {prefix}things),
 {prefix}flagged AS (
@@ -240,7 +240,7 @@ def settled_label_moments(spark, sf, keys):
 
 
 @query("strata_label_count", """
-strata AS (SELECT obs_id, least(count(DISTINCT category), 5) AS n FROM labs GROUP BY obs_id)
+strata AS (SELECT obs_id, count(DISTINCT category) AS n FROM labs GROUP BY obs_id)
 SELECT obs.obs_id, coalesce(n, 0) AS stratum FROM obs LEFT JOIN strata USING (obs_id)""")
 def strata_label_count(spark, sf):
     return E.strata_label_count(T.observations(spark, sf), T.labels(spark, sf)).select("obs_id", "stratum")
@@ -405,13 +405,12 @@ def unit_tag_support_summary(spark, sf):
 
 
 @query("club_tag_panel", f"""{TAG_SQL}
-SELECT label, trips, {r6('diff', 'diff')}, support FROM tag_eff WHERE support <> 'thin'
-ORDER BY CASE support WHEN 'backed' THEN 0 WHEN 'suggestive' THEN 1 WHEN 'unproven' THEN 2 WHEN 'unstable' THEN 3 WHEN 'thin' THEN 4 ELSE 5 END,
-  diff DESC, label LIMIT 14""")
-def club_tag_panel(spark, sf):
-    rows = tag_rows(spark, sf).where(F.col("support") != "thin")
-    return rows.orderBy(E.support_rank(E.TAG_SUPPORT_ORDER), F.desc("diff"), "label").limit(14).select(
-        "label", "trips", "diff", "support")
+SELECT label, trips, {r6('diff', 'diff')}, support FROM tag_eff WHERE support <> 'thin'""")
+def club_tag_panel(spark, sf, top: int | None = None):
+    """The whole panel, or its first rows."""
+    rows = tag_rows(spark, sf).where(F.col("support") != "thin").orderBy(
+        E.support_rank(E.TAG_SUPPORT_ORDER), F.desc("diff"), "label").select("label", "trips", "diff", "support")
+    return rows if top is None else rows.limit(top)
 
 
 # --- size bands -----------------------------------------------------------------

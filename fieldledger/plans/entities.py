@@ -9,6 +9,7 @@ from ..operators import entities as N, geo as G, ingest as I
 from . import testbed as T
 from .registry import query, r6
 from .series import points
+from .text import snippets_sql
 from .testbed_sql import SEASON_SQL
 from .units import cols
 
@@ -380,15 +381,17 @@ def geo_pending(spark, sf):
 
 
 @query("geo_context", f"""{RANKED}, sp AS (SELECT 'U' || o_custkey AS unit, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders GROUP BY 1),
-ch AS (SELECT unit, string_agg(cand, ',' ORDER BY rank) AS choices, max(basis) AS basis FROM rk WHERE rank <= 5 GROUP BY unit)
-SELECT gu.unit, gu.town, reports, CAST(a AS VARCHAR) AS first, CAST(b AS VARCHAR) AS last, choices, basis FROM gu LEFT JOIN sp USING (unit) LEFT JOIN ch USING (unit) WHERE geo_uncertain""")
+ch AS (SELECT unit, string_agg(cand, ',' ORDER BY rank) AS choices, max(basis) AS basis FROM rk WHERE rank <= 5 GROUP BY unit),
+nt AS (SELECT unit, string_agg(sentence, ' / ' ORDER BY rank) AS notes FROM (WITH {snippets_sql("'U' || o_custkey")}) GROUP BY unit)
+SELECT gu.unit, gu.town, reports, CAST(a AS VARCHAR) AS first, CAST(b AS VARCHAR) AS last, choices, basis, notes FROM gu LEFT JOIN sp USING (unit) LEFT JOIN ch USING (unit) LEFT JOIN nt USING (unit) WHERE geo_uncertain""")
 def geo_context(spark, sf):
     from ..operators.rules import snippets
     from .text import reports
     obs = T.table(spark, sf, "orders").select(F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("unit"), F.to_date("o_orderdate").alias("obs_date"))
     notes = snippets(reports(spark, sf).withColumn("unit", F.concat(F.lit("U"), F.col("o_custkey").cast("string"))))
     out = G.geo_context(G.geo_pending(geo_units(spark, sf)), obs, ranked(spark, sf), notes)
-    return out.select("unit", "town", "reports", "first", "last", F.array_join(F.transform("choices", lambda c: c["cand"]), ",").alias("choices"), "basis")
+    return out.select("unit", "town", "reports", "first", "last", F.array_join(F.transform("choices", lambda c: c["cand"]), ",").alias("choices"), "basis",
+                      F.array_join(F.transform("notes", lambda n: n["sentence"]), " / ").alias("notes"))
 
 
 @query("sibling_propagate", f"""{VERIFY},
