@@ -10,11 +10,10 @@ a large share of the rows is pre-aggregated before the shuffle.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.stats import effect_interval, support_case
 
-ID_BLOCK = 4096
 MIN_STRATUM = 4
 STABLE_FRACTION = 2 / 3
 MIN_STABLE_YEARS = 3
@@ -198,25 +197,18 @@ def support_rank(order: list[str], column: str = "support"):
 def half_split(df: DataFrame, keys: list[str], day: str = "obs_date", tie: str = "obs_id") -> DataFrame:
     """Adds ``half``: 'early' for the first floor(n/2) rows by (day, tie), else 'late'.
 
-    Rows are first counted per group and day, so the running position is a window
-    over days, not rows; only the rows of a single day are ranked among
-    themselves. A group of any size is therefore spread over its days. Rows without
-    a date come last; they may be many, so numeric ids split them into blocks of ids.
+    Positions are counted over ranges of (group, day, id), so a group of any size, a day with very many rows, or very
+    many rows without a date, which come last, is spread over several ranges.
     """
-    numeric = isinstance(df.schema[tie].dataType, T.NumericType)
-    block = F.floor(F.col(tie) / ID_BLOCK).cast("bigint") if numeric else F.lit(0).cast("bigint")
-    dated = df.withColumns({"_day": F.coalesce(F.col(day), F.lit("9999-12-31").cast("date")),
-                            "_block": F.when(F.col(day).isNull(), block).otherwise(0)})
-    place = ["_day", "_block"]
-    daily = dated.groupBy(*keys, *place).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    placed = daily.withColumns({
-        "_before": F.sum("_n").over(w.orderBy(*place)) - F.col("_n"),
-        "_mid": F.floor(F.sum("_n").over(w) / 2)}).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*keys, *place).orderBy(tie))
-    return (dated.join(placed, [*keys, *place])
-            .withColumn("half", F.when(F.col("_before") + rank <= F.col("_mid"), "early").otherwise("late"))
-            .drop("_before", "_mid", *place))
+    from .ranking import row_number_by
+    placed = row_number_by(df, keys, [F.col(day).asc_nulls_last(), F.col(tie)], "_place")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    half = F.when(F.col("_place") <= F.floor(F.col("_n") / 2), "early").otherwise("late")
+    return placed.join(sizes, same).withColumn("half", half).select(*df.columns, "half")
 
 
 def half_effects(m: DataFrame, keys: list[str], min_rows: int, min_using: int,

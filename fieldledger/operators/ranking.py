@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.tables import settle
+
 
 def topk_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
                    rank: str | None = None) -> DataFrame:
@@ -25,15 +27,27 @@ def category_rank(column: str, order: list[str]) -> Column:
     return out
 
 
-def row_number_by(df: DataFrame, keys: list[str], coarse: list[str], order: list, out: str) -> DataFrame:
-    """row_number within ``keys`` for groups of any size.
+def sum_before(df: DataFrame, keys: list[str], order: list[Column], amount: Column, out: str) -> DataFrame:
+    """Adds the sum of `amount` over the earlier rows of the same keys (0 for the first), for groups of any size.
 
-    ``coarse`` are the leading order columns. Rows are counted per (keys, coarse),
-    the counts are accumulated, and only rows sharing the coarse values are ranked
-    among themselves, so a large group is spread over its coarse values.
+    Rows are dealt by ranges of (keys, order), so a group, or a value that very many rows share, is spread over as many
+    ranges as it needs, as long as `order` ends in something that tells its rows apart. Each range is summed by itself
+    and offset by the ranges before, of which there are as many as partitions. Null keys form a group.
     """
-    sizes = df.groupBy(*keys, *coarse).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(*coarse)
-    before = sizes.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*keys, *coarse).orderBy(*order))
-    return df.join(before, [*keys, *coarse]).withColumn(out, F.col("_before") + rank).drop("_before")
+    ranges = settle(df.repartitionByRange(*map(F.col, keys), *order).withColumn("_range", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    sizes = ranges.groupBy(*keys, "_range").agg(F.sum(amount).alias("_own")).select(*named, F.col("_range").alias("_of"), "_own")
+    groups = Window.partitionBy(*[f"_key{i}" for i in range(len(keys))]) if keys else Window.partitionBy(F.lit(0))
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_own").over(earlier(groups.orderBy("_of"))), F.lit(0))).drop("_own")
+    within = F.coalesce(F.sum(amount).over(earlier(Window.partitionBy("_range", *keys).orderBy(*order))), F.lit(0))
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    summed = ranges.withColumn("_within", within).join(offsets, same)
+    return summed.withColumn(out, F.col("_offset") + F.col("_within")).select(*df.columns, out)
+
+
+def row_number_by(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """row_number within ``keys`` for groups of any size; see `sum_before`."""
+    return sum_before(df, keys, order, F.lit(1), out).withColumn(out, F.col(out) + 1)
