@@ -7,6 +7,7 @@ from ..functions.directions import gazetteer
 from ..functions.geo import EARTH_MILES, angle_gap, bearing_deg, compass16, haversine_miles, miles_from_home, HOME_LAT, HOME_LON
 from .entities import slugify
 from .ingest import norm_title
+from ..sources.tables import settle
 from .ranking import topk_per_group
 
 DISTANCE_TOLERANCE, MIN_TOLERANCE, TIME_TOLERANCE, BEARING_TOLERANCE = 0.45, 22.0, 0.55, 70.0
@@ -16,7 +17,7 @@ REGION_CENTRES = {"Dallas / Fort Worth Area": (32.78, -96.80), "Houston Area": (
                   "San Antonio Area": (29.42, -98.49), "Oklahoma Area": (35.47, -97.52), "East Texas": (32.35, -95.30),
                   "West Texas": (32.45, -99.73)}
 REGION_WORDS = r"\s+(?:Dallas|Houston|Austin|San Antonio|Oklahoma|East|West)\b"
-ANCHOR_CELL = 1.0
+ANCHOR_CELL = 1 / 64          # degrees, about a mile
 
 
 def geo_score(points: DataFrame, claims: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
@@ -100,32 +101,46 @@ def settled_anchors(units: DataFrame) -> DataFrame:
     return units.where(F.col("lat").isNotNull() & ~F.col("geo_uncertain")).select("unit", "lat", "lon")
 
 
-def nearest_anchor(points: DataFrame, anchors: DataFrame, keys: list[str], step: float = ANCHOR_CELL) -> DataFrame:
+def nearest_anchor(points: DataFrame, anchors: DataFrame, keys: list[str], finest: float = ANCHOR_CELL,
+                   levels: int = 4, fan: int = 8) -> DataFrame:
     """Exact distance of each point to its nearest anchor, without pairing all of them.
 
-    Anchors are reduced to distinct positions and gridded. The list of occupied
-    cells, at most one entry per cell of the region's grid, gives every point an
-    upper bound (distance to one anchor of each cell); only cells whose closest edge
-    is within that bound are then joined, by cell.
+    Distinct anchor positions lie in a pyramid of cells, each level `fan` times as wide as the one below; a cell that
+    holds an anchor names one of them. A point starts with the occupied cells of the top level and goes down level by
+    level, by equality of cells: the named anchors bound its distance from above, and a cell whose nearest edge is
+    beyond the bound is left out with all that lies below it. Only what is left at the finest level is compared with
+    every anchor of the cell. Longitudes do not wrap. Points without a position and an empty set of anchors give no row.
     """
-    cell = lambda c: F.floor(F.col(c) / step)
-    spots = anchors.select("lat", "lon").dropDuplicates().select(
-        cell("lat").alias("ca"), cell("lon").alias("co"), F.col("lat").alias("alat"), F.col("lon").alias("alon"))
-    occupied = spots.groupBy("ca", "co").agg(F.min(F.struct("alat", "alon")).alias("rep")).agg(
-        F.collect_list(F.struct("ca", "co", "rep"))).scalar()
+    floor_of = lambda c, k: F.floor(F.col(c) / (finest * fan ** k)).cast("long")
+    spots = settle(anchors.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        F.col("lat").alias("alat"), F.col("lon").alias("alon")).dropDuplicates())           # read by every level
     lat, lon = F.col("lat"), F.col("lon")
 
-    def at_least(c: Column) -> Column:
-        """Lower bound of the distance to anything inside a cell."""
-        north = F.greatest(c["ca"] * step - lat, lat - (c["ca"] + 1) * step, F.lit(0.0))
-        east = F.greatest(c["co"] * step - lon, lon - (c["co"] + 1) * step, F.lit(0.0))
-        return EARTH_MILES * F.greatest(F.radians(north), F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(east))))
-
-    bounded = points.select(*keys, "lat", "lon", occupied.alias("cells")).withColumn("bound", F.array_min(F.transform(
-        "cells", lambda c: haversine_miles(lat, lon, c["rep"]["alat"], c["rep"]["alon"]))))
-    close = bounded.select(*keys, "lat", "lon", F.explode(F.filter(
-        "cells", lambda c: at_least(c) <= F.col("bound") + 1e-6)).alias("c"))
-    near = close.select(*keys, "lat", "lon", "c.ca", "c.co").join(spots, ["ca", "co"])
+    def cells(k: int, a: str = "ca", o: str = "co") -> DataFrame:
+        """Occupied cells of a level, with an anchor in each and the cell above."""
+        return (spots.groupBy(floor_of("alat", k).alias(a), floor_of("alon", k).alias(o))
+                .agg(F.min(F.struct("alat", "alon")).alias("rep"))
+                .withColumns({"pa": F.floor(F.col(a) / fan).cast("long"), "po": F.floor(F.col(o) / fan).cast("long")}))
+
+    def at_least(k: int) -> Column:
+        """Lower bound of the distance to anything inside the cell."""
+        size = finest * fan ** k
+        north = F.greatest(F.col("ca") * size - lat, lat - (F.col("ca") + 1) * size, F.lit(0.0))
+        east = F.greatest(F.col("co") * size - lon, lon - (F.col("co") + 1) * size, F.lit(0.0))
+        return EARTH_MILES * F.greatest(F.radians(north), F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(east, F.lit(90.0))))))
+
+    top = finest * fan ** levels
+    around = lambda reach: F.explode(F.sequence(F.lit(int(-reach // top)), F.lit(int(reach // top))))
+    front = (points.where(lat.isNotNull() & lon.isNotNull()).select(*keys, "lat", "lon", around(90).alias("pa"))
+             .select("*", around(180).alias("po")).withColumn("bound", F.lit(float("inf"))))
+    point = Window.partitionBy(*keys, "lat", "lon")
+    for k in range(levels - 1, -1, -1):
+        met = front.join(cells(k), ["pa", "po"]).drop("pa", "po")
+        here = haversine_miles(lat, lon, F.col("rep.alat"), F.col("rep.alon"))
+        met = met.withColumn("bound", F.least("bound", F.min(here).over(point))).where(at_least(k) <= F.col("bound") + 1e-6)
+        front = met.select(*keys, "lat", "lon", "bound", F.col("ca").alias("pa"), F.col("co").alias("po"))
+    last = spots.select(floor_of("alat", 0).alias("pa"), floor_of("alon", 0).alias("po"), "alat", "alon")
+    near = front.join(last, ["pa", "po"])
     return near.groupBy(*keys).agg(F.min(haversine_miles(lat, lon, F.col("alat"), F.col("alon"))).alias("near"))
 
 

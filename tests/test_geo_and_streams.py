@@ -127,3 +127,25 @@ def test_stream_dedupe(spark, files):
     twice = stream(spark, files).withColumn("c", F.explode(F.array(F.lit(1), F.lit(2)))).drop("c")
     got = I.stream_dedupe(twice, "ts", ["event_id"], I.workspace(spark, "t"))
     assert got.count() == 120 and got.select("event_id").distinct().count() == 120
+
+
+def test_nearest_anchor_over_the_pyramid(spark):
+    """Against every pair: far points, points on an anchor, a dense cell, repeats and missing positions."""
+    import random
+    from math import asin, cos, radians, sin, sqrt
+    from fieldledger.functions.geo import EARTH_MILES
+    from fieldledger.operators import geo as G
+    rng = random.Random(3)
+    anchors = [(rng.uniform(25, 37), rng.uniform(-103, -93)) for _ in range(60)] + [(31.0, -97.0)] * 5
+    anchors += [(32.5 + rng.random() / 200, -96.5 + rng.random() / 200) for _ in range(300)] + [(-33.0, 151.0)]
+    points = [(i, rng.uniform(24, 38), rng.uniform(-104, -92)) for i in range(80)]
+    points += [(900, 31.0, -97.0), (901, -40.0, 170.0), (902, 89.0, 10.0), (903, 32.5025, -96.4975), (904, 0.0, 0.0)]
+    df = spark.createDataFrame([*points, (905, None, 1.0)], "id int, lat double, lon double")
+    at = spark.createDataFrame([*anchors, (None, None)], "lat double, lon double")
+
+    def miles(a, b, c, d):
+        h = sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2
+        return 2 * EARTH_MILES * asin(min(1, sqrt(h)))
+    got = {r["id"]: r["near"] for r in G.nearest_anchor(df, at, ["id"]).collect()}
+    assert got == {i: pytest.approx(min(miles(a, b, *x) for x in anchors), abs=1e-6) for i, a, b in points}
+    assert G.nearest_anchor(df, at.limit(0), ["id"]).count() == 0
