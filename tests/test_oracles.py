@@ -36,3 +36,13 @@ def test_entry(spark):
         pytest.skip("no test tables here")
     df = entry.entry(spark)
     assert "lift_lb" in df.columns and df.count() > 0
+
+
+def test_an_absent_dependency_takes_only_the_optional_part():
+    """The entry is imported anew in a process that cannot import one of the optional part's libraries."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['xxhash'] = None; sys.modules['sentencepiece'] = None\n"
+            "import __spark_entry__ as e; names = e.queries()\n"
+            "assert 'label_lift' in names and not any(n.startswith('op1_') for n in names) and set(e.oracle_sql()) <= set(names)")
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__)).returncode == 0
