@@ -115,6 +115,7 @@ TECHNIQUE = [
 
 # --- location snippets --------------------------------------------------------------
 SENTENCE = r"[^.!?]*[.!?]"
+SENTENCE_END = r"(?<=[.!?])"
 USEFUL = (r"\b(?:drive|drove|driving)\s+(?:up\s+|down\s+|over\s+|out\s+)?(?:from|to|past|through)\s+[A-Z]"
           r"|\b(?:north|south|east|west)\s+of\s+[A-Z]|\b(?:highway|hwy|fm|us|i-)\s*\d+|\b[A-Z][a-z]+\s+County\b")
 NOISE = r"(?i)\b(?:four|4)\s*wheel\s*drive\b|\bfished?\s+\d+\s*(?:hour|hr)"

@@ -74,10 +74,12 @@ def coverage_stats(trips: DataFrame, extracted: DataFrame) -> DataFrame:
 def snippets(reports: DataFrame, unit: str = "unit", k: int = 4, useful: str | None = None,
              noise: str | None = None, min_chars: int = 30) -> DataFrame:
     """First distinct sentences per unit that hint at a place. Repeated sentences are
-    folded before ranking, so a much-copied sentence costs one row."""
+    folded before ranking, so a much-copied sentence costs one row. Texts are cut after
+    each end of a sentence, in one pass however long they are; a rest without one goes."""
     from ..functions import vocabulary as V
     from .ranking import topk_per_group
-    sentences = F.transform(X.every(F.col("body"), V.SENTENCE), X.collapse_ws)
+    whole = F.filter(F.split(F.col("body"), V.SENTENCE_END, -1), lambda s: s.rlike("[.!?]$"))
+    sentences = F.transform(whole, X.collapse_ws)
     rows = reports.where(F.col("body").isNotNull()).select(
         F.col(unit).alias("unit"), "obs_id", F.posexplode(sentences).alias("pos", "sentence"))
     s = F.col("sentence")

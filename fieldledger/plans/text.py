@@ -50,6 +50,25 @@ def reports(spark, sf):
     return src.select("obs_id", "o_custkey", raw.alias("raw"), body.alias("body"))
 
 
+# --- the given documents, whole: every text is both the total as written and the body ---------
+WRITTEN = "reports AS (SELECT doc_id AS obs_id, source, text AS raw, text AS body FROM documents)"
+
+
+def written(spark, sf):
+    return spread(T.table(spark, sf, "documents")).select(
+        F.col("doc_id").alias("obs_id"), "source", F.col("text").alias("raw"), F.col("text").alias("body"))
+
+
+def rule(name: str, sql: str):
+    """Registers a rule over reports twice: on the reports of the orders, and as ``name_documents`` on
+    the whole texts of the documents, with the same SQL over either table."""
+    def register(fn):
+        query(name, sql)(lambda spark, sf: fn(reports(spark, sf)))
+        query(f"{name}_documents", sql.replace(REPORTS, WRITTEN))(lambda spark, sf: fn(written(spark, sf)))
+        return fn
+    return register
+
+
 def q(pattern: str) -> str:
     """A pattern as a SQL literal."""
     return "'" + pattern.replace("'", "''") + "'"
@@ -70,22 +89,22 @@ num AS (SELECT obs_id, list_filter(list_transform(regexp_extract_all(regexp_repl
 tot AS (SELECT r.*, CAST(coalesce(first, (SELECT sum(n) FROM sp WHERE sp.obs_id = r.obs_id)) AS BIGINT) AS total FROM reports r JOIN num USING (obs_id))"""
 
 
-@query("count_total", f"{TOTALS} SELECT obs_id, raw, total FROM tot")
-def count_total(spark, sf):
-    return rules.totals(reports(spark, sf)).select("obs_id", "raw", "total")
+@rule("count_total", f"{TOTALS} SELECT obs_id, raw, total FROM tot")
+def count_total(given):
+    return rules.totals(given).select("obs_id", "raw", "total")
 
 
-@query("species_split", f"{TOTALS} SELECT obs_id, species, n FROM sp")
-def species_split(spark, sf):
-    return reports(spark, sf).select("obs_id", F.explode(X.species_pairs(F.col("raw"))).alias("s")).select("obs_id", "s.*")
+@rule("species_split", f"{TOTALS} SELECT obs_id, species, n FROM sp")
+def species_split(given):
+    return given.select("obs_id", F.explode(X.species_pairs(F.col("raw"))).alias("s")).select("obs_id", "s.*")
 
 
-@query("vague_flag", f"{TOTALS} SELECT obs_id, total IS NULL AND regexp_matches(raw, {q(V.VAGUE)}) AS vague FROM tot")
-def vague_flag(spark, sf):
-    return rules.totals(reports(spark, sf)).select("obs_id", "vague")
+@rule("vague_flag", f"{TOTALS} SELECT obs_id, total IS NULL AND regexp_matches(raw, {q(V.VAGUE)}) AS vague FROM tot")
+def vague_flag(given):
+    return rules.totals(given).select("obs_id", "vague")
 
 
-@query("max_weight", f"""{REPORTS},
+@rule("max_weight", f"""{REPORTS},
 m AS (SELECT obs_id, regexp_split_to_array(trim(raw), {q(V.WEIGHT)}) AS p, regexp_extract_all(trim(raw), {q(V.WEIGHT)}, 0) AS h, regexp_extract_all(trim(raw), {q(V.WEIGHT)}, 1) AS g FROM reports),
 e AS (SELECT obs_id, i, g[i] AS tok,
   right(array_to_string(list_transform(range(1, i), lambda j: p[j] || h[j]), '') || p[i], 16) AS lead,
@@ -94,19 +113,19 @@ e AS (SELECT obs_id, i, g[i] AS tok,
 w AS (SELECT obs_id, max(v) AS max_weight FROM (SELECT *, {dec('tok')} AS v FROM e) WHERE v BETWEEN 0.1 AND 18.0
   AND (regexp_matches(lead, {q(V.SINGLE)}) OR NOT (regexp_matches(lead, {q(V.BAG)}) OR regexp_matches(trail, {q(V.BAG)}))) GROUP BY obs_id)
 SELECT obs_id, {r6('max_weight')} AS max_weight FROM reports LEFT JOIN w USING (obs_id)""")
-def max_weight(spark, sf):
-    return reports(spark, sf).select("obs_id", X.max_weight(F.col("raw")).alias("max_weight"))
+def max_weight(given):
+    return given.select("obs_id", X.max_weight(F.col("raw")).alias("max_weight"))
 
 
-@query("max_length", f"""{REPORTS} SELECT obs_id, {r6(f"list_max(list_filter(list_transform(regexp_extract_all(trim(raw), {q(V.LENGTH)}, 1) , lambda x: {dec('x')}), lambda v: v BETWEEN 4 AND 40))")} AS max_length FROM reports""")
-def max_length(spark, sf):
-    return reports(spark, sf).select("obs_id", X.max_length(F.col("raw")).alias("max_length"))
+@rule("max_length", f"""{REPORTS} SELECT obs_id, {r6(f"list_max(list_filter(list_transform(regexp_extract_all(trim(raw), {q(V.LENGTH)}, 1) , lambda x: {dec('x')}), lambda v: v BETWEEN 4 AND 40))")} AS max_length FROM reports""")
+def max_length(given):
+    return given.select("obs_id", X.max_length(F.col("raw")).alias("max_length"))
 
 
-@query("parse_decimal", f"""{REPORTS} SELECT obs_id, i, {r6(dec('tok'))} AS value FROM (SELECT obs_id, unnest(l) AS tok, unnest(range(0, len(l))) AS i FROM (
+@rule("parse_decimal", f"""{REPORTS} SELECT obs_id, i, {r6(dec('tok'))} AS value FROM (SELECT obs_id, unnest(l) AS tok, unnest(range(0, len(l))) AS i FROM (
   SELECT obs_id, regexp_extract_all(raw, {q(V.NUMBER)}) AS l FROM reports))""")
-def parse_decimal(spark, sf):
-    return reports(spark, sf).select("obs_id", F.posexplode(X.every(F.col("raw"), V.NUMBER)).alias("i", "tok")).select(
+def parse_decimal(given):
+    return given.select("obs_id", F.posexplode(X.every(F.col("raw"), V.NUMBER)).alias("i", "tok")).select(
         "obs_id", "i", X.parse_decimal(F.col("tok")).alias("value"))
 
 
@@ -114,21 +133,21 @@ def first_mention(column: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({column}, {q(p)}, 'i') THEN '{n}'" for n, p in V.SPECIES) + " END"
 
 
-@query("species_mentions", f"""{REPORTS},
+@rule("species_mentions", f"""{REPORTS},
 h AS (SELECT obs_id, name, min(i) AS i FROM (SELECT obs_id, unnest([{", ".join(f"CASE WHEN regexp_matches(body, {q(p)}, 'i') THEN '{n}' END" for n, p in V.SPECIES)}]) AS name,
    unnest(range(0, {len(V.SPECIES)})) AS i FROM reports) WHERE name IS NOT NULL GROUP BY obs_id, name)
 SELECT obs_id, string_agg(name, ',' ORDER BY i) AS names FROM h GROUP BY obs_id""")
-def species_mentions(spark, sf):
+def species_mentions(given):
     names = X.species_mentions(F.col("body"))
-    return reports(spark, sf).where(F.size(names) > 0).select("obs_id", F.array_join(names, ",").alias("names"))
+    return given.where(F.size(names) > 0).select("obs_id", F.array_join(names, ",").alias("names"))
 
 
-@query("catch_rows", f"""{TOTALS}
+@rule("catch_rows", f"""{TOTALS}
 SELECT obs_id, species, n FROM sp UNION ALL
 SELECT obs_id, coalesce({first_mention('raw')}, {first_mention('body')}, 'unspecified') AS species, total AS n FROM tot
 WHERE total IS NOT NULL AND obs_id NOT IN (SELECT obs_id FROM sp)""")
-def catch_rows(spark, sf):
-    return rules.catch_rows(rules.totals(reports(spark, sf))).select("obs_id", "species", "n")
+def catch_rows(given):
+    return rules.catch_rows(rules.totals(given)).select("obs_id", "species", "n")
 
 
 # --- features ---------------------------------------------------------------------------
@@ -152,19 +171,19 @@ BITE_CASE = "CASE " + " ".join(
     f"{q(p.replace('(?!' + chr(92) + 's*-)', ''))}) THEN '{n}'" for n, p in V.BITE_WINDOW) + " END"
 
 
-@query("clarity_ft", f"{REPORTS}, f AS (SELECT obs_id, {feet_sql(0)}, {feet_sql(1)} FROM reports) SELECT obs_id, {r6(CLARITY)} AS clarity_ft FROM f")
-def clarity_ft(spark, sf):
-    return reports(spark, sf).select("obs_id", X.clarity_ft(F.col("body")).alias("clarity_ft"))
+@rule("clarity_ft", f"{REPORTS}, f AS (SELECT obs_id, {feet_sql(0)}, {feet_sql(1)} FROM reports) SELECT obs_id, {r6(CLARITY)} AS clarity_ft FROM f")
+def clarity_ft(given):
+    return given.select("obs_id", X.clarity_ft(F.col("body")).alias("clarity_ft"))
 
 
-@query("clarity_label", f"{REPORTS} SELECT obs_id, {LABEL_CASE} AS clarity_label FROM reports")
-def clarity_label(spark, sf):
-    return reports(spark, sf).select("obs_id", X.clarity_label(F.col("body")).alias("clarity_label"))
+@rule("clarity_label", f"{REPORTS} SELECT obs_id, {LABEL_CASE} AS clarity_label FROM reports")
+def clarity_label(given):
+    return given.select("obs_id", X.clarity_label(F.col("body")).alias("clarity_label"))
 
 
-@query("water_temp", f"{REPORTS} SELECT obs_id, {r6(TEMP)} AS water_temp_f FROM reports")
-def water_temp(spark, sf):
-    return reports(spark, sf).select("obs_id", X.water_temp(F.col("body")).alias("water_temp_f"))
+@rule("water_temp", f"{REPORTS} SELECT obs_id, {r6(TEMP)} AS water_temp_f FROM reports")
+def water_temp(given):
+    return given.select("obs_id", X.water_temp(F.col("body")).alias("water_temp_f"))
 
 
 DEPTHS = f"""dp AS (SELECT obs_id, a, coalesce(b, a) AS b FROM (SELECT obs_id, TRY_CAST(unnest(regexp_extract_all(body, {q(V.DEPTH)}, 1)) AS DOUBLE) AS a,
@@ -172,28 +191,28 @@ DEPTHS = f"""dp AS (SELECT obs_id, a, coalesce(b, a) AS b FROM (SELECT obs_id, T
 dr AS (SELECT obs_id, min(least(a, b)) AS lo, max(greatest(a, b)) AS hi FROM dp WHERE a > 0 AND a <= 60 AND b > 0 AND b <= 60 GROUP BY obs_id)"""
 
 
-@query("depth_range", f"{REPORTS}, {DEPTHS} SELECT obs_id, {cols('lo', 'hi')} FROM reports LEFT JOIN dr USING (obs_id)")
-def depth_range(spark, sf):
+@rule("depth_range", f"{REPORTS}, {DEPTHS} SELECT obs_id, {cols('lo', 'hi')} FROM reports LEFT JOIN dr USING (obs_id)")
+def depth_range(given):
     d = X.depth_range(F.col("body"))
-    return reports(spark, sf).select("obs_id", d["lo"].alias("lo"), d["hi"].alias("hi"))
+    return given.select("obs_id", d["lo"].alias("lo"), d["hi"].alias("hi"))
 
 
-@query("bite_window", f"{REPORTS} SELECT obs_id, {BITE_CASE} AS bite FROM reports")
-def bite_window(spark, sf):
-    return reports(spark, sf).select("obs_id", X.bite_window(F.col("body")).alias("bite"))
+@rule("bite_window", f"{REPORTS} SELECT obs_id, {BITE_CASE} AS bite FROM reports")
+def bite_window(given):
+    return given.select("obs_id", X.bite_window(F.col("body")).alias("bite"))
 
 
-@query("blank_flag", f"{TOTALS} SELECT obs_id, CAST(CASE WHEN total > 0 THEN 0 WHEN regexp_matches(body, {q(V.BLANK)}) THEN 1 END AS BIGINT) AS blank FROM tot")
-def blank_flag(spark, sf):
-    return rules.totals(reports(spark, sf)).select("obs_id", X.blank_flag(F.col("body"), F.col("total")).alias("blank"))
+@rule("blank_flag", f"{TOTALS} SELECT obs_id, CAST(CASE WHEN total > 0 THEN 0 WHEN regexp_matches(body, {q(V.BLANK)}) THEN 1 END AS BIGINT) AS blank FROM tot")
+def blank_flag(given):
+    return rules.totals(given).select("obs_id", X.blank_flag(F.col("body"), F.col("total")).alias("blank"))
 
 
-@query("report_features", f"""{TOTALS}, f AS (SELECT obs_id, {feet_sql(0)}, {feet_sql(1)} FROM reports), {DEPTHS}
+@rule("report_features", f"""{TOTALS}, f AS (SELECT obs_id, {feet_sql(0)}, {feet_sql(1)} FROM reports), {DEPTHS}
 SELECT obs_id, {r6(CLARITY)} AS clarity_ft, {LABEL_CASE} AS clarity_label, {r6(TEMP)} AS water_temp_f, {r6('lo')} AS depth_min_ft, {r6('hi')} AS depth_max_ft,
   {BITE_CASE} AS bite_window, CAST(CASE WHEN total > 0 THEN 0 WHEN regexp_matches(body, {q(V.BLANK)}) THEN 1 END AS BIGINT) AS blank
 FROM tot JOIN f USING (obs_id) LEFT JOIN dr USING (obs_id)""")
-def report_features(spark, sf):
-    return rules.features(rules.totals(reports(spark, sf)))
+def report_features(given):
+    return rules.features(rules.totals(given))
 
 
 # --- tags ----------------------------------------------------------------------------------
@@ -533,14 +552,22 @@ def publish_guard(spark, sf):
 
 
 # --- snippets ---------------------------------------------------------------------------------
-def snippets_sql(unit: str) -> str:
+def snippets_sql(unit: str, useful: str = V.USEFUL, noise: str = V.NOISE) -> str:
     return f"""{REPORTS},
 sn AS (SELECT {unit} AS unit, obs_id, unnest(l) AS s, unnest(range(0, len(l))) AS pos FROM (
   SELECT *, list_transform(regexp_extract_all(body, {q(V.SENTENCE)}) , lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS l FROM reports)),
-k AS (SELECT unit, s, min((obs_id, pos)) AS seen FROM sn WHERE length(s) >= 30 AND NOT regexp_matches(s, {q(V.NOISE)}) AND regexp_matches(s, {q(V.USEFUL)}) GROUP BY unit, s),
+k AS (SELECT unit, s, min((obs_id, pos)) AS seen FROM sn WHERE length(s) >= 30 AND NOT regexp_matches(s, {q(noise)}) AND regexp_matches(s, {q(useful)}) GROUP BY unit, s),
 rk AS (SELECT unit, s AS sentence, row_number() OVER (PARTITION BY unit ORDER BY seen) AS rank FROM k) SELECT unit, rank, sentence FROM rk WHERE rank <= 4"""
 
 
+_TELLING, _IDLE = r"[ ,](?:license|password|that the|dans)[ ,.]", r"[0-9]{4}|[|]"
+
+
+@query("snippets_documents", snippets_sql("source", _TELLING, _IDLE).replace(REPORTS, WRITTEN))
+def snippets_documents(spark, sf):
+    return rules.snippets(written(spark, sf), unit="source", useful=_TELLING, noise=_IDLE)
+
+
 @query("snippets", snippets_sql("CAST(o_custkey % 25 AS VARCHAR)"))
 def snippets(spark, sf):
     rows = reports(spark, sf).withColumn("unit", (F.col("o_custkey") % 25).cast("string"))
