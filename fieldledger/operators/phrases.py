@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import stem_phrase
+from ..sources.tables import settle
 
 MIN_DF, MIN_SHARE, MIN_LIFT, KEEP = 6, 0.04, 0.35, 10
+BUCKETS = 1 << 16
 
 
 def stop_words(spark: SparkSession, extra: list[str] = ()) -> list[str]:
@@ -33,43 +35,75 @@ def blocked_tokens(names: DataFrame, columns: list[str], camel: bool = True) ->
             .where(F.length("token") > 2).dropDuplicates())
 
 
-def phrase_tokens(docs: DataFrame, stop: list[str], blocked: DataFrame) -> DataFrame:
-    """(obs_id, unit, pos, token) after stop words and blocked names are gone. The
-    blocked names are anti-joined: Spark broadcasts them when they are small and
-    shuffles, with skew splitting, when they are not."""
+def kept_words(docs: DataFrame, stop: list[str], blocked: DataFrame) -> DataFrame:
+    """(obs_id, unit, words): the words of every document with a body and a unit, in order, without stop
+    words and blocked names.
+
+    Words stay in their row. Only the names that occur leave it: the distinct words of a document meet the
+    blocked names by a semi-join, which Spark broadcasts when they are small and splits when a word is hot.
+    Rows with the same obs_id lose the names of all of them.
+    """
     rows = docs.where(F.col("body").isNotNull() & F.col("unit").isNotNull()).select(
-        "obs_id", "unit", F.posexplode(word_array(F.col("body"), stop)).alias("pos", "token"))
-    return rows.join(blocked, "token", "left_anti")
+        "obs_id", "unit", word_array(F.col("body"), stop).alias("words"))
+    names = (rows.select("obs_id", F.explode(F.array_distinct("words")).alias("token")).join(blocked, "token", "left_semi")
+             .groupBy("obs_id").agg(F.collect_set("token").alias("names")))
+    left = F.filter("words", lambda w: ~F.array_contains("names", w))
+    return rows.join(names, "obs_id", "left").select(
+        "obs_id", "unit", F.when(F.col("names").isNull(), F.col("words")).otherwise(left).alias("words"))
+
+
+def phrase_tokens(words: DataFrame) -> DataFrame:
+    """(token, n, docs): how often a word stands and in how many documents. Counted before the shuffle."""
+    rows = F.concat(F.transform("words", lambda w: F.struct(w.alias("token"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
+                    F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("docs"))))
+    return words.select(F.explode(rows).alias("r")).groupBy("r.token").agg(F.sum("r.n").alias("n"), F.sum("r.docs").alias("docs"))
+
 
+def phrase_sets(words: DataFrame) -> DataFrame:
+    """(obs_id, unit, phrases): distinct words and adjacent word pairs of every document, built in its row."""
+    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))),
+                       lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return words.select("obs_id", "unit", F.array_distinct(F.concat("words", F.array_compact(pairs))).alias("phrases"))
 
-def phrase_sets(tokens: DataFrame) -> DataFrame:
-    """Distinct words and adjacent word pairs of every document. Each window is one
-    document; deduplication reuses its partitioning."""
-    pair = F.lead("token").over(Window.partitionBy("obs_id").orderBy("pos"))
-    both = F.array_compact(F.array(F.col("token"), F.when(F.col("next").isNotNull(), F.concat_ws(" ", "token", "next"))))
-    return (tokens.withColumn("next", pair).select("obs_id", "unit", F.explode(both).alias("phrase"))
-            .dropDuplicates(["obs_id", "unit", "phrase"]))
 
+def _occurrences(sets: DataFrame) -> DataFrame:
+    return sets.select("unit", F.explode("phrases").alias("phrase"))
 
-def mention_index(phrases: DataFrame) -> DataFrame:
+
+def mention_index(sets: DataFrame) -> DataFrame:
     """(unit, phrase, df): documents of the unit containing the phrase."""
-    return phrases.groupBy("unit", "phrase").agg(F.count("*").alias("df"))
+    return _occurrences(sets).groupBy("unit", "phrase").agg(F.count("*").alias("df"))
+
+
+def frequent_phrases(sets: DataFrame, min_df: int = MIN_DF, min_share: float = MIN_SHARE) -> DataFrame:
+    """(unit, phrase, df, n): phrases in at least min_df documents and min_share of the n of their unit.
+
+    Phrases are first counted by hash bucket, at most BUCKETS numbers for each unit and task. A bucket counts
+    at least as much as each of its phrases, so those below the gates hold no phrase that passes, and only
+    phrases of the other buckets are counted by name. How many buckets pass depends on the distinct phrases
+    of an average document, not on the number of documents.
+    """
+    sizes = sets.groupBy("unit").agg(F.count("*").alias("n"))
+    gates = lambda c: (c >= min_df) & (c / F.col("n") >= min_share)
+    rows = _occurrences(sets).withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int"))
+    full = rows.groupBy("unit", "bucket").agg(F.count("*").alias("c")).join(sizes, "unit").where(gates(F.col("c")))
+    counts = rows.join(full.select("unit", "bucket"), ["unit", "bucket"], "left_semi").groupBy("unit", "phrase").agg(F.count("*").alias("df"))
+    return counts.join(sizes, "unit").where(gates(F.col("df")))
 
 
-def distinctive_phrases(index: DataFrame, docs: DataFrame, min_df: int = MIN_DF, min_share: float = MIN_SHARE,
+def distinctive_phrases(sets: DataFrame, min_df: int = MIN_DF, min_share: float = MIN_SHARE,
                         min_lift: float = MIN_LIFT) -> DataFrame:
-    """Phrases far more frequent in a unit than overall, by smoothed log-odds.
+    """Phrases far more frequent in a unit than overall, by smoothed log-odds. sets: see ``phrase_sets``; it is
+    read several times, so a caller settles it.
 
-    Totals are rolled up from the per-unit counts. At most 1/min_share phrases per
-    average distinct phrase of a document can pass the share gate, so what is left
-    of a unit does not grow with its number of documents.
+    Counts over the archive are taken for the frequent phrases alone. At most 1/min_share phrases per average
+    distinct phrase of a document can pass the share gate, so what is left of a unit does not grow with its
+    number of documents.
     """
-    usable = docs.where(F.col("body").isNotNull() & F.col("unit").isNotNull())
-    sizes = usable.groupBy("unit").agg(F.count("*").alias("n"))
-    total = usable.agg(F.count("*")).scalar()
-    candidates = index.join(sizes, "unit").where(
-        (F.col("df") >= min_df) & (F.col("df") / F.col("n") >= min_share))
-    overall = index.groupBy("phrase").agg(F.sum("df").alias("club"))
+    total = sets.agg(F.count("*")).scalar()
+    candidates = settle(frequent_phrases(sets, min_df, min_share))
+    wanted = candidates.select("phrase").dropDuplicates()
+    overall = _occurrences(sets).join(wanted, "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("club"))
     joined = candidates.join(overall, "phrase").withColumn("total", total)
     lift = F.ln(((F.col("df") + 0.5) / (F.col("n") + 1)) / ((F.col("club") + 0.5) / (F.col("total") + 1)))
     return joined.withColumn("lift", lift).where(F.col("lift") > min_lift).select(

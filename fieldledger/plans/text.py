@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X, vocabulary as V
 from ..operators import phrases as P, rules, taxonomy as TX
 from ..operators.dictionary import scan_forms
-from ..sources.tables import spread
+from ..sources.tables import settle, spread
 from . import testbed as T
 from .registry import query, r6
 from .units import cols
@@ -478,8 +478,8 @@ def blocked(spark, sf):
     return P.blocked_tokens(names, ["name"])
 
 
-def tokens(spark, sf):
-    return P.phrase_tokens(docs(spark, sf), STOP, blocked(spark, sf))
+def words(spark, sf):
+    return P.kept_words(docs(spark, sf), STOP, blocked(spark, sf))
 
 
 @query("blocked_tokens", f"{PHRASES} SELECT token FROM blk")
@@ -489,18 +489,18 @@ def blocked_tokens(spark, sf):
 
 @query("phrase_tokens", f"{PHRASES} SELECT token, count(*) AS n, count(DISTINCT obs_id) AS docs FROM tok GROUP BY token")
 def phrase_tokens(spark, sf):
-    return tokens(spark, sf).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("obs_id").alias("docs"))
+    return P.phrase_tokens(words(spark, sf))
 
 
 @query("phrase_sets", f"{PHRASES} SELECT obs_id, count(*) AS phrases, min(phrase) AS first, max(phrase) AS last FROM ph GROUP BY obs_id")
 def phrase_sets(spark, sf):
-    return P.phrase_sets(tokens(spark, sf)).groupBy("obs_id").agg(
-        F.count("*").alias("phrases"), F.min("phrase").alias("first"), F.max("phrase").alias("last"))
+    return P.phrase_sets(words(spark, sf)).where(F.size("phrases") > 0).select(
+        "obs_id", F.size("phrases").alias("phrases"), F.array_min("phrases").alias("first"), F.array_max("phrases").alias("last"))
 
 
 @query("mention_index", f"{PHRASES} SELECT unit, phrase, df FROM idx")
 def mention_index(spark, sf):
-    return P.mention_index(P.phrase_sets(tokens(spark, sf)))
+    return P.mention_index(P.phrase_sets(words(spark, sf)))
 
 
 DISTINCTIVE = f"""{PHRASES},
@@ -510,8 +510,7 @@ sc AS (SELECT unit, phrase, df, n, ln(((df + 0.5) / (n + 1)) / ((c + 0.5) / ((SE
 
 
 def distinctive(spark, sf, min_df=6, min_lift=0.35):
-    index = P.mention_index(P.phrase_sets(tokens(spark, sf)))
-    return P.distinctive_phrases(index, docs(spark, sf), min_df=min_df, min_lift=min_lift)
+    return P.distinctive_phrases(settle(P.phrase_sets(words(spark, sf))), min_df=min_df, min_lift=min_lift)
 
 
 @query("distinctive_phrases", f"""{DISTINCTIVE.format(min_df=4)}

@@ -277,3 +277,77 @@ def test_every_pattern_compiles_in_the_engine(spark):
     patterns = [p for _, p in V.BITE_WINDOW + V.CLARITY_LABELS + V.DENSITY] + V.WATER_TEMP + V.CLARITY_NUMBERS + [V.DEPTH, V.COUNT_SPECIES, V.BAG, V.SINGLE]
     df = spark.createDataFrame([("x",)], "s string")
     assert df.select(*[F.col("s").rlike(p).alias(f"c{i}") for i, p in enumerate(patterns)]).count() == 1
+
+
+def _plain_phrases(rows, stop, names):
+    """Documents' words without stop words and names, and their distinct words and neighbours."""
+    import re
+    out = {}
+    for obs, unit, body in rows:
+        if unit is None or body is None:
+            continue
+        words = [w for w in re.sub("[^a-z0-9']+", " ", body.lower()).strip().split(" ")
+                 if len(w) > 2 and not re.search(r"\d", w) and w not in stop and w not in names]
+        out[obs] = (unit, words, set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])})
+    return out
+
+
+@pytest.mark.parametrize("buckets", [3, 1 << 16])
+def test_phrases_equal_plain_counts(spark, monkeypatch, buckets):
+    """Hash buckets choose which phrases are counted by name; few buckets, all full, give the same rows."""
+    import math
+    import random
+    monkeypatch.setattr(P, "BUCKETS", buckets)
+    rng = random.Random(11)
+    vocabulary = ["reef", "wall", "cove", "the", "pike", "Red", "dock2", "it's", "mud", "bar", "rock", "ox"]
+    rows = [(i, "hot" if i % 3 else f"u{i % 4}", " ".join(rng.choices(vocabulary, range(1, 13), k=rng.choice([0, 1, 2, 40])))) for i in range(90)]
+    rows += [(90, None, "reef wall"), (91, "hot", None), (92, "hot", ""), (93, "hot", "reef " * 3000), (94, "lone", "pike")]
+    names = {"cove", "red"}
+    docs = spark.createDataFrame(rows, "obs_id long, unit string, body string")
+    words = P.kept_words(docs, ["the"], spark.createDataFrame([(n,) for n in sorted(names)], "token string"))
+    plain = _plain_phrases(rows, {"the"}, names)
+    assert {r.obs_id: (r.unit, r.words) for r in words.collect()} == {k: v[:2] for k, v in plain.items()}
+    sets = P.phrase_sets(words)
+    assert {r.obs_id: set(r.phrases) for r in sets.collect()} == {k: v[2] for k, v in plain.items()}
+    assert all(len(r.phrases) == len(set(r.phrases)) for r in sets.collect())
+    df, club, n = {}, {}, {}
+    for unit, _, phrases in plain.values():
+        n[unit] = n.get(unit, 0) + 1
+        for p in phrases:
+            df[unit, p] = df.get((unit, p), 0) + 1
+            club[p] = club.get(p, 0) + 1
+    assert {(r.unit, r.phrase): r.df for r in P.mention_index(sets).collect()} == df
+    passed = {k: v for k, v in df.items() if v >= 3 and v / n[k[0]] >= 0.1}
+    assert {(r.unit, r.phrase): r.df for r in P.frequent_phrases(sets, 3, 0.1).collect()} == passed
+    lift = {k: math.log(((v + .5) / (n[k[0]] + 1)) / ((club[k[1]] + .5) / (len(plain) + 1))) for k, v in passed.items()}
+    got = {(r.unit, r.phrase): r.score for r in P.distinctive_phrases(sets, 3, 0.1, 0.05).collect()}
+    want = {k: v * math.log1p(passed[k]) for k, v in lift.items() if v > 0.05}
+    assert want and got == pytest.approx(want)
+    tokens = {}
+    for _, words_, _p in plain.values():
+        for w in words_:
+            tokens[w] = tokens.get(w, 0) + 1
+    assert {r.token: r.n for r in P.phrase_tokens(words).collect()} == tokens
+
+
+def test_phrases_of_no_documents(spark):
+    docs = spark.createDataFrame([], "obs_id long, unit string, body string")
+    words = P.kept_words(docs, ["the"], spark.createDataFrame([], "token string"))
+    assert P.phrase_tokens(words).count() == 0 and P.distinctive_phrases(P.phrase_sets(words)).count() == 0
+
+
+def test_phrases_are_built_without_a_shuffle_of_words(spark):
+    """Between words and phrases there is no exchange; only names that occur are moved, by document."""
+    words = spark.createDataFrame([(1, "a", ["x", "y"])], "obs_id long, unit string, words array<string>")
+    plan = P.phrase_sets(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_snippets_cut_long_texts_in_one_pass(spark):
+    """A text of a million characters without an end of a sentence, and ends that follow one another."""
+    import time
+    rows = [(1, "u", "x | " * 250_000), (2, "u", "First we drove to Tyler and beyond!! Then north of Waco it rained?  And no end"), (3, "u", None), (4, "u", "")]
+    df = spark.createDataFrame(rows, "obs_id long, unit string, body string")
+    begun = time.time()
+    got = [(r.rank, r.sentence) for r in rules.snippets(df, min_chars=10).collect()]
+    assert got == [(1, "First we drove to Tyler and beyond!"), (2, "Then north of Waco it rained?")] and time.time() - begun < 30
