@@ -201,7 +201,7 @@ def half_split(df: DataFrame, keys: list[str], day: str = "obs_date", tie: str =
     many rows without a date, which come last, is spread over several ranges.
     """
     from .ranking import row_number_by
-    placed = row_number_by(df, keys, [F.col(day).asc_nulls_last(), F.col(tie)], "_place")
+    placed = row_number_by(df, keys, [F.col(day).asc_nulls_last()], [tie], "_place")
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).select(
         *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_n")
     same = F.lit(True)

@@ -48,6 +48,7 @@ def sum_before(df: DataFrame, keys: list[str], order: list[Column], amount: Colu
     return summed.withColumn(out, F.col("_offset") + F.col("_within")).select(*df.columns, out)
 
 
-def row_number_by(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
-    """row_number within ``keys`` for groups of any size; see `sum_before`."""
-    return sum_before(df, keys, order, F.lit(1), out).withColumn(out, F.col(out) + 1)
+def row_number_by(df: DataFrame, keys: list[str], leading: list, order: list, out: str) -> DataFrame:
+    """row_number within ``keys`` by ``leading`` and, among their equals, by ``order``, for groups of any size; see `sum_before`."""
+    by = [F.col(c) if isinstance(c, str) else c for c in [*leading, *order]]
+    return sum_before(df, keys, by, F.lit(1), out).withColumn(out, F.col(out) + 1)

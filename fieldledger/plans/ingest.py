@@ -231,8 +231,8 @@ def order_by_category_then_value(spark, sf):
 @query("lexicographic_rank", """SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_size DESC, p_name, p_partkey) AS rank FROM part""")
 def lexicographic_rank(spark, sf):
     from ..operators.ranking import row_number_by
-    order = [F.col("p_type"), F.desc("p_size"), F.col("p_name"), F.col("p_partkey")]
-    return row_number_by(T.table(spark, sf, "part"), ["p_brand"], order, "rank").select("p_partkey", "p_brand", "rank")
+    order = [F.desc("p_size"), F.col("p_name"), F.col("p_partkey")]
+    return row_number_by(T.table(spark, sf, "part"), ["p_brand"], ["p_type"], order, "rank").select("p_partkey", "p_brand", "rank")
 
 
 @query("distinct", "SELECT DISTINCT category, subtype FROM labs")

@@ -280,7 +280,7 @@ def test_ranks_of_any_group(spark):
     rows = [(None if i % 11 == 0 else f"k{i % 3}", 5.0 if i % 2 else float(i % 7), i) for i in range(600)]
     rows += [("k1", None, 1000 + i) for i in range(20)]
     df = spark.createDataFrame(rows, "k string, v double, id int").repartition(7)
-    got = {r["id"]: r["n"] for r in K.row_number_by(df, ["k"], [F.col("v").asc_nulls_last(), F.col("id")], "n").collect()}
+    got = {r["id"]: r["n"] for r in K.row_number_by(df, ["k"], [F.col("v").asc_nulls_last()], [F.col("id")], "n").collect()}
     for key in {k for k, *_ in rows}:
         mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
         assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
@@ -290,6 +290,6 @@ def test_ranks_of_any_group(spark):
     one = spark.range(40_000).select(F.lit(1).alias("k"), F.lit(2.0).alias("v"), "id")
     spread = one.repartitionByRange(F.col("k"), F.col("v"), F.col("id")).groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in spread) < 2 * 40_000 / len(spread)
-    numbered = K.row_number_by(one, ["k"], [F.col("v"), F.col("id")], "n")
+    numbered = K.row_number_by(one, ["k"], [F.col("v")], [F.col("id")], "n")
     assert numbered.where(F.col("n") != F.col("id") + 1).count() == 0 and numbered.count() == 40_000
-    assert K.row_number_by(one.limit(0), ["k"], [F.col("v")], "n").count() == 0
+    assert K.row_number_by(one.limit(0), ["k"], [F.col("v")], [], "n").count() == 0
