@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.ingest import upsert_latest
 from ..session import ensure_checkpoint_dir
+from .log import FAN, UpdateLog
 
 
 def arriving(spark: SparkSession, folder: str, schema, files: str = "*.parquet",
@@ -33,20 +33,16 @@ def _drain(writer, base: str):
     return query
 
 
-def stream_ingest_latest(stream: DataFrame, keys: list[str], order: list[str], base: str) -> DataFrame:
+def stream_ingest_latest(stream: DataFrame, keys: list[str], order: list[str], base: str, fan: int = FAN) -> DataFrame:
     """Idempotent ingest, last write wins.
 
-    Each micro-batch is reduced to its latest row per key and written under its own
-    batch number, so a replayed batch overwrites itself and nothing stored before is
-    rewritten. Readers see the latest row per key over all batches.
+    Each micro-batch is reduced to its latest row per key and added to an update log, which is merged as it
+    grows; a replayed batch changes nothing. Readers see the latest row per key over all batches. Started
+    again on the same folder, the stream goes on where it stood.
     """
-    def store(batch: DataFrame, batch_id: int) -> None:
-        upsert_latest(batch, keys, order).write.mode("overwrite").parquet(f"{base}/log/batch={batch_id}")
-
-    schema = stream.schema
-    _drain(stream.writeStream.foreachBatch(store), base)
-    log = stream.sparkSession.read.schema(schema).parquet(f"{base}/log")
-    return upsert_latest(log.select(*schema.fieldNames()), keys, order)
+    log = UpdateLog(f"{base}/log", stream.schema, keys, order, fan)
+    _drain(stream.writeStream.foreachBatch(log.append), base)
+    return log.latest(stream.sparkSession)
 
 
 def daily_stats(events: DataFrame, ts: str, keys: list[str]) -> DataFrame:
@@ -57,21 +53,23 @@ def daily_stats(events: DataFrame, ts: str, keys: list[str]) -> DataFrame:
         .select(F.to_date("window.start").alias("day"), *keys, "n", "high", "low", "mean")
 
 
-def stream_daily_conditions(stream: DataFrame, ts: str, keys: list[str], base: str, late: str = "6 hours") -> DataFrame:
-    """Days as they stand after every batch, those still open included: updates are kept under
-    their batch number and the newest row of a day and key is the current one."""
-    return _current(daily_stats(stream.withWatermark(ts, late), ts, keys), ["day", *keys], f"{base}/days", base)
+def stream_daily_conditions(stream: DataFrame, ts: str, keys: list[str], base: str, late: str = "6 hours",
+                            fan: int = FAN) -> DataFrame:
+    """Days as they stand after every batch, those still open included: updates go to a log, where the
+    newest row of a day and key is the current one."""
+    return _current(daily_stats(stream.withWatermark(ts, late), ts, keys), ["day", *keys], f"{base}/days", base, fan)
 
 
-def _current(updates: DataFrame, keys: list[str], folder: str, base: str) -> DataFrame:
+def _current(updates: DataFrame, keys: list[str], folder: str, base: str, fan: int) -> DataFrame:
     """Drains an aggregation in update mode and returns the newest row of each key."""
+    schema = T.StructType([*updates.schema.fields, T.StructField("seq", T.LongType())])
+    log = UpdateLog(folder, schema, keys, ["seq"], fan)
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("seq", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        log.append(batch.withColumn("seq", F.lit(batch_id).cast("long")), batch_id)
 
     _drain(updates.writeStream.outputMode("update").foreachBatch(store), base)
-    schema = T.StructType([*updates.schema.fields, T.StructField("seq", T.IntegerType())])
-    rows = updates.sparkSession.read.schema(schema).parquet(folder)
-    return upsert_latest(rows.select(*schema.fieldNames()), keys, ["seq"]).drop("seq")
+    return log.latest(updates.sparkSession).drop("seq")
 
 
 def coverage_counts(events: DataFrame, ts: str, dims: dict[str, Column]) -> DataFrame:
@@ -81,10 +79,11 @@ def coverage_counts(events: DataFrame, ts: str, dims: dict[str, Column]) -> Data
         .select(F.to_date("w.start").alias("day"), "n_total", *dims)
 
 
-def stream_coverage(stream: DataFrame, ts: str, dims: dict[str, Column], base: str, late: str = "6 hours") -> DataFrame:
-    """Coverage counters refreshed with every batch: updates are kept under their batch
-    number and the newest count of a day is the current one."""
-    return _current(coverage_counts(stream.withWatermark(ts, late), ts, dims), ["day"], f"{base}/updates", base)
+def stream_coverage(stream: DataFrame, ts: str, dims: dict[str, Column], base: str, late: str = "6 hours",
+                    fan: int = FAN) -> DataFrame:
+    """Coverage counters refreshed with every batch: updates go to a log, where the newest count of a day
+    is the current one."""
+    return _current(coverage_counts(stream.withWatermark(ts, late), ts, dims), ["day"], f"{base}/updates", base, fan)
 
 
 def stream_dedupe(stream: DataFrame, ts: str, keys: list[str], base: str, late: str = "1 day") -> DataFrame:

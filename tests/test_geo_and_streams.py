@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldledger.functions.directions import claims_in, direction_claims
 from fieldledger.operators import geo as G, ranking, series as S
 from fieldledger.operators.ingest import upsert_latest
-from fieldledger.streaming import incremental as I
+from fieldledger.streaming import incremental as I, log as L
 
 
 def test_claims(spark):
@@ -129,6 +130,65 @@ def test_stream_dedupe(spark, files):
     assert got.count() == 120 and got.select("event_id").distinct().count() == 120
 
 
+def test_layout_of_the_log():
+    """Segments cover all batches once; a batch leaves all earlier segments as they are or folds the last ones."""
+    for fan in (2, 3, 8):
+        for n in range(200):
+            now, later = L.layout(n, fan), L.layout(n + 1, fan)
+            assert [a for a, _ in now] == [0, *(b for _, b in now)][:len(now)] and (not now or now[-1][1] == n)
+            assert later[:-1] == now[:len(later) - 1]
+            sizes = [b - a for a, b in now]
+            assert all(sizes.count(x) < fan for x in sizes)
+
+
+def _parts(spark, k):
+    return spark.createDataFrame([(i, k, f"{k}/{i}") for i in (k, k % 3, 100)], "id long, at long, v string")
+
+
+def test_log_replays_restarts_and_folds(spark, tmp_path):
+    """Every batch is given twice, and once after a failure before its commit; the log stays that of the batch twin."""
+    schema = _parts(spark, 0).schema
+    log = L.UpdateLog(str(tmp_path / "log"), schema, ["id"], ["at"], fan=3)
+    assert log.batches(spark) == 0 and log.latest(spark).count() == 0
+
+    class Lost(L.UpdateLog):
+        def _commit(self, spark, batches):
+            raise RuntimeError("lost before the commit")
+    seen = []
+    for k in range(11):
+        old = log.latest(spark)                             # begun before the batch, read after it
+        want_old = {tuple(r) for r in upsert_latest(reduce(lambda a, b: a.union(b), seen), ["id"], ["at"]).select("id", "at", "v").collect()} if seen else set()
+        with pytest.raises(RuntimeError):
+            Lost(log.folder, schema, ["id"], ["at"], fan=3).append(_parts(spark, k), k)
+        assert log.batches(spark) == k and as_set(log.latest(spark)) == want_old
+        log.append(_parts(spark, k), k)
+        log.append(_parts(spark, k), k)
+        seen.append(_parts(spark, k))
+        assert as_set(old) == want_old
+    want = upsert_latest(reduce(lambda a, b: a.union(b), seen), ["id"], ["at"]).select("id", "at", "v")
+    assert as_set(log.latest(spark)) == as_set(want)
+    kept = {p.name for p in (tmp_path / "log" / "rows").iterdir()}
+    assert kept == {f"{a}-{b}" for a, b in {*L.layout(10, 3), *L.layout(11, 3)}}
+    assert len(list((tmp_path / "log" / "manifest").iterdir())) == 2
+    with pytest.raises(ValueError):
+        log.append(_parts(spark, 0), 40)
+
+
+def test_stream_goes_on_after_a_restart(spark, files, tmp_path):
+    """Two runs on one folder, the log folded at every second batch, and new files in between."""
+    base = I.workspace(spark, "t")
+    given, files = files, str(tmp_path / "events")
+    spark.read.parquet(given).repartition(3).write.parquet(files)
+    I.stream_ingest_latest(stream(spark, files), ["user_id"], ["ts"], base, fan=2)
+    extra = spark.read.parquet(files).where("user_id = 2").selectExpr(
+        "event_id + 1000 AS event_id", "ts + INTERVAL 90 DAYS AS ts", "user_id", "kind", "value")
+    rows = [tuple(r) for r in extra.collect()]
+    spark.createDataFrame(rows, extra.schema).coalesce(1).write.mode("append").parquet(files)
+    got = I.stream_ingest_latest(stream(spark, files), ["user_id"], ["ts"], base, fan=2)
+    want = upsert_latest(spark.read.parquet(files), ["user_id"], ["ts"])
+    assert as_set(got.select(*want.columns)) == as_set(want) and got.where("event_id >= 1000").count() == 1
+
+
 def test_nearest_anchor_over_the_pyramid(spark):
     """Against every pair: far points, points on an anchor, a dense cell, repeats and missing positions."""
     import random
