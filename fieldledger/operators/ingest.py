@@ -129,6 +129,39 @@ def payload_sink(sections: dict[str, DataFrame], path: str) -> None:
     payload(sections).write.mode("overwrite").partitionBy("section").text(path)
 
 
+def canonical_row(df: DataFrame) -> Column:
+    """A row as JSON that any engine can write alike: names in order, nulls kept, doubles to six places
+    without trailing zeros."""
+    from pyspark.sql import types as T
+    fields = [F.col(f.name).cast("decimal(18,6)").alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+              for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    return F.to_json(F.parse_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})))
+
+
+def section_documents(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, document): the rows of a section under their key, an array of objects as a variant.
+
+    Rows stand in the order of their text; equal rows stay. The keys are joined by a bar, no keys give one
+    document and none for an empty section. A section's rows for one key must be bounded by what the section
+    is, such as months, bands or labels of a unit.
+    """
+    key = F.concat_ws("|", *keys) if keys else F.lit("")
+    rows = df.select(key.alias("key"), canonical_row(df).alias("row")).groupBy("key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    return rows.select("key", F.parse_json(F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]"))).alias("document"))
+
+
+def publish(sections: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+    """Writes each section's documents to its own folder, one after the other; a section written again
+    replaces itself and leaves the others alone."""
+    for name, (df, keys) in sections.items():
+        section_documents(df, keys).write.mode("overwrite").parquet(f"{path}/section={name}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """(section, key, document) of what is published. Read with its schema, so that one section is pruned to its folder."""
+    return spark.read.schema("key string, document variant, section string").parquet(path).select("section", "key", "document")
+
+
 def sql_escape_hatch(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> DataFrame:
     """Any SQL over the named tables, with all its rows."""
     for name, df in tables.items():

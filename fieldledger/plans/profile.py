@@ -1,14 +1,17 @@
 """Profiles, briefs, plans and payload on the bound tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_saturday
 from ..operators import cohort as C, effects as E, ingest as I, narrate as W, profile as P, recommend as R, units as U
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import settle
-from . import effects as PE, testbed as T
+from . import effects as PE, testbed as T, text  # noqa: F401  (text registers the coverage section)
 from .recommend import AS_OF_YEAR, DAY, MONTH, expected_sql, lift_sql
-from .registry import query, r6
+from .registry import ORACLES, QUERIES, query, r6
 from .units import CONSISTENCY, HOME_MILES, cols
 
 
@@ -177,16 +180,42 @@ def planner_payload(spark, sf):
     return P.planner_payload(T.observations(spark, sf), T.units(spark, sf), {DAY: MONTH, "2001-07-15": MONTH}, AS_OF_YEAR, 400)
 
 
-def payload_sections(spark, sf):
-    obs = T.observations(spark, sf)
-    return {"headline": U.headline(obs), "lakes": U.unit_table(obs, T.units(spark, sf)), "by_month": U.rate_by(obs, ["month"]),
-            "consistency": U.unit_consistency(obs)}
-
-
-@query("payload_sink", """
-SELECT 'headline' AS section, CAST(1 AS BIGINT) AS documents, TRUE AS valid UNION ALL SELECT 'lakes', count(*), TRUE FROM (SELECT unit_id FROM obs GROUP BY unit_id HAVING count(*) >= 15)
-UNION ALL SELECT 'by_month', count(DISTINCT month), TRUE FROM scored UNION ALL SELECT 'consistency', count(*), TRUE FROM (SELECT unit FROM scored GROUP BY unit HAVING count(*) >= 20)""")
+# Sections of the published document: the query that gives the rows, its keys, and its columns by kind
+# (s text, l whole number, d double, b boolean).
+SECTIONS = {
+    "headline": ("headline", [], "reports:l units:l scored:l first:s last:s scored_from:l scored_to:l median_rate:d best:d unit_known_pct:d"),
+    "coverage": ("coverage_panel", ["tier"], "dimension:s pct:d n:l of:l tier:s"),
+    "labels": ("label_lift", [], "category:s n_trips:l raw_rate:d median_rate:d shrunk_rate:d lower_rate:d lift:d lift_lb:d baseline:d scored_trips:l"),
+    "evidence": ("label_evidence", ["unit"], "unit:s label:s trips:l share:d rate:d baseline:d diff:d lo:d hi:d naive_diff:d years:l years_agreeing:l stable:b club_unstable:b support:s"),
+    "tags": ("tag_effects", ["support"], "label:s trips:l share:d rate:d baseline:d diff:d lo:d hi:d naive_diff:d years:l years_agreeing:l stable:b support:s"),
+    "conditions": ("conditions_panel", ["unit", "condition"], "unit:s condition:s value:s n:l median:d"),
+    "water": ("water_panel", ["unit"], "unit:s clarity_median:d clarity_n:l water_temp_median:d water_temp_n:l depth_median:d depth_n:l clarity_murky:l clarity_stained:l clarity_clear:l vegetation:l structure:l technique:l density_heavy:l density_moderate:l density_light:l veg_mention_rate:d"),
+    "species": ("species_mix", ["unit"], "unit:s species:s n:l pct:d"),
+    "lakes": ("unit_table", ["unit"], "unit:s town:s trips:l acres:d max_depth_ft:d day_rate:d median_rate:d best:d clarity:d"),
+    "consistency": ("unit_consistency", ["unit"], "unit:s trips:l median:d mean:d worst_decile:d best_decile:d bust_rate:d bust_n:l typical_count:d cv:d band:s"),
+    "months": ("rate_by_month", ["unit"], "unit:s month:l n:l median:d mean:d"),
+    "years": ("by_year", ["unit"], "unit:s year:l n:l median:d mean:d"),
+    "weights": ("weight_bands", ["unit"], "unit:s band:s n:l total:l best:d median_best:d over_5_rate:d pct:d"),
+    "planner": ("planner_payload", ["unit"], "day:s unit:s miles:d geo_uncertain:b expected:d lower:d n_total:l rank:l"),
+    "label_plan": ("club_label_plan", ["side"], "side:s rank:l label:s trips:l diff:d lo:d hi:d support:s"),
+    "presentations": ("presentation_plan", ["side"], "side:s rank:l label:s trips:l diff:d unit:s here_diff:d here_trips:l"),
+}
+_AS_JSON = {"s": "to_json({c})", "l": "CAST({c} AS VARCHAR)", "b": "CAST({c} AS VARCHAR)",
+            "d": r"regexp_replace(CAST(CAST({c} AS DECIMAL(18, 6)) AS VARCHAR), '\.?0*$', '')"}
+
+
+def section_sql(name: str) -> str:
+    source, keys, columns = SECTIONS[name]
+    kinds = sorted(c.split(":") for c in columns.split())
+    row = " || ',' || ".join(f"""'"{c}":' || coalesce({_AS_JSON[k].format(c=f'"{c}"')}, 'null')""" for c, k in kinds)
+    key = f"concat_ws('|', {', '.join(keys)})" if keys else "''"
+    return f"""SELECT '{name}' AS section, key, '[' || string_agg(r, ',' ORDER BY r) || ']' AS document
+FROM (SELECT {key} AS key, '{{' || {row} || '}}' AS r FROM ({ORACLES[source]})) GROUP BY key"""
+
+
+@query("payload_sink", "\nUNION ALL ".join(map(section_sql, SECTIONS)))
 def payload_sink(spark, sf):
-    docs = I.payload(payload_sections(spark, sf))
-    parsed = F.try_parse_json("document")
-    return docs.groupBy("section").agg(F.count("*").alias("documents"), F.bool_and(parsed.isNotNull()).alias("valid"))
+    """Every section written as documents, read back, and shown by content."""
+    path = f"{ensure_checkpoint_dir(spark)}/published/{uuid.uuid4().hex}"
+    I.publish({name: (QUERIES[source](spark, sf), keys) for name, (source, keys, _) in SECTIONS.items()}, path)
+    return I.published(spark, path).withColumn("document", F.to_json("document"))

@@ -2,8 +2,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldledger.operators.ingest import payload_sink
+from fieldledger.operators.ingest import payload_sink, publish, published
 from fieldledger.sources import files as S
 
 
@@ -47,3 +48,21 @@ def test_payload_is_written_by_section(spark, tmp_path):
     payload_sink({"one": first, "two": second}, str(tmp_path / "out"))
     back = {(r["section"], r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()}
     assert back == {("one", '{"k":1,"v":"a"}'), ("one", '{"k":2,"v":"b"}'), ("two", '{"x":3.5}')}
+
+
+def test_documents_are_published_by_section_and_key(spark, tmp_path):
+    """Nulls, quotes, line ends, halves, equal rows and an empty section; one section written again."""
+    import json
+    schema = "unit string, n long, x double, ok boolean, zed string"
+    rows = [("a", 2, 0.1, True, 'say "x"\nand \\ é'), ("a", 1, None, None, None), ("a", 1, None, None, None), ("b", 3, -1e7, False, ""), (None, 4, 0.0, None, "z")]
+    df = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "out")
+    publish({"one": (df, ["unit"]), "all": (df, []), "none": (df.limit(0), ["unit"])}, path)
+    publish({"all": (df.where("n = 3"), [])}, path)
+    got = {(r.section, r.key): r.document for r in published(spark, path).select("section", "key", F.to_json("document").alias("document")).collect()}
+    assert got["one", "a"] == ('[{"n":1,"ok":null,"unit":"a","x":null,"zed":null},{"n":1,"ok":null,"unit":"a","x":null,"zed":null},'
+                               '{"n":2,"ok":true,"unit":"a","x":0.1,"zed":"say \\"x\\"\\nand \\\\ é"}]')
+    assert json.loads(got["all", ""]) == [{"n": 3, "ok": False, "unit": "b", "x": -10000000, "zed": ""}]
+    assert set(got) == {("one", "a"), ("one", "b"), ("one", ""), ("all", "")}
+    values = published(spark, path).where("section = 'one' AND key = 'a'").select(F.variant_get("document", "$[2].x", "double").alias("x")).first()
+    assert values["x"] == 0.1
