@@ -29,6 +29,11 @@ def _written(line: Column) -> Column:
     return F.length(F.trim(F.translate(line, "\t\u000b\u000c\r", "    "))) > 0
 
 
+def _text_key() -> list[Column]:
+    """128 bits of a text, so that rows with the same doc_id but other lines keep their own places."""
+    return [F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit("text"), F.col("text")).alias("_t2")]
+
+
 def line_spread(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Lines spread over at least `min_sites` sites (column source): h1, h2 and first, the smallest doc_id.
 
@@ -58,21 +63,30 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     lose a line together. A column n_lines_removed of docs is replaced.
     """
     wide = line_spread(docs, min_sites)
-    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("long")
-    lines = (docs.select(key.alias("_id"), F.explode(F.array_distinct(F.transform(
-        F.filter(_lines(F.col("text")), _written), line_hash))).alias("h")).select("_id", "h.h1", "h.h2"))
+    key = [F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("long").alias("_id"), *_text_key()]
+    # all within the generated array: what is derived from a text beside it would be worked out for every line
+    keyed = F.element_at(F.transform(F.array(F.struct(*_text_key())), lambda t: F.transform(
+        _lines(F.col("text")), lambda line, at: F.struct(t["_t1"].alias("_t1"), t["_t2"].alias("_t2"), at.alias("at"),
+                                                         _written(line).alias("written"), line_hash(line).alias("h")))), 1)
+    lines = (docs.select(key[0], F.explode(F.filter(keyed, lambda x: x["written"])).alias("x"))
+             .select("_id", "x._t1", "x._t2", "x.at", "x.h.h1", "x.h.h2"))
     lost = lines.join(wide, ["h1", "h2"])
     if keep_first:
         lost = lost.filter(F.col("_id") != F.col("first"))
-    lost = settle(lost.groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost")))
+    lost = settle(lost.groupBy("_id", "_t1", "_t2").agg(F.collect_set("at").alias("_lost")))
     base = docs.drop("n_lines_removed")
-    rows = base.select(F.struct(*(base[f"`{c}`"] for c in base.columns)).alias("row"), "text", key.alias("_id"))
+    rows = base.select(F.struct(*(base[f"`{c}`"] for c in base.columns)).alias("row"), "text", *key)
     lines_of = _lines(F.col("text"))
-    kept = F.filter(lines_of, lambda line: ~F.array_contains(F.col("_lost"), line_hash(line)))
+    # by places, which array_except looks up in a hash set: one pass over a text's lines, however many are lost
+    def left(lines: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost")), lambda p: F.get(lines, p))
+
+    # the outer transform binds the lines to a variable: a column would be split anew for every place
+    kept = F.element_at(F.transform(F.array(lines_of), left), 1)
     # lost grows with the table, so it is never broadcast and the plan is the same at every size
-    cut = (rows.join(lost.hint("merge"), "_id", "left").withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
-           .withColumn("_n", F.coalesce(F.size(lines_of) - F.when(F.col("_kept").isNotNull(), F.size("_kept")),
-                                        F.lit(0)).cast("long"))
+    cut = (rows.join(lost.hint("merge"), ["_id", "_t1", "_t2"], "left")
+           .withColumn("_kept", F.when(F.col("_lost").isNotNull(), kept))
+           .withColumn("_n", F.coalesce(F.size("_lost"), F.lit(0)).cast("long"))
            .withColumn("text", F.coalesce(F.array_join("_kept", "\n"), F.col("text"))))
     return cut.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in base.columns),
                       F.col("_n").alias("n_lines_removed"))

@@ -61,17 +61,20 @@ def weights(word: np.ndarray, row_of_word: np.ndarray, rows: int) -> np.ndarray:
     return 1.0 / (in_word[word] * in_row[row_of_word[word]])
 
 
-def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Label, buckets and weights of each row."""
+BAG = "id bigint, toxic int, buckets array<int>, shares array<float>"
+
+
+def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different buckets of each row, in order, with their weights: at most BUCKETS, however long the text."""
     for batch, data, offs in blocks(batches):
         word, bucket, row_of_word = subwords(data, offs)
         share, row = weights(word, row_of_word, batch.num_rows), row_of_word[word]
         key, place = np.unique(row * BUCKETS + bucket, return_inverse=True)
         share = np.bincount(place, share)
-        ends = np.searchsorted(key, np.arange(batch.num_rows + 1) * BUCKETS)
-        for k, label in enumerate(batch.column("toxic").to_pylist()):
-            a, b = ends[k], ends[k + 1]
-            yield label, key[a:b] - k * BUCKETS, share[a:b].astype(np.float32)
+        ends = pa.array(np.searchsorted(key, np.arange(batch.num_rows + 1) * BUCKETS), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("toxic"), pa.ListArray.from_arrays(ends, pa.array(key % BUCKETS, pa.int32())),
+             pa.ListArray.from_arrays(ends, pa.array(share, pa.float32()))], ["id", "toxic", "buckets", "shares"])
 
 
 def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], odds: float, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -115,7 +118,9 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], odds: float, seed: in
 
 def _train(odds: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worth, bias = fit(list(bags(batches)), odds)
+        samples = [(label, np.asarray(buckets.values, np.int64), np.asarray(shares.values, np.float32)) for batch in batches
+                   for label, buckets, shares in zip(batch.column("toxic").to_pylist(), batch.column("buckets"), batch.column("shares"))]
+        worth, bias = fit(samples, odds)
         yield pa.RecordBatch.from_arrays([pa.array([worth.astype(np.float32).tobytes()]), pa.array([bias])],
                                          ["worth", "bias"])
     return run
@@ -144,21 +149,25 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     """Fits on at most `per_class` labelled ids of each class, those with the smallest hashed ids.
 
     Labels of held-out ids, null ids and null labels are left out; of several labels for an id the larger
-    holds. The sample is bounded, so it may be broadcast to its texts and trained on in one task; the
-    model is a fixed number of buckets. Class shares are counted over all labels.
+    holds, of several texts one. The ids are ranked below a hash that about `per_class` of their class, and
+    ten deviations more, do not exceed, so no task meets a whole class. The sample may be broadcast to its
+    texts; the training task gets their bags, at most BUCKETS numbers each. The model is a fixed number of
+    buckets. Class shares are counted over all labels.
     """
     usable = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropna()
-              .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    shares = {r["toxic"]: r["n"] for r in usable.groupBy((F.col("toxic") > 0).cast("int").alias("toxic"))
-              .agg(F.count(F.lit(1)).alias("n")).collect()}
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-              .withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_class)
+              .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+              .select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("hash")))
+    shares = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = per_class + 10 * (per_class + 1) ** 0.5
+    bound = lambda n: -(1 << 63) + min((1 << 64) - 1, int(wanted / max(n, 1) * (1 << 64)))
+    few = usable.filter(F.col("hash") <= F.when(F.col("toxic") == 1, F.lit(bound(shares.get(1, 0)))).otherwise(F.lit(bound(shares.get(0, 0)))))
+    by_hash = Window.partitionBy("toxic").orderBy("hash", "doc_id")
+    chosen = (few.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_class)
               .select(F.col("doc_id").alias("id"), "toxic"))
     texts = (docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-             .join(F.broadcast(chosen), "id").select("id", "text", "toxic"))
+             .join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     odds = (shares.get(1, 0) + 0.5) / (shares.get(0, 0) + 0.5)
-    model = settle(texts.repartition(1).sortWithinPartitions("id", F.xxhash64("text"))
+    model = settle(texts.mapInArrow(bags, BAG).repartition(1).sortWithinPartitions("id")
                    .mapInArrow(_train(odds), "worth binary, bias double")).first()
     if model is None:
         return np.zeros(BUCKETS), float(np.log(odds))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -243,6 +244,16 @@ def labelled(spark, n: int = 500):
     return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def test_toxicity_trains_on_one_text_of_an_id(spark):
+    """Repeated rows, other texts of an id and repeated labels change no score; a bound below the labels trains on fewer."""
+    texts, labels = labelled(spark, 120)
+    score = lambda t, l, **k: {(r.doc_id, r.score) for r in toxicity(t, l, **k).collect()}
+    plain = score(texts, labels)
+    assert score(texts.union(texts), labels.union(labels)) == plain
+    assert score(texts.repartition(5), labels.repartition(3)) == plain
+    assert score(texts, labels, per_class=5) != plain and score(texts, labels, per_class=1000) == plain
+
+
 def test_toxicity(spark, none, docs):
     texts, labels = labelled(spark)
     new = spark.createDataFrame([(9001, prose(random.Random(1), 40)), (9002, prose(random.Random(1), 40) + " loserz idiiot scumm scums idiots"),
@@ -370,6 +381,19 @@ def test_boilerplate(docs, rows, none, keep_first):
     assert remove_boilerplate(none).count() == 0
 
 
+def test_boilerplate_of_long_texts_takes_one_pass(spark):
+    """200,000 lost lines in one text, rows with the same doc_id and other lines, a text lost altogether."""
+    lines = [f"line {k}" for k in range(200_000)]
+    rows = [(k, "\n".join(lines), f"s{k}") for k in range(2)]
+    rows += [(5, "line 7\nown\nline 9\nline 7", "s0"), (5, "own\nline 9", "s0"), (6, "line 3", "s1")]
+    begun = time.time()
+    given = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = sorted(map(tuple, remove_boilerplate(given, 2).select("doc_id", F.length("text"), "text", "n_lines_removed").collect()))
+    assert [(i, n if i < 5 else t, lost) for i, n, t, lost in out] == [
+        (0, len(rows[0][1]), 0), (1, 0, 200_000), (5, "own", 1), (5, "own", 3), (6, "", 1)]
+    assert time.time() - begun < 60
+
+
 def test_spread_far_from_the_threshold_is_decided_by_the_sketch(spark):
     lines = [(k, "wide\nnarrow" if k < 3 else "wide", f"s{k}") for k in range(60)]
     found = line_spread(spark.createDataFrame(lines, "doc_id long, text string, source string"), 10).collect()
