@@ -1,15 +1,18 @@
-"""Near-duplicates by the similarity of their word shingles: sampled keys, a wide SimHash, then the sets themselves.
-
-At a similarity of 0.8 two SimHashes differ in some 15 % of their bits, so a segment with at most one differing bit
-is too short to select anything. Texts meet by bands of least shingle hashes instead (24 bands of four: of pairs at
-0.8 about three in a million share none), pairs far apart in a 256-bit SimHash are dropped, and the rest is compared
-shingle by shingle. A bucket is linked to its smallest member first. While members of a bucket are in different
+"""Near-duplicates by the similarity of their word shingles: one-wildcard variants of a wide SimHash, then the sets.
+
+At a similarity of 0.8 two SimHashes differ in some 15 % of their bits, so 64 bits are too few. 1,008 bits of the shingle
+set are cut into 36 segments of 28. Each segment is a key as it is and with each of its set bits cleared: segments with at
+most one bit set in one only, and at most one in the other only, share a key. Of pairs at 0.8 that is 12 % for a segment,
+so that about one pair in a hundred shares no key, and at 0.85 four in ten thousand. Keys are made for a few
+segments at a time, which bounds the shuffle. Pairs further apart than a quarter of all bits are dropped, and the rest is
+compared shingle by shingle. A bucket is linked to its smallest member first. While members of a bucket are in different
 components, four more of them, of its rarest components, meet all members of other components and leave it. A group
 of near copies is then one component, whichever member came first. What is still in different components really is
 apart, yet shares a bucket: those sets meet each other, and sizes and SimHashes decide within the join.
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -24,13 +27,13 @@ from .common import (LOWER, WHITE, blocks, byte_table, components, discard, mix,
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, PER_BAND = 24, 4
-LANES = 4                             # SimHash bits / 64
-FAR = 66                              # of 256 bits; 39 are expected at a similarity of 0.8, with a deviation of 6
+SEGMENTS, BITS = 36, 28               # of the SimHash
+AT_ONCE = 3                           # segments whose keys are shuffled together
+LANES = -(-SEGMENTS * BITS // 64)
+FAR = SEGMENTS * BITS // 4            # 153 are expected at a similarity of 0.8, 189 for sets of four and five shingles
 FEW = 4
 CHUNK = 4096
 WORD = byte_table(21)
-_odd = mix(np.arange(1, BANDS * PER_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _lane = mix(np.arange(101, 101 + LANES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -44,38 +47,31 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.
         yield np.unique(hashes[a:b - width + 1]) if b - a >= width else window_hashes(values[a:b], max(1, b - a))
 
 
-def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and SimHash of a set of shingle hashes."""
-    least = np.full(BANDS * PER_BAND, np.iinfo(np.uint64).max, np.uint64)
+def sketch(found: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingle hashes, one number for each segment."""
     counts = np.zeros(64 * LANES, np.int64)
     for k in range(0, len(found), CHUNK):
-        part = found[k:k + CHUNK, None]
-        least = np.minimum(least, (part * _odd).min(axis=0))
-        bits = np.unpackbits(mix(part ^ _lane).view(np.uint8), axis=1, bitorder="little")
+        bits = np.unpackbits(mix(found[k:k + CHUNK, None] ^ _lane).view(np.uint8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, PER_BAND).T:
-        keys = mix((keys ^ column) * np.uint64(0x9E3779B97F4A7C15))
-    return keys, np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)
+    return (2 * counts > len(found))[:SEGMENTS * BITS].reshape(SEGMENTS, BITS) @ (1 << np.arange(BITS))
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
+def _lists(values: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)).cast(kind))
 
 
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in blocks(batches):
-            names, sizes, keys, prints = [], [], [], []
+            names, sizes, prints = [], [], []
             for found in shingle_sets(data, offs, width):
                 names.append(blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
-                for out, value in zip((keys, prints), sketch(found)):
-                    out.append(value)
+                prints.append(sketch(found))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()),
-                                              _lists(keys), _lists(prints)], ["row", "set", "size", "keys", "print"])
+                                              _lists(prints, pa.int32())], ["row", "set", "size", "print"])
     return run
 
 
@@ -87,16 +83,15 @@ def _sets(width: int):
 
 
 def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Settled: uid, row (all columns of docs), set (128-bit name of its shingle set), size of the set, keys and print."""
-    longs = T.ArrayType(T.LongType())
+    """Settled: uid, row (all columns of docs), set (128-bit name of its shingle set), size of the set and print."""
     return settle(packed(docs).mapInArrow(_sketches(width), with_row(
-        docs, ("set", T.BinaryType()), ("size", T.LongType()), ("keys", longs), ("print", longs)))
+        docs, ("set", T.BinaryType()), ("size", T.LongType()), ("print", T.ArrayType(T.IntegerType()))))
         .withColumn("uid", F.monotonically_increasing_id()))
 
 
 def _apart(a: str, b: str) -> Column:
     """Differing bits of two prints."""
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LANES)), F.lit(0))
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SEGMENTS)), F.lit(0))
 
 
 def _sizes(a: str, b: str, percent: int) -> Column:
@@ -137,6 +132,22 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def buckets(classes: DataFrame) -> list[DataFrame]:
+    """Settled: of classes (id, print), key, id and lead, the smallest id of the key, of all ids but the leads that share
+    a key with another. A key is a variant of a segment, so each pair within one bit in some segment shares one."""
+    out, one = [], F.lit(1).cast("long")
+    for first in range(0, SEGMENTS, AT_ONCE):
+        cut = classes.select("id", F.posexplode(F.slice("print", first + 1, AT_ONCE)).alias("k", "bits"))
+        tried = cut.select("id", "k", F.col("bits").cast("long").alias("bits"), F.explode(F.lit(list(range(-1, BITS)))).alias("i"))
+        variant = F.when(F.col("i") < 0, F.col("bits")).when(
+            F.getbit("bits", F.greatest("i", F.lit(0))) == 1, F.col("bits") - F.call_function("shiftleft", one, F.col("i")))
+        held = tried.select(((F.col("k") + first).cast("long") * (1 << BITS) + variant).alias("key"), "id").filter("key IS NOT NULL")
+        leads = settle(held.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead"))
+        out.append(settle(held.join(leads, "key").filter("id <> lead").select("key", "id", "lead")))
+        discard(leads)
+    return out
+
+
 def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """As `_groups`; of the tables settled on the way only the result stays."""
     with settled_tables() as used:
@@ -145,27 +156,31 @@ def similar_groups(rows: DataFrame, width: int = WIDTH, similarity: float = SIMI
     return out
 
 
+def _different(marked: DataFrame) -> DataFrame:
+    """The keys with members of several labels, one key for all that have the same members."""
+    name = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    found = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), *name)
+    return found.filter("low < high").groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+
+
 def _groups(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of sketched rows: uid and label, the same for all sets that links of the similarity or more reach, settled.
 
     A set is compared by the text of one row that has it. Equal sets are one node; an empty table gives no labels."""
     percent = round(100 * similarity)
     texts = rows.select("uid", F.col("row.text").alias("text"))
-    named = F.first(F.struct("uid", "size", "keys", "print")).alias("c")
+    named = F.first(F.struct("uid", "size", "print")).alias("c")
     classes = settle(rows.groupBy("set").agg(named).select("set", "c.*").withColumn("id", F.monotonically_increasing_id()))
-    held = classes.select(F.explode("keys").alias("key"), "id")
-    leads = settle(held.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead"))
-    members = settle(held.join(leads, "key"))
-    discard(leads)
-    star = _alike(texts, classes, members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(),
-                  width, percent)
+    tables = buckets(classes)
+    members = functools.reduce(DataFrame.union, tables)
+    star = _alike(texts, classes, members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), width, percent)
     labels = settle(components(star).toDF("id", "label"))
-    left = settle(members.filter("id <> lead").select("key", "id").join(classes.select("id", "size", "print"), "id"))
-    discard(star, members)
+    left = settle(members.select("key", "id"))
+    discard(star, *tables)
     for few in (FEW, None):
         marked = left.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        parted = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        open_ = settle(marked.join(parted, "key", "left_semi"))
+        parted = _different(marked)
+        open_ = settle(marked.join(parted, "key", "left_semi").join(classes.select("id", "size", "print"), "id"))
         discard(left)
         if open_.isEmpty():
             break
@@ -182,7 +197,7 @@ def _groups(rows: DataFrame, width: int, similarity: float) -> DataFrame:
         links = _alike(texts, classes, pairs, width, percent)
         if not links.isEmpty():
             labels = _relabelled(labels, links)
-        left = settle(open_.join(turn.select("key", "id"), ["key", "id"], "left_anti").drop("label"))
+        left = settle(open_.join(turn.select("key", "id"), ["key", "id"], "left_anti").select("key", "id"))
         discard(open_, links)
     known = classes.select("set", "id").join(labels, "id", "left").select("set", F.coalesce("label", "id").alias("label"))
     return settle(rows.select("uid", "set").join(known, "set").select("uid", "label"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldledger.llm import pieces as P
+from fieldledger.llm import similar as M
 from fieldledger.llm import simhash as S
 from fieldledger.llm import suffix as X
 from fieldledger.llm.decontaminate import contamination, keep_uncontaminated, winnow
@@ -201,6 +202,25 @@ def test_fingerprint_does_not_depend_on_pieces(monkeypatch):
     assert fingerprint(text) == whole
 
 
+def test_pairs_meet_by_wildcard_variants_of_simhash_segments(spark):
+    """A pair shares a bucket where a segment of its SimHashes differs by a bit at most, and by no other way."""
+    rng = random.Random(31)
+    base = [rng.getrandbits(M.BITS) for _ in range(M.SEGMENTS)]
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(M.BITS), n))
+    apart = [flip(v, 9) for v in base]
+    prints = [base, [flip(v, 1 if k == 5 else 9) for k, v in enumerate(base)],
+              [v if k == 20 else flip(v, 9) for k, v in enumerate(base)], apart, apart]
+    classes = spark.createDataFrame([(k, p) for k, p in enumerate(prints)], "id long, print array<int>")
+    found = {(r.lead, r.id, r.key >> M.BITS) for t in M.buckets(classes) for r in t.collect()}
+    assert {f for f in found if f[0] == 0} == {(0, 1, 5), (0, 2, 20)}
+    assert {f for f in found if f[0] == 3} == {(3, 4, k) for k in range(M.SEGMENTS)} and all(f[0] in (0, 3) for f in found)
+    words = [f"w{rng.randrange(900)}" for _ in range(400)]
+    other = [*words[:200], "x", *words[201:]]
+    one, two = (M.sketch(next(M.shingle_sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 5)))
+                for t in (" ".join(w).encode() for w in (words, other)))
+    assert 0 < sum(int(a ^ b).bit_count() for a, b in zip(one, two)) < M.FAR
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_links_lose_no_pair(spark, distance):
     rng = random.Random(distance)
