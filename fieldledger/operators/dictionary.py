@@ -1,8 +1,8 @@
 """An inverted dictionary of phrases: surface forms found in texts by joins, not by patterns tried one by one.
 
-A text is a row of words (letters and digits) with separators between them. Every run of words as long as the longest
-form, written together without its separators, is looked up in a table of forms keyed the same way; only the pairs that
-meet are compared as written. Work grows with the texts, not with texts times forms, and the table of forms is joined
+A text is a row of words (letters and digits) with separators between them. At each word that can open a form, every run
+of words as long as the longest form, written together without its separators, is looked up in a table of forms keyed the
+same way; only the pairs that meet are compared as written. Work grows with the texts, not with texts times forms, and the table of forms is joined
 by whatever means its size allows.
 """
 from __future__ import annotations
@@ -35,22 +35,31 @@ def longest(index: DataFrame) -> int:
     return index.agg(F.max("n_words")).first()[0] or 0
 
 
+def openings(index: DataFrame) -> DataFrame:
+    """word: all that the first word of a form can be in a text, where words of the form may be written together."""
+    words = F.regexp_extract_all(F.lower("form"), F.lit(WORD), F.lit(0))
+    joined = F.transform("_words", lambda w, i: F.array_join(F.slice("_words", F.lit(1), i + 1), ""))
+    return index.select("key", words.alias("_words")).select(
+        F.explode(F.array_append(joined, F.col("key"))).alias("word")).distinct()
+
+
 def find_forms(texts: DataFrame, index: DataFrame, widest: int, text: str = "_text") -> DataFrame:
     """Every place of every form in normalised texts: the other columns of texts and of the index, at (number of the
     first word) and raw (as written). Null and empty texts and an empty index give nothing."""
     keep = [c for c in texts.columns if c != text]
-    cut = texts.withColumn("_chunks", F.regexp_extract_all(text, F.lit(f"{WORD}[^a-z0-9]*"), F.lit(0)))
-    cut = cut.where(F.size("_chunks") > 0).withColumn(
-        "_words", F.transform("_chunks", lambda c: F.regexp_replace(c, NOT_WORD, "")))
-    n = F.size("_words")
-
-    def spans(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(max(1, widest)), n - i + 1)), lambda k: F.struct(
-            i.alias("at"), F.array_join(F.slice("_words", i, k), "").alias("key"),
-            F.concat(F.array_join(F.slice("_chunks", i, k - 1), ""), F.get("_words", i + k - 2)).alias("raw")))
-
-    rows = cut.select(*keep, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), spans))).alias("_s"))
-    met = rows.select(*keep, "_s.*").join(index, "key")
+    wide = F.lit(max(1, widest))
+    cut = texts.select(*keep, F.regexp_extract_all(text, F.lit(f"{WORD}[^a-z0-9]*"), F.lit(0)).alias("_chunks"),
+                       F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
+    near = F.transform("_words", lambda w, i: F.struct(
+        (i + 1).alias("at"), w.alias("word"), F.slice("_words", i + 1, wide).alias("words"), F.slice("_chunks", i + 1, wide).alias("chunks")))
+    opened = cut.select(*keep, F.explode(near).alias("_o")).select(*keep, "_o.*").withColumnsRenamed(
+        {"word": "_word", "words": "_near", "chunks": "_chunks"})
+    opened = opened.join(openings(index).withColumnRenamed("word", "_word"), "_word", "left_semi")
+    spans = F.transform("_near", lambda w, i: F.struct(
+        F.array_join(F.slice("_near", F.lit(1), i + 1), "").alias("key"),
+        F.concat(F.array_join(F.slice("_chunks", F.lit(1), i), ""), w).alias("raw")))
+    rows = opened.select(*keep, "at", F.explode(spans).alias("_s"))
+    met = rows.select(*keep, "at", "_s.*").join(index, "key")
     return met.where(F.regexp_like("raw", F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")))).drop("key", "pattern", "n_words")
 
 

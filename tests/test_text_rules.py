@@ -188,6 +188,16 @@ def test_dictionary_is_the_patterns_one_by_one(spark):
         assert scanned.get(k, {}) == want
 
 
+def test_forms_are_looked_up_only_at_words_that_can_open_one(spark):
+    from fieldledger.operators import dictionary as D
+    index = D.form_index(spark.createDataFrame([("the of",), ("o'neil rod",)], "form string"))
+    assert {r.word for r in D.openings(index).collect()} == {
+        "the", "theof", "theofs", "o", "oneil", "oneilrod", "oneilrods"}
+    texts = spark.createDataFrame([(1, "a the-ofs b theof c o'neil  rods the"), (2, "nothing here"), (3, ""), (4, None)], "obs_id int, _text string")
+    found = D.find_forms(texts, index, 3).select("obs_id", "form", "at", "raw").collect()
+    assert {tuple(r) for r in found} == {(1, "the of", 2, "the-ofs"), (1, "the of", 5, "theof"), (1, "o'neil rod", 7, "o'neil  rods")}
+
+
 def test_hundred_thousand_forms(spark):
     from fieldledger.operators.dictionary import scan_forms
     k = F.col("id")
