@@ -1,6 +1,8 @@
 """Text rules as column expressions. Whole texts, JVM-side, no row-wise Python."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import vocabulary as V
@@ -15,12 +17,17 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) for every match, zero-based. Start positions come
     from the lengths of the pieces between the matches."""
-    pieces, hits = F.split(text, pattern, -1), every(text, pattern)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, m: F.struct(
-        F.length(p).alias("gap"), m.alias("text")))
+    pieces = F.split(text, pattern, -1)
+    steps = bound(every(text, pattern), lambda hits: F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, m: F.struct(
+        F.length(p).alias("gap"), m.alias("text"))))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
     folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), lambda acc, s: F.struct(
         (acc["at"] + s["gap"] + F.length(s["text"])).alias("at"),
@@ -56,18 +63,17 @@ def species_pairs(raw: Column) -> Column:
     pairs = F.filter(F.zip_with(counts, tokens, lambda n, t: F.struct(
         canonical(t).alias("species"), n.try_cast("bigint").alias("n"))),
         lambda p: p["n"].between(1, V.MAX_COUNT))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["species"]))
-    summed = F.transform(names, lambda name: F.struct(name.alias("species"), F.aggregate(
-        F.filter(pairs, lambda p: p["species"] == name), F.lit(0).cast("bigint"), lambda a, p: a + p["n"]).alias("n")))
+    summed = bound(pairs, lambda pairs: F.transform(
+        F.array_distinct(F.transform(pairs, lambda p: p["species"])), lambda name: F.struct(name.alias("species"), F.aggregate(
+            F.filter(pairs, lambda p: p["species"] == name), F.lit(0).cast("bigint"), lambda a, p: a + p["n"]).alias("n"))))
     return F.array_sort(summed, lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).otherwise(0))
 
 
 def count_total(raw: Column, species: Column | None = None) -> Column:
     """First whole number that is not a size, else the sum of the species pairs."""
     s = F.trim(raw)
-    sizes = match_spans(s, V.SIZE)
-    numbers = F.filter(match_spans(s, V.NUMBER), lambda m: ~F.exists(
-        sizes, lambda z: (z["start"] <= m["start"]) & (m["start"] < z["end"])))
+    numbers = bound(match_spans(s, V.SIZE), lambda sizes: F.filter(match_spans(s, V.NUMBER), lambda m: ~F.exists(
+        sizes, lambda z: (z["start"] <= m["start"]) & (m["start"] < z["end"]))))
     values = F.filter(F.transform(numbers, lambda m: parse_decimal(m["text"])),
                       lambda v: (v == F.floor(v)) & v.between(0, V.MAX_COUNT))
     first = F.get(values, F.lit(0)).cast("bigint")
@@ -140,8 +146,9 @@ def depth_range(body: Column) -> Column:
         a.try_cast("double").alias("a"),
         F.coalesce(F.nullif(b, F.lit("")).try_cast("double"), a.try_cast("double")).alias("b")))
     kept = F.filter(pairs, lambda p: ok(p["a"]) & ok(p["b"]))
-    return F.struct(F.array_min(F.transform(kept, lambda p: F.least(p["a"], p["b"]))).alias("lo"),
-                    F.array_max(F.transform(kept, lambda p: F.greatest(p["a"], p["b"]))).alias("hi"))
+    return bound(kept, lambda kept: F.struct(
+        F.array_min(F.transform(kept, lambda p: F.least(p["a"], p["b"]))).alias("lo"),
+        F.array_max(F.transform(kept, lambda p: F.greatest(p["a"], p["b"]))).alias("hi")))
 
 
 def bite_window(body: Column) -> Column:
@@ -154,10 +161,12 @@ def blank_flag(body: Column, total: Column) -> Column:
 
 def density_near(body: Column, pattern: str) -> Column:
     """Density word close to the first match of a pattern."""
-    at = F.length(F.get(F.split(body, pattern, 2), F.lit(0)))
-    end = at + F.length(F.regexp_extract(body, pattern, 0))
-    start = F.greatest(F.lit(0), at - V.DENSITY_BEFORE)
-    return first_class(F.substr(body, start + 1, end + V.DENSITY_AFTER - start), V.DENSITY)
+    def near(at: Column) -> Column:
+        end = at + F.length(F.regexp_extract(body, pattern, 0))
+        start = F.greatest(F.lit(0), at - V.DENSITY_BEFORE)
+        return F.substr(body, start + 1, end + V.DENSITY_AFTER - start)
+    window = bound(F.length(F.get(F.split(body, pattern, 2), F.lit(0))), near)
+    return bound(window, lambda text: first_class(text, V.DENSITY))
 
 
 def vocab_tags(body: Column, vocabulary: dict[str, list[tuple[str, str]]], dense: tuple = ("vegetation",)) -> Column:
