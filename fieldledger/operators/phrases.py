@@ -1,6 +1,8 @@
 """Distinctive phrases per unit: document frequencies against the whole archive."""
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,14 +19,16 @@ def stop_words(spark: SparkSession, extra: list[str] = ()) -> list[str]:
 
 
 def word_array(text: Column, stop: list[str]) -> Column:
-    """Lower-case words of three letters and more, without stop words and numbers."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9']+", " ")), " ")
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.rlike(r"\d") & ~w.isin(list(stop)))
+    """Lower-case words of three letters and more, without stop words and numbers. One pattern reads them all, so
+    that no word is looked at by itself."""
+    end = "(?![a-z0-9'])"
+    empty = f"(?!(?:{'|'.join(map(re.escape, stop))}){end})" if stop else ""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z0-9']){empty}[a-z']{{3,}}+{end}"), F.lit(0))
 
 
 def blocked_tokens(names: DataFrame, columns: list[str], camel: bool = True) -> DataFrame:
-    """Name parts longer than two letters; camel case also split."""
-    sources = []
+    """Name parts longer than two letters; camel case also split. Names that stand in many rows are cut once."""
+    names, sources = names.select(*columns).distinct(), []
     for c in columns:
         value = F.coalesce(F.col(c), F.lit(""))
         sources.append(value)
@@ -41,12 +45,13 @@ def kept_words(docs: DataFrame, stop: list[str], blocked: DataFrame) -> DataFram
 
     Words stay in their row. Only the names that occur leave it: the distinct words of a document meet the
     blocked names by a semi-join, which Spark broadcasts when they are small and splits when a word is hot.
-    Rows with the same obs_id lose the names of all of them.
+    Rows with the same obs_id lose the names of all of them. Words and names are settled: both are read once more,
+    and Spark then knows whether the names are few enough to be sent to the rows.
     """
-    rows = docs.where(F.col("body").isNotNull() & F.col("unit").isNotNull()).select(
-        "obs_id", "unit", word_array(F.col("body"), stop).alias("words"))
-    names = (rows.select("obs_id", F.explode(F.array_distinct("words")).alias("token")).join(blocked, "token", "left_semi")
-             .groupBy("obs_id").agg(F.collect_set("token").alias("names")))
+    rows = settle(docs.where(F.col("body").isNotNull() & F.col("unit").isNotNull()).select(
+        "obs_id", "unit", word_array(F.col("body"), stop).alias("words")))
+    names = settle(rows.select("obs_id", F.explode(F.array_distinct("words")).alias("token")).join(blocked, "token", "left_semi")
+                   .groupBy("obs_id").agg(F.collect_set("token").alias("names")))
     left = F.filter("words", lambda w: ~F.array_contains("names", w))
     return rows.join(names, "obs_id", "left").select(
         "obs_id", "unit", F.when(F.col("names").isNull(), F.col("words")).otherwise(left).alias("words"))
@@ -81,13 +86,15 @@ def frequent_phrases(sets: DataFrame, min_df: int = MIN_DF, min_share: float = M
     Phrases are first counted by hash bucket, at most BUCKETS numbers for each unit and task. A bucket counts
     at least as much as each of its phrases, so those below the gates hold no phrase that passes, and only
     phrases of the other buckets are counted by name. How many buckets pass depends on the distinct phrases
-    of an average document, not on the number of documents.
+    of an average document, not on the number of documents; they are settled, so that Spark knows their size
+    before it deals out the phrases.
     """
     sizes = sets.groupBy("unit").agg(F.count("*").alias("n"))
     gates = lambda c: (c >= min_df) & (c / F.col("n") >= min_share)
     rows = _occurrences(sets).withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)).cast("int"))
-    full = rows.groupBy("unit", "bucket").agg(F.count("*").alias("c")).join(sizes, "unit").where(gates(F.col("c")))
-    counts = rows.join(full.select("unit", "bucket"), ["unit", "bucket"], "left_semi").groupBy("unit", "phrase").agg(F.count("*").alias("df"))
+    full = settle(rows.groupBy("unit", "bucket").agg(F.count("*").alias("c")).join(sizes, "unit").where(gates(F.col("c")))
+                  .select("unit", "bucket"))
+    counts = rows.join(full, ["unit", "bucket"], "left_semi").groupBy("unit", "phrase").agg(F.count("*").alias("df"))
     return counts.join(sizes, "unit").where(gates(F.col("df")))
 
 

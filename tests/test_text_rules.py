@@ -362,6 +362,19 @@ def test_phrases_are_built_without_a_shuffle_of_words(spark):
     assert "Exchange" not in plan
 
 
+def test_words_are_read_once_and_stay_in_their_row(spark):
+    """Words are whole runs of the alphabet, found once; few names and few full buckets go to the rows, which are not dealt by key."""
+    texts = ["The theme, the 'the' a1b abc12 12abc it's x_yz-THE", "", None, "ÉKey reef's ab abc", "the"]
+    docs = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "obs_id long, unit string, body string")
+    words = P.kept_words(docs, ["the", "x.z"], spark.createDataFrame([("yz",), ("abc",)], "token string"))
+    assert {r.obs_id: r.words for r in words.collect()} == {0: ["theme", "'the'", "it's"], 1: [], 3: ["key", "reef's"], 4: []}
+    assert {r.obs_id: r.w for r in docs.select("obs_id", P.word_array(F.col("body"), []).alias("w")).collect()}[4] == ["the"]
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "SortMergeJoin" not in plan
+    plan = P.frequent_phrases(P.phrase_sets(words), 1, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and all("Broadcast" in row for row in plan.splitlines() if "LeftSemi" in row)
+
+
 def test_snippets_cut_long_texts_in_one_pass(spark):
     """A text of a million characters without an end of a sentence, and ends that follow one another."""
     import time
