@@ -1,10 +1,11 @@
 """Near-duplicates by the similarity of their word shingles: one-wildcard variants of a wide SimHash, then the sets.
 
-At a similarity of 0.8 two SimHashes differ in some 15 % of their bits, so 64 bits are too few. 1,008 bits of the shingle
-set are cut into 36 segments of 28. Each segment is a key as it is and with each of its set bits cleared: segments with at
-most one bit set in one only, and at most one in the other only, share a key. Of pairs at 0.8 that is 12 % for a segment,
-so that about one pair in a hundred shares no key, and at 0.85 four in ten thousand. Keys are made for a few
-segments at a time, which bounds the shuffle. Pairs further apart than a quarter of all bits are dropped, and the rest is
+At a similarity of 0.8 two SimHashes differ in some 15 % of their bits, so 64 bits are too few. 1,550 bits of the shingle
+set are cut into 50 segments of 31. Each segment is a key as it is and with each of its set bits cleared: segments with at
+most one bit set in one only, and at most one in the other only, share a key. Of pairs at 0.8 about one in a hundred or
+fewer shares no key. Unrelated sets share one by chance, pairs times segments times 16.5 squared over 2 to the 31st,
+which is what the width of a segment holds down. Sets too small to be alike to any other have no keys. Keys are made
+for a few segments at a time, which bounds the shuffle. Pairs further apart than a quarter of all bits are dropped, and the rest is
 compared shingle by shingle. A bucket is linked to its smallest member first. While members of a bucket are in different
 components, four more of them, of its rarest components, meet all members of other components and leave it. A group
 of near copies is then one component, whichever member came first. What is still in different components really is
@@ -27,10 +28,10 @@ from .common import (LOWER, WHITE, blocks, byte_table, components, discard, mix,
 
 WIDTH = 5
 SIMILARITY = 0.8
-SEGMENTS, BITS = 36, 28               # of the SimHash
+SEGMENTS, BITS = 50, 31               # of the SimHash
 AT_ONCE = 3                           # segments whose keys are shuffled together
 LANES = -(-SEGMENTS * BITS // 64)
-FAR = SEGMENTS * BITS // 4            # 153 are expected at a similarity of 0.8, 189 for sets of four and five shingles
+FAR = SEGMENTS * BITS // 4            # 15 % are expected at a similarity of 0.8, 19 % for sets of four and five shingles
 FEW = 4
 CHUNK = 4096
 WORD = byte_table(21)
@@ -171,7 +172,7 @@ def _groups(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     texts = rows.select("uid", F.col("row.text").alias("text"))
     named = F.first(F.struct("uid", "size", "print")).alias("c")
     classes = settle(rows.groupBy("set").agg(named).select("set", "c.*").withColumn("id", F.monotonically_increasing_id()))
-    tables = buckets(classes)
+    tables = buckets(classes.filter(F.col("size") * 100 >= percent * (F.col("size") + 1)))    # n of n + 1 shingles is the most
     members = functools.reduce(DataFrame.union, tables)
     star = _alike(texts, classes, members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), width, percent)
     labels = settle(components(star).toDF("id", "label"))
