@@ -293,3 +293,35 @@ def test_ranks_of_any_group(spark):
     numbered = K.row_number_by(one, ["k"], [F.col("v")], [F.col("id")], "n")
     assert numbered.where(F.col("n") != F.col("id") + 1).count() == 0 and numbered.count() == 40_000
     assert K.row_number_by(one.limit(0), ["k"], [F.col("v")], [], "n").count() == 0
+
+
+def test_shared_facts_are_made_once(spark):
+    from fieldledger.plans import testbed as T
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(1, None), (2, 2.5)], "obs_id long, rate double")
+    with T.shared_facts():
+        first = T.once("fact", "a", make)
+        with T.shared_facts():
+            assert T.once("fact", "a", make) is first
+        T.once("fact", "b", make)
+    assert len(made) == 2 and sorted(map(tuple, first.collect()), key=str) == [(1, None), (2, 2.5)]
+    T.once("fact", "a", make)
+    assert len(made) == 3
+
+
+def test_halves_read_their_input_once(spark):
+    """A costly input is settled before its ranges are sampled, dealt and counted."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(k, "u", k % 7) for k in range(40)], "obs_id long, unit string, day int").coalesce(1)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    got = E.half_split(rows.mapInArrow(count, rows.schema), ["unit"], "day").collect()
+    assert seen.value == 40
+    early = {r["obs_id"] for r in got if r["half"] == "early"}
+    assert early == set(sorted(range(40), key=lambda k: (k % 7, k))[:20])
