@@ -72,6 +72,19 @@ def test_numbers_tell_what_is_inside():
     assert [(n[0], n[2], n[3], n[4]) for n in nodes] == [("ul", 0, 0, 2), ("p", 2, 1, 1), ("p", 2, 2, 2), ("p", 0, 3, 3)]
 
 
+def test_tags_are_remembered_within_bounds():
+    from fieldledger.functions import markup
+    reader = markup.Reader([".a"], ["p"])
+    long = f'<p title="{"x" * 5000}">'
+    page = '<div class="a"><p>one</p></div>' * 3 + "<!-- <p> -->" + long + "two"
+    once, again = reader.read(page), reader.read(page)
+    assert once == again and [n[6] for n in once[0]] == [None, "one"] * 3 + ["two"]
+    assert set(reader.known) == {'<div class="a">', "<p>", "</p>", "</div>", "<!-- <p> -->"}
+    for k in range(markup.KNOWN + 5):
+        reader.read(f"<i id={k}>")
+    assert len(reader.known) <= markup.KNOWN
+
+
 def test_large_and_hostile_pages(spark):
     import time
     million = "<p>" + "word &amp; <b>more</b> " * 45_000
