@@ -29,7 +29,7 @@ from .common import (LOWER, WHITE, blocks, byte_table, components, discard, mix,
 WIDTH = 5
 SIMILARITY = 0.8
 SEGMENTS, BITS = 50, 31               # of the SimHash
-AT_ONCE = 3                           # segments whose keys are shuffled together
+AT_ONCE = 2                           # segments whose keys are shuffled together
 LANES = -(-SEGMENTS * BITS // 64)
 FAR = SEGMENTS * BITS // 4            # 15 % are expected at a similarity of 0.8, 19 % for sets of four and five shingles
 FEW = 4
