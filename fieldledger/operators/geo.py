@@ -102,46 +102,60 @@ def settled_anchors(units: DataFrame) -> DataFrame:
 
 
 def nearest_anchor(points: DataFrame, anchors: DataFrame, keys: list[str], finest: float = ANCHOR_CELL,
-                   levels: int = 4, fan: int = 8) -> DataFrame:
+                   levels: int = 6, fan: int = 4) -> DataFrame:
     """Exact distance of each point to its nearest anchor, without pairing all of them.
 
-    Distinct anchor positions lie in a pyramid of cells, each level `fan` times as wide as the one below; a cell that
-    holds an anchor names one of them. A point starts with the occupied cells of the top level and goes down level by
-    level, by equality of cells: the named anchors bound its distance from above, and a cell whose nearest edge is
-    beyond the bound is left out with all that lies below it. Only what is left at the finest level is compared with
-    every anchor of the cell. Longitudes do not wrap. Points without a position and an empty set of anchors give no row.
+    Points and distinct anchor positions lie in pyramids of cells, each level `fan` times as wide as the one below; a
+    cell knows the box around what it holds, and one of its anchors. Cells of points go down together, level by level,
+    by equality of cells: the named anchors bound the distance from above for the whole box, and an anchor cell whose box
+    is beyond the bound is left out with all that lies below it. Points that lie close share these steps; only what is
+    left at the finest level is compared point by point with every anchor of the cell. Points without a position (null,
+    NaN, infinite) and an empty set of anchors give no row.
     """
-    floor_of = lambda c, k: F.floor(F.col(c) / (finest * fan ** k)).cast("long")
-    spots = settle(anchors.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        F.col("lat").alias("alat"), F.col("lon").alias("alon")).dropDuplicates())           # read by every level
-    lat, lon = F.col("lat"), F.col("lon")
-
-    def cells(k: int, a: str = "ca", o: str = "co") -> DataFrame:
-        """Occupied cells of a level, with an anchor in each and the cell above."""
-        return (spots.groupBy(floor_of("alat", k).alias(a), floor_of("alon", k).alias(o))
-                .agg(F.min(F.struct("alat", "alon")).alias("rep"))
-                .withColumns({"pa": F.floor(F.col(a) / fan).cast("long"), "po": F.floor(F.col(o) / fan).cast("long")}))
-
-    def at_least(k: int) -> Column:
-        """Lower bound of the distance to anything inside the cell."""
-        size = finest * fan ** k
-        north = F.greatest(F.col("ca") * size - lat, lat - (F.col("ca") + 1) * size, F.lit(0.0))
-        east = F.greatest(F.col("co") * size - lon, lon - (F.col("co") + 1) * size, F.lit(0.0))
-        return EARTH_MILES * F.greatest(F.radians(north), F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(east, F.lit(90.0))))))
-
+    lat, lon, far = F.col("lat"), F.col("lon"), F.lit(float("inf"))
+    cell = lambda c: F.floor(F.col(c) / finest).cast("long")                                # noqa: E731
+    has = lambda c: F.abs(F.col(c)) < far                                                   # noqa: E731
+    spots = settle(anchors.where(has("lat") & has("lon")).select(lat.alias("alat"), lon.alias("alon")).dropDuplicates()
+                   .select("*", cell("alat").alias("pa"), cell("alon").alias("po")))        # read by every level
+    placed = settle(points.where(has("lat") & has("lon")).select(*keys, "lat", "lon", cell("lat").alias("qa"), cell("lon").alias("qo")))
+
+    def boxes(rows: DataFrame, a: str, o: str, y: str, x: str, side: str) -> DataFrame:
+        """Occupied cells of the finest level with the box around their positions, and one of these."""
+        return settle(rows.groupBy(F.col(a).alias(f"{side}a"), F.col(o).alias(f"{side}o")).agg(
+            F.min(y).alias(f"{side}s"), F.max(y).alias(f"{side}n"), F.min(x).alias(f"{side}w"), F.max(x).alias(f"{side}e"),
+            F.min(F.struct(F.col(y).alias("y"), F.col(x).alias("x"))).alias(f"{side}rep")))
+
+    def level(cells: DataFrame, k: int, side: str) -> DataFrame:
+        """The cells of a level, and the cell above each."""
+        up = lambda c, n: F.floor(F.col(c) / fan ** n).cast("long")                         # noqa: E731
+        a, o, fold = f"{side}a", f"{side}o", [F.min(f"{side}s"), F.max(f"{side}n"), F.min(f"{side}w"), F.max(f"{side}e"), F.min(f"{side}rep")]
+        out = cells if not k else cells.groupBy(up(a, k).alias(a), up(o, k).alias(o)).agg(
+            *[f.alias(f"{side}{name}") for f, name in zip(fold, ("s", "n", "w", "e", "rep"))])
+        return out.withColumns({f"{side}pa": up(a, 1), f"{side}po": up(o, 1)})
+
+    mid_lat, mid_lon = (F.col("qs") + F.col("qn")) / 2, (F.col("qw") + F.col("qe")) / 2
+    radius = EARTH_MILES * F.radians(F.sqrt(F.pow(F.col("qn") - F.col("qs"), F.lit(2)) + F.pow(F.col("qe") - F.col("qw"), F.lit(2))) / 2)
+    at_most = haversine_miles(mid_lat, mid_lon, F.col("crep.y"), F.col("crep.x")) + radius
+    north = F.greatest(F.col("cs") - F.col("qn"), F.col("qs") - F.col("cn"), F.lit(0.0))
+    around_back = 360 - (F.greatest("ce", "qe") - F.least("cw", "qw"))
+    east = F.greatest(F.least(F.greatest(F.col("cw") - F.col("qe"), F.col("qw") - F.col("ce")), around_back), F.lit(0.0))
+    steepest = F.cos(F.radians(F.least(F.greatest(F.abs("qs"), F.abs("qn")), F.lit(90.0))))
+    at_least = EARTH_MILES * F.greatest(F.radians(north), F.asin(steepest * F.sin(F.radians(F.least(east, F.lit(90.0))))))
+
+    near_points, near_spots = boxes(placed, "qa", "qo", "lat", "lon", "q"), boxes(spots, "pa", "po", "alat", "alon", "c")
     top = finest * fan ** levels
     around = lambda reach: F.explode(F.sequence(F.lit(int(-reach // top)), F.lit(int(reach // top))))
-    front = (points.where(lat.isNotNull() & lon.isNotNull()).select(*keys, "lat", "lon", around(90).alias("pa"))
-             .select("*", around(180).alias("po")).withColumn("bound", F.lit(float("inf"))))
-    point = Window.partitionBy(*keys, "lat", "lon")
+    front = (level(near_points, levels - 1, "q").select("qpa", "qpo").dropDuplicates()
+             .select("*", around(90).alias("cpa")).select("*", around(180).alias("cpo")))
     for k in range(levels - 1, -1, -1):
-        met = front.join(cells(k), ["pa", "po"]).drop("pa", "po")
-        here = haversine_miles(lat, lon, F.col("rep.alat"), F.col("rep.alon"))
-        met = met.withColumn("bound", F.least("bound", F.min(here).over(point))).where(at_least(k) <= F.col("bound") + 1e-6)
-        front = met.select(*keys, "lat", "lon", "bound", F.col("ca").alias("pa"), F.col("co").alias("po"))
-    last = spots.select(floor_of("alat", 0).alias("pa"), floor_of("alon", 0).alias("po"), "alat", "alon")
-    near = front.join(last, ["pa", "po"])
-    return near.groupBy(*keys).agg(F.min(haversine_miles(lat, lon, F.col("alat"), F.col("alon"))).alias("near"))
+        met = (front.join(level(near_points, k, "q").drop("qrep"), ["qpa", "qpo"]).join(level(near_spots, k, "c"), ["cpa", "cpo"])
+               .select("qa", "qo", "ca", "co", at_most.alias("most"), at_least.alias("least")))
+        bound = F.min("most").over(Window.partitionBy("qa", "qo"))
+        front = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound") + 1e-3).select(
+            F.col("qa").alias("qpa"), F.col("qo").alias("qpo"), F.col("ca").alias("cpa"), F.col("co").alias("cpo"))
+    left = front.withColumnsRenamed({"qpa": "qa", "qpo": "qo", "cpa": "pa", "cpo": "po"}).join(spots, ["pa", "po"]).drop("pa", "po")
+    return placed.join(left, ["qa", "qo"]).groupBy(*keys).agg(
+        F.min(haversine_miles(lat, lon, F.col("alat"), F.col("alon"))).alias("near"))
 
 
 def geo_rank_candidates(candidates: DataFrame, anchors: DataFrame, claims: DataFrame, regions: DataFrame) -> DataFrame:

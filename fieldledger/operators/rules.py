@@ -83,6 +83,6 @@ def snippets(reports: DataFrame, unit: str = "unit", k: int = 4, useful: str | N
     rows = reports.where(F.col("body").isNotNull()).select(
         F.col(unit).alias("unit"), "obs_id", F.posexplode(sentences).alias("pos", "sentence"))
     s = F.col("sentence")
-    kept = rows.where((F.length(s) >= min_chars) & ~s.rlike(noise or V.NOISE) & s.rlike(useful or V.USEFUL))
+    kept = rows.where((F.length(s) >= min_chars) & s.rlike(useful or V.USEFUL) & ~s.rlike(noise or V.NOISE))   # few are useful
     firsts = kept.groupBy("unit", "sentence").agg(F.min(F.struct("obs_id", "pos")).alias("seen"))
     return topk_per_group(firsts, ["unit"], [F.asc("seen")], k, rank="rank").select("unit", "rank", "sentence")

@@ -209,3 +209,41 @@ def test_nearest_anchor_over_the_pyramid(spark):
     got = {r["id"]: r["near"] for r in G.nearest_anchor(df, at, ["id"]).collect()}
     assert got == {i: pytest.approx(min(miles(a, b, *x) for x in anchors), abs=1e-6) for i, a, b in points}
     assert G.nearest_anchor(df, at.limit(0), ["id"]).count() == 0
+
+
+def miles(a, b, c, d):
+    p, q = math.radians(a), math.radians(c)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * 3958.8 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def joined_rows(plan) -> int:
+    """Rows that came out of the joins of an executed plan."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return joined_rows(plan.plan())
+    below = sum(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+    return below + (plan.metrics().get("numOutputRows").get().value() if name.endswith("Join") else 0)
+
+
+def test_points_that_lie_close_go_down_the_pyramid_together(spark):
+    rng = random.Random(3)
+    anchors = [(30 + rng.random() * 3, -97 + rng.random() * 3) for _ in range(900)]
+    points = [(k, 31.501 + rng.random() / 100, -95.501 + rng.random() / 100) for k in range(300)]
+    out = G.nearest_anchor(spark.createDataFrame(points, "id int, lat double, lon double"),
+                           spark.createDataFrame(anchors, "lat double, lon double"), ["id"])
+    got = {r["id"]: r["near"] for r in out.collect()}
+    best = lambda y, x: min(miles(y, x, a, o) for a, o in anchors)
+    assert all(abs(got[k] - best(y, x)) < 1e-6 for k, y, x in points) and len(got) == 300
+    assert joined_rows(out._jdf.queryExecution().executedPlan()) < 300 * 30
+
+
+def test_nearest_anchor_across_the_date_line(spark):
+    points = [(1, 10.0, 179.9), (2, -60.0, -179.95), (3, float("nan"), 5.0), (4, None, 1.0)]
+    anchors = [(10.0, -179.9), (11.0, 170.0), (-61.0, 179.99), (80.0, 0.0)]
+    got = {r["id"]: r["near"] for r in G.nearest_anchor(spark.createDataFrame(points, "id int, lat double, lon double"),
+           spark.createDataFrame(anchors, "lat double, lon double"), ["id"]).collect()}
+    want = {k: min(miles(y, x, a, o) for a, o in anchors) for k, y, x in points[:2]}
+    assert set(got) == {1, 2} and all(abs(got[k] - want[k]) < 1e-6 for k in want)
