@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, blocks, byte_table, cover_runs, discard, distinct_texts, mix, powers, prefix_sums, settle, text_key
+from .common import LAST_ID, as_bytes, blocks, byte_table, cover_runs, discard, distinct_texts, mix, powers, prefix_sums, settle, text_key
 from .decontaminate import sliding_min
-from .substring import repeated
 
 WIDTH = 50
 GRAM = 24
 PLACE_BITS = 30
 BLOCK = 2 << 20               # segment bytes sorted at once
+SMALL = 1 << 17                # text bytes hashed at once
+PARTS = 1 << 12               # parts that anchors are dealt into, by their low bits
+MEET = 1 << 20                # anchors of whole parts compared at once
 MANY = 10_000                 # segments of one anchor beyond which its windows are compared one by one
 GRAMS, FIRST, SECOND = byte_table(101), byte_table(102), byte_table(103)
 
@@ -32,41 +34,89 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return mix((sums[ends] - sums[starts]) * powers(len(data) + 1)[1][starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """spans_hash of the `gram` bytes at every place, without gathers."""
+    sums = prefix_sums(GRAMS[data])
+    n = len(data) - gram + 1
+    return mix((sums[gram:] - sums[:n]) * powers(n)[1] + np.uint64(gram))
+
+
 def segments(data: np.ndarray, offs: np.ndarray, width: int, gram: int):
     """Of a block: row, first window, number of windows and anchor hash of every segment."""
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none, none, none, np.zeros(0, np.uint64)
-    at = np.arange(len(data) - gram + 1)
-    hashes = spans_hash(data, at, at + gram, GRAMS)
+    hashes = gram_hashes(data, gram)
     mask = np.uint64((1 << PLACE_BITS) - 1)
-    low = sliding_min((hashes & ~mask) | at.astype(np.uint64), width - gram + 1)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:len(low)]
-    valid = np.flatnonzero(np.arange(len(low)) + width <= offs[1:][row])
-    if not len(valid):
-        return none, none, none, np.zeros(0, np.uint64)
-    row, anchor = row[valid], (low[valid] & mask).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
-    return row[new], valid[new], np.diff(np.append(new, len(valid))), hashes[anchor[new]]
+    low = sliding_min((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), width - gram + 1)
+    last = offs[1:] - width                                        # last window of each row, if it has any
+    row = np.flatnonzero(last >= offs[:-1])
+    begins = np.zeros(len(low), bool)
+    begins[1:] = low[1:] != low[:-1]
+    begins[offs[:-1][row]] = True
+    start = np.flatnonzero(begins)
+    own = np.searchsorted(offs, start, "right") - 1
+    fits = start <= last[own]
+    end = np.minimum(np.append(start[1:], len(low)), last[own] + 1)[fits]
+    own, start = own[fits], start[fits]
+    return own, start, end - start, hashes[(low[start] & mask).astype(np.int64)]
 
 
 def _emit_anchors(width: int, gram: int):
+    """The anchors of the texts of a batch, each once for a text, with the texts: packed by the low bits of the anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches):
-            row, _, _, anchor = segments(data, offs, width, gram)
-            order = np.lexsort((anchor, row))
-            row, anchor = row[order], anchor[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)),
-                                              batch.column("tid").take(pa.array(row[new]))], ["anchor", "tid"])
+        for whole in batches:
+            found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for batch, data, offs in blocks(iter([whole]), SMALL):
+                row, _, _, anchor = segments(data, offs, width, gram)
+                order = np.lexsort((anchor, row))
+                row, anchor = row[order], anchor[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+                found.append((anchor[new], batch.column("tid").to_numpy()[row[new]]))
+            anchor, tid = map(np.concatenate, zip(*found))
+            part = (anchor & np.uint64(PARTS - 1)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            new = np.flatnonzero(np.diff(part, prepend=-1))
+            offsets = pa.py_buffer((np.append(new, len(part)) * 8).astype(np.int32))
+            lists = [pa.Array.from_buffers(pa.binary(), len(new), [None, offsets, pa.py_buffer(x[order])]) for x in (anchor, tid)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[new].astype(np.int32)), *lists], ["part", "anchors", "tids"])
+    return run
+
+
+def _meet(limit: int):
+    """Of whole parts, in order: the anchors that two texts have or more, with each of these texts."""
+    def solve(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        anchor, tid = map(np.concatenate, zip(*held))
+        order = np.argsort(anchor)
+        anchor = anchor[order]
+        same = anchor[1:] == anchor[:-1]
+        twice = np.append(same, False)
+        twice[1:] |= same
+        return pa.RecordBatch.from_arrays([pa.array(anchor[twice]), pa.array(tid[order[twice]])], ["anchor", "tid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, at = [], 0, None
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            lists = [as_bytes(batch.column(c)) for c in ("anchors", "tids")]
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if size >= limit and part[i] != at:
+                    yield solve(held)
+                    held, size = [], 0
+                held.append(tuple(np.frombuffer(data[offs[i]:offs[j]].tobytes(), np.int64) for data, offs in lists))
+                size, at = size + len(held[-1][0]), part[i]
+        if held:
+            yield solve(held)
     return run
 
 
 def _emit_segments(width: int, gram: int):
     """The segments whose anchor other texts have too: anchor, content hashes, place and number of windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in blocks(batches):
+        for batch, data, offs in blocks(batches, SMALL):
             row, start, windows, anchor = segments(data, offs, width, gram)
             seen = batch.column("anchors").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             k = np.flatnonzero(np.isin(anchor, seen))
@@ -121,17 +171,19 @@ def nearest_smaller(values: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """Length shared with the nearest earlier entry that has a smaller value; 0 if there is none.
 
     lcp[i] is what entries i-1 and i share. Pointers jump over entries that are not smaller, and carry the
-    least length on the way.
+    least length on the way. An entry that has arrived is not looked at again.
     """
     to = np.arange(-1, len(values) - 1)
     shared = lcp.copy()
+    on = np.arange(len(values))
     while True:
-        on = np.flatnonzero((to >= 0) & (shared > 0))
+        on = on[(to[on] >= 0) & (shared[on] > 0)]
         on = on[values[to[on]] >= values[on]]
         if not len(on):
             break
-        shared[on] = np.minimum(shared[on], shared[to[on]])
-        to[on] = to[to[on]]
+        at = to[on]
+        shared[on] = np.minimum(shared[on], shared[at])
+        to[on] = to[at]
     return np.where(to >= 0, shared, 0)
 
 
@@ -215,7 +267,7 @@ def _cut(width: int):
 
 
 def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK,
-                        many: int = MANY) -> DataFrame:
+                        many: int = MANY, meet: int = MEET) -> DataFrame:
     """Cuts every byte of a text covered by a `width`-byte string that also starts in a document of smaller doc_id.
 
     Returns for each row of docs: doc_id, n_bytes, n_removed, kept (the remaining bytes) and the removed runs
@@ -227,13 +279,13 @@ def remove_later_copies(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, b
     segments are counted one by one over the cluster, with the same result.
     """
     texts = distinct_texts(docs)
-    anchors = texts.select("tid", "text").mapInArrow(_emit_anchors(width, gram), "anchor long, tid long")
-    shared = repeated(anchors, ["anchor"])
-    twice = settle(anchors.join(shared, "anchor", "left_semi")
-                   .groupBy("tid").agg(F.collect_set("anchor").alias("anchors")))
+    anchors = texts.select("tid", "text").mapInArrow(_emit_anchors(width, gram), "part int, anchors binary, tids binary")
+    shared = (anchors.repartition("part").sortWithinPartitions("part")
+              .mapInArrow(_meet(meet), "anchor long, tid long"))
+    twice = settle(shared.groupBy("tid").agg(F.collect_list("anchor").alias("anchors")))
     found = settle(texts.select("tid", "text", "first").join(twice, "tid").mapInArrow(
         _emit_segments(width, gram), "anchor long, s1 long, s2 long, ord long, tid long, place long, windows long"))
-    discard(shared, twice)
+    discard(twice)
     leads = settle(found.groupBy("s1", "s2").agg(F.min(F.struct("ord", "tid", "place", "windows", "anchor")).alias("f"),
                                                  F.count(F.lit(1)).alias("times")).select("s1", "s2", "times", "f.*"))
     sizes = leads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,31 @@ def test_suffix_order_and_earlier_matches():
         assert best[k] == max((same(p, q) for q in range(p)), default=0)
 
 
+def test_entries_that_arrived_are_not_looked_at_again():
+    """A last entry that steps over all others by itself took time that grew with the square of their number."""
+    n = 60_000
+    values, lcp = np.append(np.arange(n), -1), np.full(n + 1, 50)
+    began = time.thread_time()
+    assert X.nearest_smaller(values, lcp).tolist() == [0] + [50] * (n - 1) + [0]
+    assert time.thread_time() - began < 3
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_packed_anchors_meet(limit):
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.choice([0, 5, 9, 60]))) for _ in range(90)] + [b"x" * 300] * 2
+    table = pa.table({"tid": pa.array(range(7, 99)), "text": pa.array([t.decode() for t in texts])})
+    packed = [b for k in range(0, 92, 23) for b in X._emit_anchors(9, 4)(iter(table.slice(k, 23).to_batches()))]
+    assert all(b.num_rows <= X.PARTS and len(set(b.column("part").to_pylist())) == b.num_rows for b in packed)
+    rows = pa.Table.from_batches(packed).sort_by("part")
+    got = [r for b in X._meet(limit)(iter(rows.to_batches(max_chunksize=11))) for r in zip(*(c.to_pylist() for c in b.columns))]
+    owners = {}
+    for k, t in enumerate(texts):
+        for a in X.segments(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 9, 4)[3].view(np.int64).tolist():
+            owners.setdefault(a, set()).add(k + 7)
+    assert sorted(got) == sorted((a, k) for a, ks in owners.items() if len(ks) > 1 for k in ks)
+
+
 def test_near_duplicates(docs, rows, none):
     def plain(text: str | None) -> int:
         w = (text or "").translate({k: k + 32 for k in range(65, 91)}).encode().split()
