@@ -85,7 +85,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         .select("a", "k.half", F.posexplode("k.bits").alias("variant", "bits"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     once = (F.col("variant") > 0) | (F.col("a") < F.col("b"))
-    return look.join(index, ["half", "bits"]).filter(near & once & (F.col("a") != F.col("b"))).select("a", "b")
+    # merged, never broadcast: Spark sizes the variants, some thirty rows a print, like the prints themselves
+    return look.join(index.hint("merge"), ["half", "bits"]).filter(near & once & (F.col("a") != F.col("b"))).select("a", "b")
 
 
 def groups(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from fieldledger.llm import pieces as P
 from fieldledger.llm import similar as M
 from fieldledger.llm import simhash as S
 from fieldledger.llm import suffix as X
+from fieldledger.llm.common import settle
 from fieldledger.llm.decontaminate import contamination, keep_uncontaminated, winnow
 from fieldledger.llm.licenses import scan, signatures
 from fieldledger.llm.lines import line_spread, remove_boilerplate
@@ -156,6 +157,14 @@ def test_packed_anchors_meet(limit):
     assert sorted(got) == sorted((a, k) for a, ks in owners.items() if len(ks) > 1 for k in ks)
 
 
+def test_variants_of_prints_are_not_broadcast(spark):
+    links = S.near_links(settle(spark.createDataFrame([(0,), (1,), (7,), (1 << 40,), (255,)], "print long")))
+    assert {frozenset(r) for r in links.collect()} == {
+        frozenset(p) for p in [(0, 1), (0, 7), (1, 7), (0, 1 << 40), (1, 1 << 40)]}
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates(docs, rows, none):
     def plain(text: str | None) -> int:
         w = (text or "").translate({k: k + 32 for k in range(65, 91)}).encode().split()
