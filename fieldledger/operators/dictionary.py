@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_text
+from ..sources.tables import settle
 
 WORD, NOT_WORD = "[a-z0-9]+", "[^a-z0-9]+"
+LARGEST = 23                   # a filter has at most two to the power of this many bits, 1 MB
 
 
 def form_pattern(form: Column) -> Column:
@@ -43,23 +45,44 @@ def openings(index: DataFrame) -> DataFrame:
         F.explode(F.array_append(joined, F.col("key"))).alias("word")).distinct()
 
 
+def bits_of(rows: DataFrame, column: str) -> DataFrame:
+    """One row, bits: a filter of the values of a settled table, as longs of which each value sets a bit. Values outside
+    pass at the share of bits set, at most a sixteenth below the LARGEST size; none of the values inside is missed."""
+    size = min(LARGEST, max(10, (16 * rows.count()).bit_length()))
+    place = F.xxhash64(column).bitwiseAND(F.lit((1 << size) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = rows.groupBy(F.shiftright(place, 6).alias("id")).agg(F.bit_or(bit).alias("word"))
+    every = rows.sparkSession.range(1 << (size - 6)).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"]).alias("bits"))
+
+
+def has_bit(bits: Column, value: Column) -> Column:
+    """Whether the bit of a value is set."""
+    at = F.xxhash64(value).bitwiseAND(F.size(bits).cast("long") * 64 - 1)
+    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def find_forms(texts: DataFrame, index: DataFrame, widest: int, text: str = "_text") -> DataFrame:
     """Every place of every form in normalised texts: the other columns of texts and of the index, at (number of the
-    first word) and raw (as written). Null and empty texts and an empty index give nothing."""
+    first word) and raw (as written). Null and empty texts and an empty index give nothing.
+
+    Words that open a form, and then runs that are a key, are told in the row by filters of bits: only runs that pass are rows."""
     keep = [c for c in texts.columns if c != text]
-    wide = F.lit(max(1, widest))
-    cut = texts.select(*keep, F.regexp_extract_all(text, F.lit(f"{WORD}[^a-z0-9]*"), F.lit(0)).alias("_chunks"),
-                       F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words"))
-    near = F.transform("_words", lambda w, i: F.struct(
-        (i + 1).alias("at"), w.alias("word"), F.slice("_words", i + 1, wide).alias("words"), F.slice("_chunks", i + 1, wide).alias("chunks")))
-    opened = cut.select(*keep, F.explode(near).alias("_o")).select(*keep, "_o.*").withColumnsRenamed(
-        {"word": "_word", "words": "_near", "chunks": "_chunks"})
-    opened = opened.join(openings(index).withColumnRenamed("word", "_word"), "_word", "left_semi")
-    spans = F.transform("_near", lambda w, i: F.struct(
-        F.array_join(F.slice("_near", F.lit(1), i + 1), "").alias("key"),
-        F.concat(F.array_join(F.slice("_chunks", F.lit(1), i), ""), w).alias("raw")))
-    rows = opened.select(*keep, "at", F.explode(spans).alias("_s"))
-    met = rows.select(*keep, "at", "_s.*").join(index, "key")
+    index = settle(index)
+    opening, keyed = (F.broadcast(bits_of(r, c).withColumnRenamed("bits", "_bits")) for r, c in ((settle(openings(index)), "word"), (index, "key")))
+    cut = texts.select(*keep, text, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_words")).crossJoin(opening)
+    near = F.array_compact(F.transform("_words", lambda w, i: F.when(has_bit(F.col("_bits"), w), i + 1)))
+    opened = cut.select(*keep, text, "_words", near.alias("_at"))
+    chunks = F.when(F.size("_at") > 0, F.regexp_extract_all(text, F.lit(f"{WORD}[^a-z0-9]*"), F.lit(0)))
+    spans = F.flatten(F.transform("_at", lambda at: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(max(1, widest)), F.size("_words") - at + 1)),
+        lambda n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("_words", at, n), "").alias("key")))))
+    runs = opened.select(*keep, "_words", chunks.alias("_chunks"), spans.alias("_runs")).crossJoin(keyed)
+    raw = F.transform(F.filter("_runs", lambda r: has_bit(F.col("_bits"), r["key"])), lambda r: F.struct(
+        r["at"].alias("at"), r["key"].alias("key"), F.concat(
+            F.array_join(F.slice("_chunks", r["at"], r["n"] - 1), ""), F.get("_words", r["at"] + r["n"] - 2)).alias("raw")))
+    rows = runs.select(*keep, F.explode_outer(raw).alias("_s")).where(F.col("_s").isNotNull()).select(*keep, "_s.*")
+    met = rows.join(index, "key")
     return met.where(F.regexp_like("raw", F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")))).drop("key", "pattern", "n_words")
 
 

@@ -207,6 +207,38 @@ def test_forms_are_looked_up_only_at_words_that_can_open_one(spark):
     assert {tuple(r) for r in found} == {(1, "the of", 2, "the-ofs"), (1, "the of", 5, "theof"), (1, "o'neil rod", 7, "o'neil  rods")}
 
 
+def test_words_that_open_no_form_are_no_rows_of_a_join(spark):
+    from fieldledger.operators import dictionary as D
+    index = D.form_index(spark.createDataFrame([("the of",)], "form string"))
+    texts = spark.createDataFrame([(1, "the of " + "plain words " * 50)], "obs_id int, _text string")
+    plan = D.find_forms(texts, index, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Generate explode") == 1
+
+
+def test_filter_of_bits(spark, monkeypatch):
+    from fieldledger.operators import dictionary as D
+    inside = spark.range(1000).select(F.format_string("in%d", "id").alias("word"))
+    outside = spark.range(1000).select(F.format_string("out%d", "id").alias("word"))
+
+    def passed(rows, of):
+        return rows.crossJoin(D.bits_of(of, "word")).where(D.has_bit(F.col("bits"), F.col("word"))).count()
+
+    assert passed(inside, inside) == 1000 and passed(outside, inside) < 125 and passed(inside, inside.limit(0)) == 0
+    monkeypatch.setattr(D, "LARGEST", 10)
+    assert passed(inside, inside) == 1000 and passed(outside, inside) < 1000
+
+
+def test_normalize_text_against_plain_patterns(spark):
+    import random
+    import re
+    from fieldledger.functions.text import normalize_text
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aZ09 \t\n\x0b\r\x00\x7f\x85\xa0é\U0001f600&-.'\",;_") for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    plain = lambda t: re.sub(r"\s+", " ", re.sub(r"""[^a-z0-9\s"'.-]""", " ", t.lower().replace("&", " and "), flags=re.A), flags=re.A).strip(" ")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normalize_text(F.col("t")).alias("n")).collect()
+    assert len(got) == 2000 and all(r.n == plain(r.t) for r in got)
+
+
 def test_hundred_thousand_forms(spark):
     from fieldledger.operators.dictionary import scan_forms
     k = F.col("id")
